@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from quern.llm.simhash import op2_simhash
 from quern.llm.token_file import op1_token_ids
 
 QUERIES = {
     "op1_token_ids": op1_token_ids,
+    "op2_simhash": op2_simhash,
 }
 
 ORACLE_SQL: dict[str, str] = {}
