@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from quern.llm import oracle
+from quern.llm.decontaminate import op3_decontamination
+from quern.llm.mixing import op8_mixing
 from quern.llm.simhash import op2_simhash
 from quern.llm.token_file import op1_token_ids
 
 QUERIES = {
     "op1_token_ids": op1_token_ids,
     "op2_simhash": op2_simhash,
+    "op3_decontamination": op3_decontamination,
+    "op8_mixing": op8_mixing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op8_mixing": oracle.MIXING,
+}
