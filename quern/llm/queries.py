@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from quern.llm import oracle
 from quern.llm.decontaminate import op3_decontamination
+from quern.llm.language import op10_language
 from quern.llm.mixing import op8_mixing
 from quern.llm.simhash import op2_simhash
 from quern.llm.token_file import op1_token_ids
@@ -13,6 +14,7 @@ QUERIES = {
     "op2_simhash": op2_simhash,
     "op3_decontamination": op3_decontamination,
     "op8_mixing": op8_mixing,
+    "op10_language": op10_language,
 }
 
 ORACLE_SQL: dict[str, str] = {
