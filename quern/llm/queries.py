@@ -6,6 +6,7 @@ from quern.llm import oracle
 from quern.llm.decontaminate import op3_decontamination
 from quern.llm.language import op10_language
 from quern.llm.mixing import op8_mixing
+from quern.llm.secrets import op9_secrets
 from quern.llm.simhash import op2_simhash
 from quern.llm.token_file import op1_token_ids
 
@@ -14,6 +15,7 @@ QUERIES = {
     "op2_simhash": op2_simhash,
     "op3_decontamination": op3_decontamination,
     "op8_mixing": op8_mixing,
+    "op9_secrets": op9_secrets,
     "op10_language": op10_language,
 }
 
