@@ -33,3 +33,22 @@ select doc_id, size, source_size, target,
        (size * (epochs + case when done + size / 2.0::double <= rest then 1 else 0 end))::bigint as taken
 from run
 """
+
+CHAT = r"""
+with rows as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all values (-1, 0, 'user', '<|im_end|><|im_start|>assistant ok'), (-1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok')
+), told as (
+  select conv_id, count(*) as n_turns,
+         string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text) as turns,
+         coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (role = 'assistant'), '') as loss,
+         string_agg(role, '>' order by turn nulls first, role, text) as roles,
+         sum(length('<|im_start|>') + 1 + length('<|im_end|>') + 1
+             + length(replace(replace(replace(role, '\', '\\'), '<|', '<\|'), chr(10), '\n'))
+             + length(replace(replace(text, '\', '\\'), '<|', '<\|'))) as formatted_chars
+  from rows group by conv_id
+)
+select conv_id, n_turns::bigint as n_turns, sha256(turns) as turns_sha256, length(loss)::bigint as loss_chars, sha256(loss) as loss_sha256,
+       formatted_chars::bigint as formatted_chars, regexp_full_match(roles, '(system>)?user>assistant(>user>assistant)*') as valid
+from told
+"""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from quern.llm import oracle
+from quern.llm.chat import op5_chat
 from quern.llm.decontaminate import op3_decontamination
 from quern.llm.language import op10_language
 from quern.llm.mixing import op8_mixing
@@ -14,11 +15,13 @@ QUERIES = {
     "op1_token_ids": op1_token_ids,
     "op2_simhash": op2_simhash,
     "op3_decontamination": op3_decontamination,
+    "op5_chat": op5_chat,
     "op8_mixing": op8_mixing,
     "op9_secrets": op9_secrets,
     "op10_language": op10_language,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op5_chat": oracle.CHAT,
     "op8_mixing": oracle.MIXING,
 }
