@@ -6,6 +6,7 @@ from quern.llm import oracle
 from quern.llm.chat import op5_chat
 from quern.llm.decontaminate import op3_decontamination
 from quern.llm.language import op10_language
+from quern.llm.minhash import op4_fingerprints
 from quern.llm.mixing import op8_mixing
 from quern.llm.secrets import op9_secrets
 from quern.llm.simhash import op2_simhash
@@ -15,6 +16,7 @@ QUERIES = {
     "op1_token_ids": op1_token_ids,
     "op2_simhash": op2_simhash,
     "op3_decontamination": op3_decontamination,
+    "op4_fingerprints": op4_fingerprints,
     "op5_chat": op5_chat,
     "op8_mixing": op8_mixing,
     "op9_secrets": op9_secrets,
