@@ -8,6 +8,7 @@ from quern.llm.decontaminate import op3_decontamination
 from quern.llm.language import op10_language
 from quern.llm.minhash import op4_fingerprints
 from quern.llm.mixing import op8_mixing
+from quern.llm.repeats import op6_repeats
 from quern.llm.secrets import op9_secrets
 from quern.llm.simhash import op2_simhash
 from quern.llm.token_file import op1_token_ids
@@ -18,6 +19,7 @@ QUERIES = {
     "op3_decontamination": op3_decontamination,
     "op4_fingerprints": op4_fingerprints,
     "op5_chat": op5_chat,
+    "op6_repeats": op6_repeats,
     "op8_mixing": op8_mixing,
     "op9_secrets": op9_secrets,
     "op10_language": op10_language,
