@@ -14,6 +14,7 @@ import os
 import re
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 
@@ -22,6 +23,12 @@ _CERTAIN = re.compile(r"(?<=\S)(?= \S)")
 _BARE = "\x00"
 
 
+@lru_cache(maxsize=2)
+def shared_encoder(path: str) -> PieceEncoder:
+    """This process's encoder: a Python worker that runs several tasks keeps its cache from one to the next."""
+    return PieceEncoder(path)
+
+
 class PieceEncoder:
     """Encode texts to packed little-endian ids.
 
@@ -95,6 +102,6 @@ class PieceEncoder:
         """Packed ids of one text."""
         return next(self.encode_many([text]))
 
-    def words(self, words: list[str]) -> list[bytes]:
-        """Packed ids of words, each encoded with one leading space."""
+    def encode_words(self, words: list[str]) -> list[bytes]:
+        """Packed ids of words without white space of ASCII, each encoded by itself with one leading space."""
         return self._fill(words)

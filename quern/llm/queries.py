@@ -6,6 +6,7 @@ from quern.llm import oracle
 from quern.llm.chat import op5_chat
 from quern.llm.decontaminate import op3_decontamination
 from quern.llm.language import op10_language
+from quern.llm.lm import op7_lm_scores
 from quern.llm.minhash import op4_fingerprints
 from quern.llm.mixing import op8_mixing
 from quern.llm.repeats import op6_repeats
@@ -20,6 +21,7 @@ QUERIES = {
     "op4_fingerprints": op4_fingerprints,
     "op5_chat": op5_chat,
     "op6_repeats": op6_repeats,
+    "op7_lm_scores": op7_lm_scores,
     "op8_mixing": op8_mixing,
     "op9_secrets": op9_secrets,
     "op10_language": op10_language,

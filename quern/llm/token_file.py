@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quern.llm.bpe import PieceEncoder
+from quern.llm.bpe import shared_encoder
 from quern.runtime import materialise, work_path
 
 SEQUENCE = 2048
@@ -138,7 +138,7 @@ def write_token_files(
             if not batch.num_rows:
                 continue
             if encoder is None:
-                encoder = PieceEncoder(tokenizer)
+                encoder = shared_encoder(tokenizer)
                 out = ShardWriter(folder, shard, encoder.dtype, length, per_batch)
                 end = b"" if end_id is None else np.array([end_id], encoder.dtype).tobytes()
             out.add(batch.column(0).to_pylist(), (x + end for x in encoder.encode_many(batch.column(1).to_pylist())))
