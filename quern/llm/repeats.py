@@ -13,7 +13,8 @@ smaller id, or in the same one. Strings are judged on the input.
    repeated. All others are done with; they are by far the most.
 3. Edges whose bytes on neither side of the suffix's first are shared are done with too; so
    is the half of the windows that need a side that is not shared. The windows left, a few hundredths of all, are
-   compared one by one, by 128 bits of hash.
+   compared one by one, by 128 bits of hash, in ``ROUNDS`` rounds by hash: only one round's shuffles
+   are on disk at a time.
 4. Repeated stretches and windows are joined to their documents, and the bytes are taken out.
 
 Hot groups: copies are mostly taken out inside tasks. Where many different stretches of a
@@ -30,6 +31,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -37,12 +39,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.llm import repeats_text as R
-from quern.runtime import drop_finished_shuffles, materialise
+from quern.runtime import drop_finished_shuffles, materialise, work_path
 
 #: In a batch, of more stretches than this that begin alike, two stand for all.
 ALIKE = 8
 OPEN, WHOLE, EDGE = 0, 1, 2
+#: Windows are compared in so many rounds; each has all windows of the hashes that fall to it.
+ROUNDS = 4
 _STRETCHES = "deal long, key long, whole long, doc long, copy int, place long, sides long, state int"
+_WINDOWS = "h1 long, h2 long, doc long, copy int, start long, round int"
 _MOST_BYTES = 8 << 20
 
 
@@ -92,7 +97,7 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """128-bit hashes of the windows in question."""
+    """128-bit hashes of the windows in question, and the rounds they fall to."""
     for batch in batches:
         for docs, copies, texts, ranges in _parts(batch):
             for doc, copy, text, spans in zip(docs, copies, texts, ranges):
@@ -100,7 +105,8 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 start = np.concatenate([np.arange(a, b + 1) for a, b in zip(spans[::2], spans[1::2])])
                 columns = [R.mixed(h.of(i, start, start + R.WINDOW)).view(np.int64) for i in (0, 1)]
                 columns += [np.full(len(start), doc), np.full(len(start), copy, np.int32), start]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["h1", "h2", "doc", "copy", "start"])
+                columns.append((columns[1].view(np.uint64) % np.uint64(ROUNDS)).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["h1", "h2", "doc", "copy", "start", "round"])
 
 
 RESULT = "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -148,6 +154,13 @@ def _numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return single.join(shared, "doc", "left_anti").union(several)
 
 
+def _later(windows: DataFrame) -> DataFrame:
+    """Places of windows that also start earlier."""
+    at = F.struct("doc", "copy", "start")
+    least = windows.groupBy("h1", "h2").agg(F.min(at).alias("least"), F.count("*").alias("n")).where("n > 1").select("h1", "h2", "least")
+    return windows.join(least, ["h1", "h2"]).where(F.col("least") != at).select("doc", "copy", "start")
+
+
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """The documents, numbered, and for each that loses bytes ``ranges`` of window starts and single ``starts``."""
     spark = docs.sparkSession
@@ -173,12 +186,12 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         low = F.when(F.col("left_shared"), F.col("first")).otherwise(F.greatest("first", F.col("chosen") - half))
         high = F.when(F.col("right_shared"), F.col("last")).otherwise(F.least("last", F.col("chosen") - half))
         edges = edges.where("left_shared or right_shared").select("doc", "copy", low.alias("low"), high.alias("high")).where("low <= high")
-        spans = edges.groupBy("doc", "copy").agg(F.flatten(F.collect_list(F.array("low", "high"))).alias("spans"))
-        windows = materialise(rows.join(spans, ["doc", "copy"]).select("doc", "copy", "text", "spans").mapInArrow(_windows, "h1 long, h2 long, doc long, copy int, start long"), "windows")
-
-        at = F.struct("doc", "copy", "start")
-        least = windows.groupBy("h1", "h2").agg(F.min(at).alias("least"), F.count("*").alias("n")).where("n > 1").select("h1", "h2", "least")
-        later = windows.join(least, ["h1", "h2"]).where(F.col("least") != at).select("doc", "copy", "start")
+        spans = materialise(edges.groupBy("doc", "copy").agg(F.flatten(F.collect_list(F.array("low", "high"))).alias("spans")), "spans")
+        windows = rows.join(spans, ["doc", "copy"]).select("doc", "copy", "text", "spans").mapInArrow(_windows, _WINDOWS)
+        path = work_path(spark, "windows")
+        windows.write.partitionBy("round").parquet(path)
+        windows = spark.read.schema(_WINDOWS).parquet(path)
+        later = reduce(DataFrame.union, (materialise(_later(windows.where(F.col("round") == i)), "later") for i in range(ROUNDS)))
         whole = found.where(F.col("state") == WHOLE).groupBy("doc", "copy").agg(F.flatten(F.collect_list(F.array(first, last))).alias("ranges"))
         single = later.groupBy("doc", "copy").agg(F.collect_list("start").alias("starts"))
         return rows, materialise(whole.join(single, ["doc", "copy"], "full"), "repeats")
