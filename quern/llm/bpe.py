@@ -138,18 +138,18 @@ class WordEncoder:
     def _ids(self, text: str) -> np.ndarray:
         return self.tok.encode_to_numpy(text, disallowed_special=())
 
-    def encode(self, words: list[bytes], group: int = 4096) -> list[bytes]:
-        """Packed ids of each word."""
-        out: list[bytes] = []
+    def encode(self, words: list[str], group: int = 4096) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words one after the other, and how many each word has."""
+        ids, times = [np.zeros(0, self.dtype)], [np.zeros(0, np.int64)]
         for lo in range(0, len(words), group):
             part = words[lo : lo + group]
-            text = (b" " + b" ".join(part)).decode("utf-8", "surrogatepass")
+            text = " " + " ".join(part)
             if _ODD.search(text):
-                out += [self._ids(" " + w.decode("utf-8", "surrogatepass")).astype(self.dtype).tobytes() for w in part]
+                alone = [self._ids(" " + w) for w in part]
+                ids += alone
+                times.append(np.fromiter(map(len, alone), np.int64, len(alone)))
                 continue
-            ids = self._ids(text)
-            ends = np.cumsum(np.fromiter(map(len, part), np.int64, len(part)) + 1)
-            at = (np.searchsorted(np.cumsum(self.size[ids]), ends) + 1) * self.dtype.itemsize
-            packed = ids.astype(self.dtype).tobytes()
-            out += [packed[a:b] for a, b in zip([0, *at.tolist()], at.tolist())]
-        return out
+            ids.append(self._ids(text))
+            ends = np.cumsum(np.fromiter((len(w.encode()) for w in part), np.int64, len(part)) + 1)
+            times.append(np.diff(np.searchsorted(np.cumsum(self.size[ids[-1]]), ends) + 1, prepend=0))
+        return np.concatenate([x.astype(self.dtype) for x in ids]), np.concatenate(times)
