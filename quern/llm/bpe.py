@@ -21,6 +21,7 @@ import numpy as np
 
 _ADJACENT = re.compile(r"\s\s|\x00")
 _CERTAIN = re.compile(r"(?<=\S)(?= \S)")
+_BREAK = re.compile(r"[\s\x00]")
 _BARE = "\x00"
 
 
@@ -47,6 +48,8 @@ class PieceEncoder:
         self.vocab_size = self.tok.get_vocab_size(with_added_tokens=True)
         self.code = "H" if self.vocab_size <= 1 << 16 else "I"
         self.dtype = np.dtype("<u2" if self.code == "H" else "<u4")
+        # Each character of such a token's name stands for one byte.
+        self.size = np.array([len(self.tok.id_to_token(i) or "") for i in range(self.vocab_size)], np.int64)
         self.cache_entries = cache_entries
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -55,6 +58,21 @@ class PieceEncoder:
         found = self.tok.encode_batch_fast(texts, add_special_tokens=False)
         return [array(self.code, e.ids).tobytes() for e in found]
 
+    def _joined(self, words: list[str], together: int = 64) -> list[bytes]:
+        """Ids of words without white space, each behind a space: many are given to the library as one text.
+
+        A space before a word begins a pre-token, so no token spans two words, and ids are
+        dealt back by the bytes of their tokens.
+        """
+        flat = array(self.code)
+        for e in self.tok.encode_batch_fast([" " + " ".join(words[i : i + together]) for i in range(0, len(words), together)], add_special_tokens=False):
+            flat.extend(e.ids)
+        sizes = np.fromiter(map(len, map(str.encode, words)), np.int64, len(words)) + 1
+        width = self.dtype.itemsize
+        ends = (np.searchsorted(np.cumsum(self.size[np.frombuffer(flat, self.dtype)]), np.cumsum(sizes)) + 1) * width
+        packed, ends = flat.tobytes(), ends.tolist()
+        return [packed[a:b] for a, b in zip([0, *ends], ends)]
+
     def _fill(self, keys: list[str]) -> list[bytes]:
         """Ids of each piece. A key is the piece after its leading space; keys that begin with a line feed or NUL have none."""
         young, old = self.young, self.old
@@ -64,6 +82,13 @@ class PieceEncoder:
             lost = {keys[i] for i in at}
             fresh = [k for k in lost if k not in old]
             young.update((k, old[k]) for k in lost if k in old)
+            plain = [k for k in fresh if k and k[0] not in "\n\x00"]
+            text = " ".join(plain)
+            if _BARE in text or len(text.split()) != len(plain):  # some have white space inside
+                plain = [k for k in plain if not _BREAK.search(k)]
+            if plain:
+                young.update(zip(plain, self._joined(plain)))
+                fresh = [k for k in fresh if k not in young]
             if fresh:
                 said = [k[1:] if k[:1] == _BARE else k if k[:1] == "\n" else " " + k for k in fresh]
                 young.update(zip(fresh, self._library(said)))
