@@ -23,6 +23,8 @@ _ADJACENT = re.compile(r"\s\s|\x00")
 _CERTAIN = re.compile(r"(?<=\S)(?= \S)")
 _BREAK = re.compile(r"[\s\x00]")
 _BARE = "\x00"
+_PAIRS = ("  ", "\n\n", " \n", "\n ")
+_RARE = [_BARE, *(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n")]
 
 
 @lru_cache(maxsize=2)
@@ -78,8 +80,7 @@ class PieceEncoder:
         young, old = self.young, self.old
         found = list(map(young.get, keys))
         if None in found:
-            at = [i for i, v in enumerate(found) if v is None]
-            lost = {keys[i] for i in at}
+            lost = {k for k, v in zip(keys, found) if v is None}
             fresh = [k for k in lost if k not in old]
             young.update((k, old[k]) for k in lost if k in old)
             plain = [k for k in fresh if k and k[0] not in "\n\x00"]
@@ -92,8 +93,7 @@ class PieceEncoder:
             if fresh:
                 said = [k[1:] if k[:1] == _BARE else k if k[:1] == "\n" else " " + k for k in fresh]
                 young.update(zip(fresh, self._library(said)))
-            for i in at:
-                found[i] = young[keys[i]]
+            found = [young[k] if v is None else v for k, v in zip(keys, found)]
             if len(young) > self.cache_entries:
                 self.old, self.young = young, {}
         return found
@@ -105,7 +105,8 @@ class PieceEncoder:
         for s in self.specials:
             if s in text:
                 return None
-        if _ADJACENT.search(text):
+        # Single characters are found far faster than a pattern; the pattern decides where a rare one occurs.
+        if any(x in text for x in _PAIRS) or any(x in text for x in _RARE) and _ADJACENT.search(text):
             if _BARE in text:
                 return None
             parts = _CERTAIN.split(text)
