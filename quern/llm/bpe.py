@@ -40,7 +40,7 @@ class PieceEncoder:
     cache has no influence on results.
     """
 
-    def __init__(self, path: str, cache_entries: int = 700_000):
+    def __init__(self, path: str, cache_entries: int = 200_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
