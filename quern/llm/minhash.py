@@ -27,6 +27,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.llm.components import components
+from quern.runtime import materialise
+
 WIDTH = 5
 PERMUTATIONS = 128
 THRESHOLD = 0.8
@@ -158,6 +161,71 @@ def compared(docs: DataFrame, partitions: int | None = None, id_col: str = "doc_
     return dealt.select("part", "copy", "doc_id", "text").mapInArrow(_pairs, COMPARED)
 
 
+def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A number for each band of each text's signature."""
+    hasher = Hasher()
+    for batch in batches:
+        keys, texts = (batch.column(i).to_pylist() for i in (0, 1))
+        found = []
+        for text in texts:
+            rows = hasher.signature(text)[: PERMUTATIONS // BAND_ROWS * BAND_ROWS].reshape(-1, BAND_ROWS)
+            found.append([int.from_bytes(hashlib.blake2b(r.tobytes(), digest_size=8).digest(), "big", signed=True) for r in rows])
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(found, pa.list_(pa.int64()))], names=["key", "bands"])
+
+
+def shingle_set(text: str, width: int = WIDTH) -> set[bytes]:
+    """The shingles of a text's words, ASCII letters in lower case; the whole sequence where there are fewer words."""
+    words = text.encode("utf-8", "surrogatepass").translate(_LOWER).split()
+    k = min(width, len(words))
+    return {b" ".join(words[i : i + k]) for i in range(len(words) - k + 1)} if words else set()
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Pairs ``(a, b)`` whose shingles have at least that Jaccard likeness."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                p, q = shingle_set(x), shingle_set(y)
+                good.append(len(p & q) >= threshold * len(p | q))
+            kept = batch.filter(pa.array(good, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1)], names=["a", "b"])
+
+    t = texts.select("key", "text")
+    both = pairs.join(t.toDF("a", "x"), "a").join(t.toDF("b", "y"), "b").select("a", "b", "x", "y")
+    return materialise(both.mapInArrow(run, "a string, b string"), "near_pairs")
+
+
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, component_id`` of each document with an id: the smallest id that links of the threshold reach.
+
+    Equal texts are one text from the start. Within the texts that share a band, all are first
+    compared with one of them; only what is not like it is compared with the others, so a
+    group of near copies makes about as many pairs as it has texts.
+    """
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text")).where("doc_id is not null")
+    keyed = rows.withColumn("key", F.sha2("text", 256))
+    classes = materialise(keyed.groupBy("key").agg(F.min("doc_id").alias("rep")), "classes")
+    texts = materialise(keyed.withColumnRenamed("doc_id", "rep").join(classes, ["key", "rep"], "left_semi").dropDuplicates(["key"]).select("key", "text"), "texts")
+    bands = materialise(texts.mapInArrow(_bands, "key string, bands array<long>").select("key", F.posexplode("bands").alias("band", "value")), "bands")
+    shared = bands.groupBy("band", "value").agg(F.min("key").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    grouped = materialise(bands.join(shared, ["band", "value"]), "shared_bands")
+
+    others = grouped.where("key <> first")
+    pairs = materialise(others.select(F.col("first").alias("a"), F.col("key").alias("b")).distinct(), "pairs")
+    links = _verified(pairs, texts, threshold)
+    apart = others.join(links.toDF("first", "key"), ["first", "key"], "left_anti").select("band", "value", F.col("key").alias("x"))
+    rest = apart.join(others.select("band", "value", "key"), ["band", "value"]).where("x <> key")
+    rest = rest.select(F.least("x", "key").alias("a"), F.greatest("x", "key").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
+    links = links.union(_verified(rest, texts, threshold))
+
+    found = components(links).withColumnRenamed("node", "key")
+    named = classes.join(found, "key", "left").withColumn("component", F.coalesce("component", "key"))
+    least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
+    return keyed.select("doc_id", "key").join(named.select("key", "component"), "key").join(least, "component").select("doc_id", "component_id")
+
+
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Query: fingerprints of all ``documents``, of their edited texts, and how near they are."""
     return compared(spark.read.parquet(f"{sf_dir}/documents.parquet"))

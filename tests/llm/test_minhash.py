@@ -53,3 +53,30 @@ def test_order(spark):
         for n in (1, 4, 7):
             assert sorted(map(tuple, M.compared(docs, n).collect()), key=str) == brute(part)
     assert M.compared(docs.limit(0)).collect() == []
+
+
+def test_near_duplicates_by_brute_force(spark):
+    rng = random.Random(5)
+    base = [[f"w{rng.randrange(500)}" for _ in range(60)] for _ in range(6)]
+    rows, n = [], 0
+    for words in base:
+        for k in range(8):
+            own = list(words)
+            for _ in range(k // 3):
+                own[rng.randrange(len(own))] = f"x{rng.randrange(99)}"
+            rows.append((n := n + 1, " ".join(own)))
+    rows += [(900, None), (901, ""), (902, " "), (903, "one two"), (904, "One TWO"), (1, "another text with the first id"), (None, rows[0][1]), (5, rows[4][1])]
+    docs = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, key int").repartition(3)
+    got = sorted(map(tuple, M.near_duplicates(docs).collect()))
+
+    named = [(d, M.shingle_set(t or "")) for d, t in rows if d is not None]
+    label = list(range(len(named)))
+    for i in range(len(named)):
+        for j in range(i):
+            p, q = named[i][1], named[j][1]
+            if len(p & q) >= 0.8 * len(p | q):
+                old, new = label[i], label[j]
+                label = [new if x == old else x for x in label]
+    least = {x: min(d for (d, _), y in zip(named, label) if y == x) for x in label}
+    assert got == sorted((d, least[x]) for (d, _), x in zip(named, label))
+    assert M.near_duplicates(docs.limit(0)).collect() == []
