@@ -384,3 +384,44 @@ def snk_16(spark, sf):
 @query("scl_32_fetchable", f"with h as (select page_id, lower(regexp_extract(trim(url), '(?i)^https?://(?:[^/?#@]*@)?([^/?#:]+)', 1)) as h from pages) select page_id, h <> '' and not {D.like('h', X.BLOCKED_HOST)} and not {D.like('h', X.IPV4)} as fetchable from h")
 def scl_32(spark, sf):
     return table(spark, sf, "pages").select("page_id", T.fetchable(F.col("url")).alias("fetchable"))
+
+
+@query("str_01_letter_spacing", f"with {D.LINES}, t as (select doc_id, line_no, line, {D.trim('line')} as t, {D.sub(D.trim('line'), r'\s+', '')} as j from lines) select doc_id, line_no, case when length(t) >= 3 and {D.like('t', r'^(\S\s)+\S$')} and length({D.sub('j', '[^A-Za-z0-9]', '')}) >= 2 then j else line end as line from t")
+def str_01(spark, sf):
+    return A.lines(spark, sf).select("doc_id", "line_no", T.letter_spaced(F.col("line")).alias("line"))
+
+
+@query("str_18_truncated_code", f"with c as (select doc_id, text, left(text, {X.CODE_CHARS}) as c from documents where text is not null), p as (select *, length(c) - strpos(reverse(c), chr(10)) as cut from c) select doc_id, md5(case when length(text) <= {X.CODE_CHARS} then text else (case when strpos(c, chr(10)) > 0 and cut > 0 then left(c, cut) else c end) || chr(10) || '…' end) as code_md5 from p")
+def str_18(spark, sf):
+    return table(spark, sf, "documents").where("text is not null").select("doc_id", F.md5(T.truncated_code(F.col("text"))).alias("code_md5"))
+
+
+@query("jsn_08_clamp", f"with {D.LINES}, t as (select doc_id, line_no, {D.trim('line')} as t, left({D.trim('line')}, 40) as c from lines), l as (select *, case when contains(c, ' ') then length(c) - strpos(reverse(c), ' ') else -1 end as last from t) select doc_id, line_no, case when t = '' then null when length(t) <= 40 then t else rtrim(case when last > 24 then left(c, last) else c end, ' ') || '…' end as clamped from l")
+def jsn_08(spark, sf):
+    return A.lines(spark, sf).select("doc_id", "line_no", T.clamped(F.col("line"), 40).alias("clamped"))
+
+
+@query("snk_02_cards_kept", f"with {D.CARDS}, t as (select deck_id, ord, trim(front, ' ') as front, trim(back, ' ') as back from cards) select deck_id, front, back, row_number() over (partition by deck_id order by ord) - 1 as position from t where front <> '' and back <> '' and {D.usable('front', 'back')}")
+def snk_02(spark, sf):
+    kept = A.cards(spark, sf).select("deck_id", "ord", F.trim("front").alias("front"), F.trim("back").alias("back"))
+    kept = kept.where((F.col("front") != "") & (F.col("back") != "") & T.usable_card(F.col("front"), F.col("back")))
+    return kept.select("deck_id", "front", "back", (F.row_number().over(Window.partitionBy("deck_id").orderBy("ord")) - 1).cast("long").alias("position"))
+
+
+@query("set_03_missing", "select p_partkey from part anti join (select l_partkey as p_partkey from lineitem where l_quantity > 45) using (p_partkey)")
+def set_03(spark, sf):
+    covered = table(spark, sf, "lineitem").where("l_quantity > 45").select(F.col("l_partkey").alias("p_partkey"))
+    return L.without(table(spark, sf, "part").select("p_partkey"), covered, "p_partkey")
+
+
+@query("sel_02_options", "with o as (select p_partkey, list_transform(list_sort(list_transform([p_name, p_brand, p_type, p_name || '?'], lambda x: {'k': md5('quiz:' || p_partkey || ':' || x), 'x': x})), lambda s: s.x) as o, p_name from part) select p_partkey, array_to_string(o, '|') as options, list_position(o, p_name) - 1 as answer from o")
+def sel_02(spark, sf):
+    options = F.array("p_name", "p_brand", "p_type", F.concat("p_name", F.lit("?")))
+    keyed = F.transform(options, lambda x: F.struct(F.md5(F.concat_ws(":", F.lit("quiz"), F.col("p_partkey").cast("string"), x)).alias("k"), x.alias("x")))
+    rows = table(spark, sf, "part").select("p_partkey", "p_name", F.transform(F.array_sort(keyed), lambda s: s["x"]).alias("o"))
+    return rows.select("p_partkey", F.array_join("o", "|").alias("options"), (F.array_position("o", F.col("p_name")) - 1).cast("long").alias("answer"))
+
+
+@query("scl_33_folder_key", f"select c_custkey, lower({D.trim(D.sub('c_name', r'\s+', ' '))}) as key from customer")
+def scl_33(spark, sf):
+    return table(spark, sf, "customer").select("c_custkey", F.lower(T.folder_name(F.col("c_name"))).alias("key"))
