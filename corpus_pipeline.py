@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quern.llm import decontaminate, language, mixing, simhash, token_file
+from quern.llm import decontaminate, language, minhash, mixing, token_file
 from quern.runtime import work_path
 
 
@@ -17,17 +17,15 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id stays; of rows that share that id, one.
+    """Of each group of texts that share four fifths of their five-word shingles, the one with the smallest id stays, in one row.
 
-    Rows without an id cannot be named by a group: of those, one of each text stays.
+    A group's row is named by its text and id, so ids may be null or stand on several texts.
     """
-    named = docs.where("doc_id is not null")
-    groups = simhash.near_duplicates(named)
-    keep = groups.where("doc_id = component_id").select("doc_id").distinct()
-    # Repeated ids: the first by content. The rows are already together by id, so this needs no further shuffle.
-    order = Window.partitionBy("doc_id").orderBy(*(F.col(f"`{c}`") for c in docs.columns if c != "doc_id"))
-    kept = named.join(keep, "doc_id", "left_semi").withColumn("_row", F.row_number().over(order)).where("_row = 1")
-    return kept.select(*docs.columns).unionByName(docs.where("doc_id is null").dropDuplicates(["text"]))
+    keep = minhash.representatives(docs).toDF("_key", "_rep")
+    found = docs.withColumn("_key", minhash.text_key()).join(keep, "_key").where(F.col("doc_id").cast("long").eqNullSafe(F.col("_rep")))
+    # Rows with one id and one text: the first by content.
+    order = Window.partitionBy("_key").orderBy(*(F.col(f"`{c}`") for c in docs.columns if c != "doc_id"))
+    return found.withColumn("_row", F.row_number().over(order)).where("_row = 1").select(*docs.columns)
 
 
 def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

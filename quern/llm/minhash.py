@@ -8,8 +8,8 @@ odd number gives the hash of any stretch of words. Each of ``PERMUTATIONS`` univ
 for each partition; only the first row of each range is sent to the range before it, so
 that texts are shuffled once and no order is made in one task.
 
-`near_duplicates` joins bands of signatures of different texts and checks the Jaccard
-likeness of the shingles themselves.
+`near_duplicates` and `representatives` join bands of signatures of different texts and check
+the Jaccard likeness of the shingles themselves.
 
 Nulls: a null text is an empty one. A text without words has a fingerprint of its own, equal
 to that of any other such text; one with fewer words than a shingle is one shingle. Null ids
@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm.components import components
@@ -35,6 +35,8 @@ PERMUTATIONS = 128
 THRESHOLD = 0.8
 #: Rows of a band: at a likeness of 0.8, 25 bands of 5 miss one pair in twenty thousand.
 BAND_ROWS = 5
+#: Rounds against one text of each band before all pairs that are left, and how many of those for each text end the rounds early.
+ROUNDS, PAIRS_PER_TEXT = 4, 4
 _SEED = 20240607
 _BASE = 0x9E3779B97F4A7C15
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -162,15 +164,14 @@ def compared(docs: DataFrame, partitions: int | None = None, id_col: str = "doc_
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A number for each band of each text's signature."""
-    hasher = Hasher()
+    """A number for each band of each text's signature; the band's place is part of what is hashed."""
+    hasher, places = Hasher(), [bytes([i]) for i in range(PERMUTATIONS // BAND_ROWS)]
     for batch in batches:
-        keys, texts = (batch.column(i).to_pylist() for i in (0, 1))
         found = []
-        for text in texts:
-            rows = hasher.signature(text)[: PERMUTATIONS // BAND_ROWS * BAND_ROWS].reshape(-1, BAND_ROWS)
-            found.append([int.from_bytes(hashlib.blake2b(r.tobytes(), digest_size=8).digest(), "big", signed=True) for r in rows])
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(found, pa.list_(pa.int64()))], names=["key", "bands"])
+        for text in batch.column(2).to_pylist():
+            rows = hasher.signature(text)[: len(places) * BAND_ROWS].reshape(-1, BAND_ROWS)
+            found.append([int.from_bytes(hashlib.blake2b(r.tobytes(), digest_size=8, salt=i).digest(), "big", signed=True) for i, r in zip(places, rows)])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "key", "bands"])
 
 
 def shingle_set(text: str, width: int = WIDTH) -> set[bytes]:
@@ -180,8 +181,13 @@ def shingle_set(text: str, width: int = WIDTH) -> set[bytes]:
     return {b" ".join(words[i : i + k]) for i in range(len(words) - k + 1)} if words else set()
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """Pairs ``(a, b)`` whose shingles have at least that Jaccard likeness."""
+def text_key(text_col: str = "text") -> Column:
+    """The digest that names a text; a null one is an empty one."""
+    return F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
+
+
+def _verified(pairs: DataFrame, rows: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
+    """Pairs ``(a, b)`` of nodes whose texts' shingles have at least that Jaccard likeness. Only texts in pairs are moved."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -192,38 +198,80 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
             kept = batch.filter(pa.array(good, pa.bool_()))
             yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1)], names=["a", "b"])
 
-    t = texts.select("key", "text")
-    both = pairs.join(t.toDF("a", "x"), "a").join(t.toDF("b", "y"), "b").select("a", "b", "x", "y")
-    return materialise(both.mapInArrow(run, "a string, b string"), "near_pairs")
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(classes.select("node", "key"), "node")
+    texts = materialise(rows.join(wanted, "key").select("node", "text").dropDuplicates(["node"]), "near_texts")
+    both = pairs.join(texts.toDF("a", "x"), "a").join(texts.toDF("b", "y"), "b").select("a", "b", "x", "y")
+    return materialise(both.mapInArrow(run, "a long, b long"), "near_pairs")
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, component_id`` of each document with an id: the smallest id that links of the threshold reach.
+def _text_groups(rows: DataFrame, threshold: float) -> DataFrame:
+    """``key, rep, component`` of each different text of ``rows(doc_id, key, text)``; ``rep`` is its smallest id.
 
-    Equal texts are one text from the start. Within the texts that share a band, all are first
-    compared with one of them; only what is not like it is compared with the others, so a
-    group of near copies makes about as many pairs as it has texts.
+    Under a band that several texts share, all are first compared with one of them, in each
+    round another. Texts that are linked by then need no comparison; of those in different
+    components each pair is compared in the end. So a group of near copies makes about as many
+    pairs as it has texts. Texts that share a band and are alike only below the threshold are
+    compared pair by pair, which grows with the square of their number: nothing is left out.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text")).where("doc_id is not null")
-    keyed = rows.withColumn("key", F.sha2("text", 256))
-    classes = materialise(keyed.groupBy("key").agg(F.min("doc_id").alias("rep")), "classes")
-    texts = materialise(keyed.withColumnRenamed("doc_id", "rep").join(classes, ["key", "rep"], "left_semi").dropDuplicates(["key"]).select("key", "text"), "texts")
-    bands = materialise(texts.mapInArrow(_bands, "key string, bands array<long>").select("key", F.posexplode("bands").alias("band", "value")), "bands")
-    shared = bands.groupBy("band", "value").agg(F.min("key").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    grouped = materialise(bands.join(shared, ["band", "value"]), "shared_bands")
-
-    others = grouped.where("key <> first")
-    pairs = materialise(others.select(F.col("first").alias("a"), F.col("key").alias("b")).distinct(), "pairs")
-    links = _verified(pairs, texts, threshold)
-    apart = others.join(links.toDF("first", "key"), ["first", "key"], "left_anti").select("band", "value", F.col("key").alias("x"))
-    rest = apart.join(others.select("band", "value", "key"), ["band", "value"]).where("x <> key")
-    rest = rest.select(F.least("x", "key").alias("a"), F.greatest("x", "key").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    links = links.union(_verified(rest, texts, threshold))
-
-    found = components(links).withColumnRenamed("node", "key")
-    named = classes.join(found, "key", "left").withColumn("component", F.coalesce("component", "key"))
+    marked = materialise(rows.select("doc_id", "key", "text").mapInArrow(_bands, "doc_id long, key binary, bands array<long>"), "marked")
+    classes = marked.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
+    classes = materialise(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    bands = classes.select("node", F.explode("bands").alias("value"))
+    shared = bands.groupBy("value").agg(F.count("*").alias("n")).where("n > 1")
+    grouped = materialise(bands.join(shared.select("value"), "value"), "shared_bands")
+    n_nodes = classes.count()
+
+    tested = links = label = None
+    for turn in range(ROUNDS + 1):
+        if turn == 0:
+            open_, choice = grouped.withColumn("component", F.col("node")), F.col("node")
+        else:
+            joined = grouped.join(label.withColumnRenamed("label", "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+            sizes = joined.groupBy("value", "component").agg(F.count("*").alias("n"))
+            sizes = sizes.groupBy("value").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same")).where("n * n > same and n > 2")
+            sizes = materialise(sizes, "open_bands")
+            left = sizes.agg(F.sum((F.col("n") * F.col("n") - F.col("same")) / 2)).first()[0] or 0
+            if not left:
+                break
+            open_, choice = joined.join(sizes.select("value"), "value"), F.xxhash64("node", "value", F.lit(turn))
+            if left <= PAIRS_PER_TEXT * n_nodes or turn == ROUNDS:
+                x, y = open_.toDF("value", "a", "ca"), open_.toDF("value", "b", "cb")
+                pairs = x.join(y, "value").where("a < b and ca <> cb").select("a", "b").distinct().join(tested, ["a", "b"], "left_anti")
+                links = links.union(_verified(materialise(pairs, "pairs"), rows, classes, threshold))
+                label = components(links).toDF("node", "label")
+                break
+        star = open_.groupBy("value").agg(F.min_by(F.struct("node", "component"), choice).alias("first"))
+        pairs = open_.join(star, "value").where("node <> first.node" if turn == 0 else "component <> first.component")
+        pairs = pairs.select(F.least("first.node", "node").alias("a"), F.greatest("first.node", "node").alias("b")).distinct()
+        pairs = materialise(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+        tested = pairs if tested is None else tested.union(pairs)
+        found = _verified(pairs, rows, classes, threshold)
+        links = found if links is None else links.union(found)
+        label = materialise(components(links).toDF("node", "label"), "labels")
+    return classes.join(label, "node", "left").select("key", "rep", F.coalesce("label", "node").alias("component"))
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
+    return rows.withColumn("key", text_key())
+
+
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, component_id`` of each document with an id: the smallest id that links of the threshold reach. Equal texts are one text from the start."""
+    rows = _rows(docs, id_col, text_col).where("doc_id is not null")
+    named = materialise(_text_groups(rows, threshold), "near_groups")
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    return keyed.select("doc_id", "key").join(named.select("key", "component"), "key").join(least, "component").select("doc_id", "component_id")
+    return rows.select("doc_id", "key").join(named.select("key", "component"), "key").join(least, "component").select("doc_id", "component_id")
+
+
+def representatives(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``key, rep``: of each group of near-duplicates the text with the smallest id, and that id.
+
+    Rows without an id take part; they stand for a group only if none in it has an id.
+    """
+    named = _text_groups(_rows(docs, id_col, text_col), threshold)
+    first = F.min(F.struct(F.col("rep").isNull().alias("unnamed"), "rep", "key")).alias("first")
+    return materialise(named.groupBy("component").agg(first).select("first.key", "first.rep"), "representatives")
 
 
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
