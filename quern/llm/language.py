@@ -1,11 +1,12 @@
 """Language identification by the nearest of several centroids per language.
 
-A text is a vector of hashed letter n-grams of its lower-cased words: relative frequency by
+A text is a vector of hashed letter n-grams of its lower-cased words: the root of the relative frequency by
 inverse document frequency, with length one. Document frequencies are counted over all
 documents that may be learned from. Each language has several centroids, made by k-means
 with cosines over at most ``SAMPLE`` of its documents, chosen by a digest of their ids. A text gets
 the language of the centroid with the greatest cosine; it is rejected if that cosine is
-further from one than nearly all that are learned from are, by a wide margin.
+smaller than nearly all have that are learned from, are of that language and are about as long:
+a text's cosine rises with its length, in a language that was never learned too.
 
 Features are numbers of one to four UTF-8 bytes hashed to ``SIZE`` places: vectors have a
 fixed size, and so have the model and what tasks return.
@@ -31,8 +32,12 @@ GRAMS = (1, 2, 3, 4)
 SAMPLE = 600
 SAMPLE_ALL = 6000
 CENTROIDS = 4
-#: A text is rejected if its cosine is under this share of the lowest percentile of the sample.
-MARGIN = 0.5
+#: A text is rejected if its cosine is under this share of the lowest percentile of those of its language and length.
+MARGIN = 0.9
+#: Classes of length are powers of two of the number of n-grams; as many neighbours are taken in as it takes for so many documents.
+CLASSES, LIKE_LENGTH = 48, 200
+#: For each class of length below all that are learned from, the limit is this share of the next one's.
+SHORTER = 0.8
 HELD_OUT = 1
 FOLDS = 3
 UNDETERMINED = "und"
@@ -66,10 +71,25 @@ def features(texts: list[str | None]) -> np.ndarray:
 
 def weighted(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     """Vectors of length one."""
-    v = np.log1p(counts) * idf
+    v = np.sqrt(counts) * idf
     return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
 
 
+def length_class(counts: np.ndarray) -> np.ndarray:
+    """The class of length of each row of counts."""
+    return np.minimum(np.log2(np.maximum(counts.sum(axis=1, dtype=np.float64), 1)), CLASSES - 1).astype(np.int64)
+
+
+def limits(cosines: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    """The least cosine in each class of length, from those that are learned from."""
+    out, low, high = np.empty(CLASSES), classes.min(), classes.max()
+    for c in range(CLASSES):
+        away = np.abs(classes - min(max(c, low), high))
+        reach = np.sort(away)[min(LIKE_LENGTH, len(away)) - 1]
+        out[c] = MARGIN * np.quantile(cosines[away <= reach], 0.01, method="lower") * SHORTER ** max(0, low - c)
+    return out
+
+
 @dataclass
 class Model:
     """What a prediction needs, of fixed size for a number of languages."""
@@ -78,22 +98,23 @@ class Model:
     idf: np.ndarray
     centroids: np.ndarray
     owner: np.ndarray
-    least: float
+    least: np.ndarray
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[bool]]:
         """Language, score and rejection of each text."""
         names, scores, rejected = [], [], []
         for at in range(0, len(texts), 256):
             part = texts[at : at + 256]
-            cos = weighted(features(part), self.idf) @ self.centroids.T if self.languages else np.zeros((len(part), 0))
-            for text, row in zip(part, cos):
+            counts = features(part)
+            cos = weighted(counts, self.idf) @ self.centroids.T if self.languages else np.zeros((len(part), 0))
+            for text, row, size in zip(part, cos, length_class(counts)):
                 if not len(row) or not has_letter(text):
                     names.append(UNDETERMINED), scores.append(0.0), rejected.append(True)
                 else:
                     k = int(row.argmax())
                     names.append(self.languages[self.owner[k]])
                     scores.append(float(min(1.0, max(0.0, row[k]))))
-                    rejected.append(bool(row[k] < self.least))
+                    rejected.append(bool(row[k] < self.least[self.owner[k], size]))
         return names, scores, rejected
 
 
@@ -143,23 +164,24 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            v = weighted(features(batch.column(0).to_pylist()), idf).astype(np.float16)
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([x.tobytes() for x in v], pa.binary())], names=["lang", "v"])
-
-    sample = rows.where(draw < share).select("text", "lang").mapInArrow(vectors, "lang string, v binary").limit(2 * SAMPLE_ALL).collect()
-    groups: dict[str, list[bytes]] = {}
-    for lang, v in sample:
-        groups.setdefault(lang, []).append(v)
-    languages, centroids, owner, best = sorted(groups), [], [], []
+            counts = features(batch.column(0).to_pylist())
+            v = weighted(counts, idf).astype(np.float16)
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([x.tobytes() for x in v], pa.binary()), pa.array(length_class(counts))], names=["lang", "v", "size"])
+
+    sample = rows.where(draw < share).select("text", "lang").mapInArrow(vectors, "lang string, v binary, size long").limit(2 * SAMPLE_ALL).collect()
+    groups: dict[str, list[tuple[bytes, int]]] = {}
+    for lang, v, size in sample:
+        groups.setdefault(lang, []).append((v, size))
+    languages, centroids, owner, least = sorted(groups), [], [], []
     for i, lang in enumerate(languages):
-        v = np.frombuffer(b"".join(sorted(groups[lang])), np.float16).reshape(-1, SIZE).astype(np.float32)
+        found, sizes = zip(*sorted(groups[lang]))
+        v = np.frombuffer(b"".join(found), np.float16).reshape(-1, SIZE).astype(np.float32)
         c = _centroids(v, CENTROIDS)
         centroids.append(c)
         owner += [i] * len(c)
-        best.append((v @ c.T).max(axis=1))
-    least = MARGIN * float(np.quantile(np.concatenate(best), 0.01)) if best else 0.0
+        least.append(limits((v @ c.T).max(axis=1), np.array(sizes)))
     stacked = np.concatenate(centroids) if centroids else np.zeros((0, SIZE))
-    return Model(languages, idf.astype(np.float32), stacked.astype(np.float32), np.array(owner, np.int64), least)
+    return Model(languages, idf.astype(np.float32), stacked.astype(np.float32), np.array(owner, np.int64), np.array(least))
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
