@@ -141,7 +141,7 @@ class Scanner:
         hits["hex"] = _runs(raw.translate(_HEX_RUN), b"x" * 32)
         shape = raw.translate(_DIGIT_RUN)
         if shape.count(b"0") >= 13:
-            hits["card"] = [m.start() for m in re.finditer(rb"(?<![0])0(?:-?0){12}", shape)]
+            hits["card"] = [m.start() for m in re.finditer(rb"(?<!0)(?=0(?:-?0){12})", shape)]
             hits["account"] = [m.start() for m in re.finditer(rb"[A-Z]{2}[0-9]{2}", raw)]
         found = []
         for kind, at in hits.items():
