@@ -1,16 +1,18 @@
-"""Byte-level BPE through the tokenizers library, with the pieces of a text cached.
+"""Byte-level BPE through the tokenizers library; a batch's distinct pieces are encoded once.
 
 A single space between two characters that are not white space always begins a new
 pre-token of this kind of tokenizer, and a lone line feed between such characters is a
 pre-token of its own. A text can therefore be cut there, each piece be encoded by the
 library once, and the ids be joined; the result equals encoding the whole text. Where a
 text has adjacent white space, only the cuts that stay certain are made. A text that
-holds a special token's string goes to the library whole.
+holds a special token's string goes to the library whole, and so does every text if the
+tokenizer's file names another way of cutting.
 """
 
 from __future__ import annotations
 
 import base64
+import json
 import os
 import re
 from array import array
@@ -18,13 +20,17 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 _ADJACENT = re.compile(r"\s\s|\x00")
 _CERTAIN = re.compile(r"(?<=\S)(?= \S)")
 _BREAK = re.compile(r"[\s\x00]")
 _BARE = "\x00"
-_PAIRS = ("  ", "\n\n", " \n", "\n ")
-_RARE = [_BARE, *(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n")]
+#: Adjacent spaces and line feeds, or white space of another kind: such texts are looked at one by one.
+_ODD_TEXT = r"[ \n][ \n]|[\x00\t\x0b-\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+#: Bytes of text that are cut and looked up at a time.
+GROUP_BYTES = 16 << 20
 
 
 @lru_cache(maxsize=2)
@@ -45,6 +51,10 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
+        said = json.loads(self.tok.to_str())
+        cut = said.get("pre_tokenizer") or {}
+        # Cuts at spaces are certain for this kind only.
+        self.cuts = cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space") and said.get("normalizer") is None and said["model"]["type"] == "BPE"
         added = self.tok.get_added_tokens_decoder().values()
         self.specials = [t.content for t in added]
         self.vocab_size = self.tok.get_vocab_size(with_added_tokens=True)
@@ -98,32 +108,72 @@ class PieceEncoder:
                 self.old, self.young = young, {}
         return found
 
-    def _keys(self, text: str | None) -> list[str] | None:
+    def _keys(self, text: str) -> list[str] | None:
         """The pieces of a text, or nothing where only the library can cut it."""
-        if not text:
-            return []
-        for s in self.specials:
-            if s in text:
-                return None
-        # Single characters are found far faster than a pattern; the pattern decides where a rare one occurs.
-        if any(x in text for x in _PAIRS) or any(x in text for x in _RARE) and _ADJACENT.search(text):
+        if not self.cuts or any(x in text for x in self.specials):
+            return None
+        if _ADJACENT.search(text):
             if _BARE in text:
                 return None
             parts = _CERTAIN.split(text)
             return [_BARE + parts[0], *(p[1:] for p in parts[1:])]
         return (_BARE + text.replace("\n", " \n " + _BARE)).split(" ")
 
-    def encode_many(self, texts: list[str | None], group: int = 64) -> Iterator[bytes]:
-        """Packed ids of each text, none for null; looks pieces up for ``group`` texts at a time."""
-        for lo in range(0, len(texts), group):
-            part = [self._keys(t) for t in texts[lo : lo + group]]
-            found, at = self._fill([k for keys in part if keys for k in keys]), 0
-            for text, keys in zip(texts[lo : lo + group], part):
-                if keys is None:
-                    yield self._library([text])[0]
-                else:
-                    yield b"".join(found[at : at + len(keys)])
-                    at += len(keys)
+    def _dealt(self, keys: pa.Array, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of lists of pieces one after the other, and how many each list has."""
+        named = keys.dictionary_encode()
+        found = self._fill(named.dictionary.to_pylist())
+        packed = np.frombuffer(b"".join(found), self.dtype)
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // self.dtype.itemsize
+        begins, at = np.cumsum(sizes) - sizes, named.indices.to_numpy()
+        n = sizes[at]
+        done = np.concatenate([np.zeros(1, np.int64), np.cumsum(n)])
+        place = np.repeat(begins[at] - done[:-1], n)
+        place += np.arange(len(place))
+        return packed[place], np.diff(done[ends], prepend=0)
+
+    def encode_array(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For so many texts at a time: ids of all of them one after the other, and how many each has. Null has none."""
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        ends = np.cumsum(pc.binary_length(texts).to_numpy())
+        start = 0
+        while start < len(texts):
+            done = int(ends[start - 1]) if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, done + GROUP_BYTES, "right")))
+            yield self._group(texts[start:stop])
+            start = stop
+
+    def _group(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        odd = pc.match_substring_regex(texts, _ODD_TEXT)
+        for x in self.specials:
+            odd = pc.or_(odd, pc.match_substring(texts, x))
+        odd = odd.to_numpy(zero_copy_only=False) | (not self.cuts)
+        plain = texts.filter(pa.array(~odd))
+        pieces = pc.split_pattern(pc.binary_join_element_wise(_BARE, pc.replace_substring(plain, "\n", " \n " + _BARE), ""), " ")
+        ids, counts = self._dealt(pieces.flatten(), pieces.offsets.to_numpy()[1:] - pieces.offsets[0].as_py())
+        if not odd.any():
+            return ids, counts
+        strange = texts.filter(pa.array(odd)).to_pylist()
+        keys = [self._keys(t) for t in strange]
+        cut = [k for k in keys if k is not None]
+        some, some_counts = self._dealt(pa.array([x for k in cut for x in k], pa.string()), np.cumsum([len(k) for k in cut], dtype=np.int64))
+        dealt = iter(np.split(some, np.cumsum(some_counts)[:-1]) if cut else [])
+        own = [np.frombuffer(self._library([t])[0], self.dtype) if k is None else next(dealt) for t, k in zip(strange, keys)]
+        # Both kinds in the order of the texts: runs of plain ones stay together.
+        total = np.zeros(len(odd), np.int64)
+        total[~odd], total[odd] = counts, [len(x) for x in own]
+        at = np.concatenate([np.zeros(1, np.int64), np.cumsum(counts)])
+        parts, done = [], 0
+        for i, (where, x) in enumerate(zip(np.flatnonzero(odd).tolist(), own)):
+            upto = where - i
+            parts += [ids[at[done] : at[upto]], x]
+            done = upto
+        return np.concatenate([*parts, ids[at[done] :]]), total
+
+    def encode_many(self, texts: list[str | None]) -> Iterator[bytes]:
+        """Packed ids of each text, none for null."""
+        for ids, counts in self.encode_array(pa.array(texts, pa.string())):
+            yield from (x.tobytes() for x in np.split(ids, np.cumsum(counts)[:-1]))
 
     def encode(self, text: str | None) -> bytes:
         """Packed ids of one text."""

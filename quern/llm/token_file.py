@@ -5,18 +5,19 @@ One shard is written by each task, in ascending order of document id:
 * ``shard-NNNNN.arrows``: an Arrow stream of record batches with the columns
   ``ids fixed_size_list<uint16 or uint32>[L]`` and ``mask fixed_size_list<bool>[L]``. Every
   batch but the last holds the same number of sequences, so sequence ``i`` is in batch
-  ``i // per_batch``; opened through a memory map, it is read without a copy. Buffers are
+  ``i // per_batch``; `open_sequences` maps the file into memory and gives views of it without a copy. Buffers are
   not compressed for that reason. The mask is false on the padding at a shard's end.
 * ``shard-NNNNN.index.arrows``: ``doc_id, start, n_tokens`` of each document, ``start``
   counted in the shard.
 * ``manifest``: a Parquet table with a row for each shard.
 
-Files are written under another name and then moved, and a task that is run again writes
-the same bytes, so lost executors do no harm.
+Files are written under a name of the attempt's own and then moved, and a task that is run again writes
+the same bytes, so lost executors and attempts that run side by side do no harm.
 
 Nulls: a null text is an empty one and has only the end id; a null ``doc_id`` sorts first.
-Equal ids are ordered by text, repeated rows each get their own place. An empty table
-gives no shards and no rows. Other columns are not read.
+Equal ids are ordered by text, null first, repeated rows each get their own place. A text of any length is
+encoded whole; memory grows with the longest one. An empty table gives no shards and no rows.
+Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -40,22 +41,22 @@ MANIFEST = "shard int, data string, index string, n_docs long, n_tokens long, n_
 class ShardWriter:
     """Packs the ids of documents into sequences of one shard."""
 
-    def __init__(self, folder: str, shard: int, dtype: np.dtype, length: int, per_batch: int):
+    def __init__(self, folder: str, shard: int, dtype: np.dtype, length: int, per_batch: int, attempt: int = 0):
         from pyarrow import fs
 
         self.fs, base = fs.FileSystem.from_uri(folder)
         self.fs.create_dir(base, recursive=True)
         self.dtype, self.length, self.per_batch = dtype, length, per_batch
         self.names = [f"{base}/shard-{shard:05d}{end}" for end in (".arrows", ".index.arrows")]
-        self.parts = [f"{n}.part" for n in self.names]
+        self.parts = [f"{n}.{attempt}.part" for n in self.names]
         value = pa.from_numpy_dtype(dtype)
         self.schema = pa.schema([("ids", pa.list_(value, length)), ("mask", pa.list_(pa.bool_(), length))])
         self.index_schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
         self.sinks = [self.fs.open_output_stream(p) for p in self.parts]
         self.data = pa.ipc.new_stream(self.sinks[0], self.schema)
         self.index = pa.ipc.new_stream(self.sinks[1], self.index_schema)
-        self.held: list[bytes] = []
-        self.held_bytes = self.n_tokens = self.n_docs = self.n_sequences = 0
+        self.held = np.zeros(0, dtype)
+        self.n_tokens = self.n_docs = self.n_sequences = 0
 
     def _put(self, ids: np.ndarray, real: int) -> None:
         n = len(ids) // self.length
@@ -64,28 +65,21 @@ class ShardWriter:
         self.data.write_batch(pa.RecordBatch.from_arrays(arrays, schema=self.schema))
         self.n_sequences += n
 
-    def add(self, doc_ids: list, packed: Iterator[bytes]) -> None:
-        full = self.length * self.per_batch * self.dtype.itemsize
-        starts, counts = [], []
-        for ids in packed:
-            n = len(ids) // self.dtype.itemsize
-            starts.append(self.n_tokens)
-            counts.append(n)
-            self.n_tokens += n
-            self.held.append(ids)
-            self.held_bytes += len(ids)
-            if self.held_bytes >= full:
-                joined = b"".join(self.held)
-                whole = len(joined) // full * full
-                for at in range(0, whole, full):
-                    part = np.frombuffer(joined, self.dtype, full // self.dtype.itemsize, at)
-                    self._put(part, len(part))
-                self.held, self.held_bytes = [joined[whole:]], len(joined) - whole
+    def add(self, doc_ids: pa.Array, ids: np.ndarray, counts: np.ndarray) -> None:
+        """Documents with so many ids each, one after the other in ``ids``."""
+        starts = self.n_tokens + np.cumsum(counts) - counts
+        self.n_tokens += int(counts.sum())
         self.n_docs += len(doc_ids)
-        self.index.write_batch(pa.record_batch([pa.array(x, pa.int64()) for x in (doc_ids, starts, counts)], schema=self.index_schema))
+        full = self.length * self.per_batch
+        joined = np.concatenate([self.held, ids])
+        whole = len(joined) // full * full
+        for at in range(0, whole, full):
+            self._put(joined[at : at + full], full)
+        self.held = joined[whole:].copy()
+        self.index.write_batch(pa.record_batch([doc_ids, pa.array(starts), pa.array(counts)], schema=self.index_schema))
 
     def close(self) -> None:
-        rest = np.frombuffer(b"".join(self.held), self.dtype)
+        rest = self.held
         if len(rest):
             pad = np.zeros(-len(rest) % self.length, self.dtype)
             self._put(np.concatenate([rest, pad]), len(rest))
@@ -95,6 +89,31 @@ class ShardWriter:
             self.fs.move(part, name)
 
 
+class Sequences:
+    """Random access to the sequences of one shard. ``[i]`` gives ids and mask of the sequence as views of the mapped file."""
+
+    def __init__(self, path: str):
+        self.file = pa.memory_map(path.removeprefix("file://"))
+        self.batches = list(pa.ipc.open_stream(self.file))
+        self.per_batch = self.batches[0].num_rows if self.batches else 1
+
+    def __len__(self) -> int:
+        return sum(b.num_rows for b in self.batches)
+
+    def __getitem__(self, i: int) -> tuple[np.ndarray, pa.BooleanArray]:
+        if not 0 <= i < len(self):
+            raise IndexError(i)
+        batch, row = self.batches[i // self.per_batch], i % self.per_batch
+        ids, mask = batch.column("ids"), batch.column("mask")
+        n = ids.type.list_size
+        return ids.values[row * n : (row + 1) * n].to_numpy(zero_copy_only=True), mask.values[row * n : (row + 1) * n]
+
+
+def open_sequences(path: str) -> Sequences:
+    """A shard's data file, mapped into memory."""
+    return Sequences(path)
+
+
 def read_shard(data: str, index: str) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]]:
     """Groups of documents of one shard: ids, starts and numbers of tokens, and the token ids of each, taken from the sequences under the mask."""
     from pyarrow import fs
@@ -121,6 +140,13 @@ def read_shard(data: str, index: str) -> Iterator[tuple[np.ndarray, np.ndarray,
             yield docs.column("doc_id"), starts, counts, got
 
 
+def ids_with_end(ids: np.ndarray, counts: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ids with one more behind each document's."""
+    out = np.full(len(ids) + len(counts), end_id, ids.dtype)
+    out[np.arange(len(ids)) + np.repeat(np.arange(len(counts)), counts)] = ids
+    return out, counts + 1
+
+
 def write_token_files(
     docs: DataFrame, tokenizer: str, folder: str | None = None, end_id: int | None = 0, length: int = SEQUENCE, per_batch: int = PER_BATCH, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -131,17 +157,19 @@ def write_token_files(
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, out = None, None
-        shard = TaskContext.get().partitionId()
-        end = b"" if end_id is None else None
+        context = TaskContext.get()
+        shard, encoder, out = context.partitionId(), None, None
         for batch in batches:
             if not batch.num_rows:
                 continue
             if encoder is None:
                 encoder = shared_encoder(tokenizer)
-                out = ShardWriter(folder, shard, encoder.dtype, length, per_batch)
-                end = b"" if end_id is None else np.array([end_id], encoder.dtype).tobytes()
-            out.add(batch.column(0).to_pylist(), (x + end for x in encoder.encode_many(batch.column(1).to_pylist())))
+                out = ShardWriter(folder, shard, encoder.dtype, length, per_batch, context.taskAttemptId())
+            at = 0
+            for ids, counts in encoder.encode_array(batch.column(1)):
+                docs = batch.column(0)[at : at + len(counts)]
+                at += len(counts)
+                out.add(docs, *(ids_with_end(ids, counts, end_id) if end_id is not None else (ids, counts)))
         if out is not None:
             out.close()
             kind = folder.partition("://")[0] + "://" if "://" in folder else "file://"

@@ -54,3 +54,42 @@ def test_round_trip(spark):
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert T.token_ids(docs, P.path("byte_bpe_50k.json")).collect() == []
+
+
+def test_sequences_are_views_of_the_file(spark):
+    docs = spark.createDataFrame([(i, f"some words {i} " * 40) for i in range(50)], "doc_id long, text string").coalesce(1)
+    row = T.write_token_files(docs, P.path("byte_bpe_50k.json"), length=64, per_batch=4).first()
+    found = T.open_sequences(row.data)
+    assert len(found) == row.n_sequences
+    tok = library()
+    whole = [i for d in range(50) for i in tok.encode(f"some words {d} " * 40, add_special_tokens=False).ids + [0]]
+    allocated = pa.total_allocated_bytes()
+    for i in (0, 3, 4, len(found) - 1, 1):
+        ids, mask = found[i]
+        n = mask.true_count
+        assert ids[:n].tolist() == whole[64 * i : 64 * i + 64] and len(ids) == len(mask) == 64
+        # Views: the values lie in the mapped file, nothing is allocated for them.
+        buffer = found.batches[i // 4].column("ids").values.buffers()[1]
+        assert not ids.flags.owndata and buffer.address <= ids.ctypes.data < buffer.address + buffer.size
+    assert pa.total_allocated_bytes() == allocated
+    with pytest.raises(IndexError):
+        found[len(found)]
+
+
+def test_a_tokenizer_of_another_kind_encodes_whole_texts():
+    from tokenizers import Tokenizer
+
+    path = P.path("word_bpe_49k.json")
+    mine, tok = PieceEncoder(path), Tokenizer.from_file(path)
+    assert not mine.cuts
+    for t, got in zip(texts()[:200], mine.encode_many(texts()[:200])):
+        assert np.frombuffer(got, mine.dtype).tolist() == tok.encode(t or "", add_special_tokens=False).ids
+
+
+def test_very_long_text():
+    tok, mine = library(), PieceEncoder(P.path("byte_bpe_50k.json"))
+    rng = random.Random(7)
+    long = " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 9))) for _ in range(900_000))
+    got = list(mine.encode_many(["a", long, None, "b  c"]))
+    assert [len(x) > 0 for x in got] == [True, True, False, True]
+    assert np.frombuffer(got[1], mine.dtype).tolist() == tok.encode(long, add_special_tokens=False).ids
