@@ -11,13 +11,18 @@ their own proof, and drops candidates that fail it: tokens that end in the CRC-3
 in base 62, payment card numbers under the Luhn rule, bank account numbers under ISO 7064,
 web tokens whose header decodes to JSON, and private key blocks with a footer of their kind.
 
+Very long texts: every scan is linear in the text's length, however keywords repeat. Where an
+expression fails, hits that must fail for the same reason are passed over: those in the same
+run of token characters, and headers of key blocks whose footer does not follow.
+
 Nulls: a null text is an empty one and has no spans. A null ``doc_id`` is kept. Repeated rows
-each get a row, an empty table gives none. Other columns are kept under ``row`` if asked for.
+each get a row, an empty table gives none. Spans that begin at one place are ordered by kind. Other columns are kept under ``row`` if asked for, whatever their names.
 """
 
 from __future__ import annotations
 
 import base64
+import bisect
 import hashlib
 import json
 import re
@@ -42,7 +47,10 @@ KEYWORDS = {
 }
 _PREFIXED = re.compile(r"(?:gh[pousr]|npm)_([0-9A-Za-z]{30})([0-9A-Za-z]{6})(?![0-9A-Za-z])")
 _JWT = re.compile(r"(eyJ[A-Za-z0-9_-]+)\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+")
-_KEY_BLOCK = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----[A-Za-z0-9+/=\s:,-]*?-----END \1-----")
+_TOKEN_RUN = re.compile(r"[A-Za-z0-9_-]+")
+_KEY_HEADER = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----")
+_KEY_FOOTER = re.compile(r"(?=-----END ((?:[A-Z0-9]+ )*PRIVATE KEY)-----)")
+_KEY_BODY = re.compile(r"[A-Za-z0-9+/=\s:,-]*")
 _DIGITS = re.compile(r"(?<![0-9A-Za-z])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])", re.ASCII)
 _ACCOUNT = re.compile(r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?:\x20?[0-9A-Z]){11,30}(?![0-9A-Za-z])")
 _BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
@@ -71,7 +79,7 @@ def jwt_ok(m: re.Match) -> bool:
     """The header is JSON with an algorithm."""
     try:
         return "alg" in json.loads(base64.urlsafe_b64decode(m[1] + "=" * (-len(m[1]) % 4)))
-    except (ValueError, TypeError):
+    except (ValueError, TypeError, RecursionError):
         return False
 
 
@@ -87,27 +95,50 @@ def account_ok(m: re.Match) -> bool:
     return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
 
 
-def _anchored(pattern: re.Pattern, ok: Callable[[re.Match], bool]) -> Callable[[str, list[int]], Iterator[tuple[int, int]]]:
-    """Spans where the pattern matches at a hit, leftmost first, none inside another."""
+def _anchored(pattern: re.Pattern, ok: Callable[[re.Match], bool], run: re.Pattern | None = None) -> Callable[[str, list[int]], Iterator[tuple[int, int]]]:
+    """Spans where the pattern matches at a hit, leftmost first, none inside another. Where it fails, it fails for all hits in the same ``run``."""
 
     def scan(text: str, hits: list[int]) -> Iterator[tuple[int, int]]:
         done = 0
         for at in hits:
-            if at >= done and (m := pattern.match(text, at)):
+            if at < done:
+                continue
+            if m := pattern.match(text, at):
                 done = m.end()
                 if ok(m):
                     yield m.start(), done
+            elif run:
+                done = run.match(text, at).end()
 
     return scan
 
 
+def _key_blocks(text: str, hits: list[int]) -> Iterator[tuple[int, int]]:
+    """Headers, a body and the first footer of the header's kind behind it. Footers are found once, and a run of body characters is measured once."""
+    footers: dict[str, list[int]] = {}
+    for m in _KEY_FOOTER.finditer(text):
+        footers.setdefault(m[1], []).append(m.start())
+    done = body_end = 0
+    for at in hits:
+        m = _KEY_HEADER.match(text, at) if at >= done else None
+        places = footers.get(m[1], []) if m else []
+        i = bisect.bisect_left(places, m.end()) if m else 0
+        if i == len(places):
+            continue
+        if m.end() >= body_end:
+            body_end = _KEY_BODY.match(text, m.end()).end()
+        if places[i] <= body_end:
+            done = places[i] + len("-----END -----") + len(m[1])
+            yield at, done
+
+
 SCANS = {
     "assign": _anchored(ASSIGN, lambda m: len(m[2]) >= 8),
     "access": _anchored(ACCESS, lambda m: len(m[0]) >= 16),
     "hex": _anchored(HEX, lambda m: len(m[0]) >= 32),
     "prefixed": _anchored(_PREFIXED, prefixed_ok),
-    "jwt": _anchored(_JWT, jwt_ok),
-    "key_block": _anchored(_KEY_BLOCK, lambda m: True),
+    "jwt": _anchored(_JWT, jwt_ok, _TOKEN_RUN),
+    "key_block": _key_blocks,
     "card": _anchored(_DIGITS, luhn_ok),
     "account": _anchored(_ACCOUNT, account_ok),
 }
