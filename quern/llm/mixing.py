@@ -1,6 +1,6 @@
 """Mixing sources to target weights by weighted sampling without replacement.
 
-Each document has the key ``-ln(u) / w`` with ``u`` drawn from a digest of its id and ``w`` its
+Each document has the key ``-ln(u) / w`` with ``u`` drawn from a digest of its id and text and ``w`` its
 quality weight (Efraimidis and Spirakis): in ascending order of keys, documents of a source
 come as a weighted sample without replacement. A source takes as many complete epochs of
 all its documents as its target holds, and then documents in order of their keys until the
@@ -16,9 +16,11 @@ weights in turn, and share ``share`` times all words; no target is above ``most`
 source's words, and what exceeds that is shared out again by weight.
 
 Nulls: a null text has size 0; null is a source of its own; a null or other label has the
-neutral weight; null ids share one key. Rows that tie in the key are ordered by id, size and
-text, and repeated rows stand for each other. A source without words has target 0. An
-empty table gives no rows. Other columns are kept by `mix`.
+neutral weight; of several labels the greatest counts. A null id takes part like any other; as
+keys depend on texts too, documents without an id don't share one. Rows with one id and text tie: they are
+ordered by size alone, stand for each other, and each is taken by itself. A text of any length is one row, and a source without
+words has target 0. An empty table gives no rows, no labels leave all weights neutral. `mixed` keeps all columns, whatever their
+names, and gives each row as often as that row is taken.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quern.runtime import materialise
+from quern.runtime import drop_finished_shuffles, materialise
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
@@ -42,9 +44,9 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def uniform(doc_id: Column, seed: str = SEED) -> Column:
+def uniform(doc_id: Column, text: Column, seed: str = SEED) -> Column:
     """A number in (0, 1) from the first 48 bits of an MD5 digest."""
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("null"))))
+    digest = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(doc_id.cast("string"), F.lit("null")), F.md5(F.coalesce(text, F.lit("")))))
     return (F.conv(F.substring(digest, 1, 12), 16, 10).cast("long") + F.lit(0.5)) / F.lit(float(1 << 48))
 
 
@@ -68,9 +70,10 @@ def targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, mo
     return placed.withColumn("at", first["level"]).select("source", "source_size", F.when(F.col("full") | F.col("at").isNull(), F.col("most")).otherwise(F.least(F.col("w") * F.col("at"), F.col("most"))).alias("target"))
 
 
-def mix(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = SEED) -> DataFrame:
-    """``doc_id, source, size, source_size, target, taken`` for each document; ``taken`` counts words, repeats included."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"))
+def mix(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = SEED, carry: list[str] | None = None) -> DataFrame:
+    """``doc_id, source, size, source_size, target, taken, row`` for each document; ``taken`` counts words, repeats included, and ``row`` has the columns in ``carry``."""
+    row = F.struct(F.lit(True).alias("_"), *(F.col(f"`{c}`") for c in carry or []))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), uniform(F.col(id_col).cast("long"), F.col(text_col), seed).alias("u"), row.alias("row"))
     if labels is None:
         rows = rows.withColumn("quality", F.lit(None).cast("int"))
     else:
@@ -78,9 +81,10 @@ def mix(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id"
     weight = F.lit(1.0)
     for value, w in QUALITY.items():
         weight = F.when(F.col("quality") == value, F.lit(w)).otherwise(weight)
-    key = -F.log(uniform(F.col("doc_id"), seed)) / weight
+    key = -F.log("u") / weight
     rows = rows.withColumn("key", key).withColumn("slice", F.least(F.floor((F.lit(1.0) - F.exp(-F.col("key"))) * SLICES), F.lit(SLICES - 1)).cast("int"))
-    rows = materialise(rows.select("doc_id", "source", "size", "key", "slice"), "mix_rows")
+    with drop_finished_shuffles(docs.sparkSession):
+        rows = materialise(rows.select("doc_id", "source", "size", "key", "slice", "row"), "mix_rows")
 
     slices = materialise(rows.groupBy("source", "slice").agg(F.sum("size").alias("words")), "mix_slices")
     goals = targets(slices.groupBy("source").agg(F.sum("words").alias("source_size")))
@@ -107,16 +111,16 @@ def mix(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id"
     done = F.col("before") + F.coalesce(F.sum("size").over(order), F.lit(0))
     hard = joined.where(inside).withColumn("done", done)
     hard = hard.withColumn("taken", F.col("size") * (F.col("epochs") + F.when(F.col("done") + F.col("size") / 2 <= F.col("rest"), 1).otherwise(0)))
-    out = ["doc_id", "source", "size", "source_size", "target", F.col("taken").cast("long").alias("taken")]
+    out = ["doc_id", "source", "size", "source_size", "target", F.col("taken").cast("long").alias("taken"), "row"]
     return easy.select(*out).union(hard.select(*out))
 
 
 def mixed(docs: DataFrame, labels: DataFrame | None = None, **options) -> DataFrame:
-    """The documents that the mix takes, with the columns they came with, each as often as it is taken."""
-    found = mix(docs, labels, **options)
+    """The documents that the mix takes, with the columns they came with, each row as often as it is taken."""
+    found = mix(docs, labels, carry=docs.columns, **options)
     copies = F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(0).cast("int")
-    chosen = found.select("doc_id", copies.alias("copies")).where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("_copies"))
-    return docs.join(chosen.withColumnRenamed("doc_id", "_id"), docs["doc_id"].eqNullSafe(F.col("_id"))).select(*(docs[c] for c in docs.columns), F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")).drop("_copy")
+    rows = found.select("row", copies.alias("copies")).where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
+    return rows.select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ MIXING = r"""
 with docs as (
   select d.doc_id, d.source, len(regexp_extract_all(coalesce(d.text, ''), '[^\x20\x09-\x0D]+'))::bigint as size,
          case l.quality when 1 then 2.0::double when 0 then 0.5::double else 1.0::double end as w,
-         (('0x' || substr(md5('mix:' || coalesce(d.doc_id::varchar, 'null')), 1, 12))::bigint + 0.5::double) / 281474976710656.0::double as u
+         (('0x' || substr(md5('mix:' || coalesce(d.doc_id::varchar, 'null') || ':' || md5(coalesce(d.text, ''))), 1, 12))::bigint + 0.5::double) / 281474976710656.0::double as u
   from documents d left join (select doc_id, max(quality) as quality from labels group by doc_id) l using (doc_id)
 ), keyed as (select *, -ln(u) / w as key from docs),
 sizes as (

@@ -63,14 +63,17 @@ def test_against_sql(spark):
         assert a[:3] == b[:3] and a[4] == b[4] and math.isclose(a[3], b[3], rel_tol=1e-12, abs_tol=1e-12)
 
 
-def test_copies(spark):
-    docs, labels = tables(spark)
-    docs = docs.where("doc_id <> 1006 and doc_id is not null")
-    out = mixing.mixed(docs, labels)
+def test_each_row_is_given_as_often_as_it_is_taken(spark):
+    # One id on unlike rows, null ids, a repeated row, and columns named as those used inside.
+    rows = [(i, "w " * n, s, 7, f"c{i}", n) for i, n, s in ((1, 5, "a"), (1, 900, "a"), (None, 3, "b"), (None, 40, "a"), (2, 8, "b"), (2, 8, "b"), (3, 0, None))]
+    rows += [(100 + i, "v " * (i % 9 + 1), "a", 7, "x", i) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, _id int, _copy string, row int").repartition(3)
+    out = mixing.mixed(docs)
     assert out.columns == docs.columns
-    want = {r.doc_id: r.taken // r["size"] for r in mixing.mix(docs, labels).collect() if r["size"]}
-    count = {r.doc_id: r["count"] for r in out.groupBy("doc_id").count().collect()}
-    assert count == {k: v for k, v in want.items() if v}
+    found = mixing.mix(docs, carry=docs.columns).collect()
+    assert len(found) == len(rows)
+    want = sorted(str(tuple(r.row)[1:]) for r in found if r["size"] for _ in range(r.taken // r["size"]))
+    assert sorted(str(tuple(r)) for r in out.collect()) == want and len(want) > len(rows)
 
 
 @pytest.mark.parametrize("rows", [[], [(1, None, None)]])
