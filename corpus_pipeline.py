@@ -1,4 +1,8 @@
-"""A corpus pipeline of five operators; each stage works on what its predecessor kept."""
+"""A corpus pipeline of five operators; each stage works on what its predecessor kept.
+
+All stages take nulls in any column, empty and very long texts, repeated rows, empty tables and
+columns of any other names, and say what becomes of them. All but the last keep the columns of the documents.
+"""
 
 from __future__ import annotations
 
@@ -7,39 +11,49 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quern.llm import decontaminate, language, minhash, mixing, token_file
+from quern.llm import decontaminate, language, minhash, mixing, simhash, token_file
+from quern.llm.rows import carried, released
 from quern.runtime import work_path
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go. It learns from all labelled documents that it is given."""
+    """Documents that the classifier rejects go, and with them texts that are null or have no letter. It learns from all labelled documents that it is given.
+
+    Where none is labelled, every document is rejected. Repeated rows stay or go together.
+    """
     return language.identified(docs, language.fit(docs))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of texts that share four fifths of their five-word shingles, the one with the smallest id stays, in one row.
+    """Of each group of near-duplicates, the document with the smallest id stays, in one row.
 
-    A group's row is named by its text and id, so ids may be null or stand on several texts.
+    SimHash groups come first. Fingerprints within two bits catch only some of the copies that
+    share four fifths of their five-word shingles, so what is left goes through MinHash bands,
+    with that likeness verified. Texts without words are near-duplicates of each other. A group's row is named by its text and
+    id, so ids may be null or stand on several texts; rows with one id and text are one row, the first by its other columns.
     """
-    keep = minhash.representatives(docs).toDF("_key", "_rep")
-    found = docs.withColumn("_key", minhash.text_key()).join(keep, "_key").where(F.col("doc_id").cast("long").eqNullSafe(F.col("_rep")))
-    # Rows with one id and one text: the first by content.
-    order = Window.partitionBy("_key").orderBy(*(F.col(f"`{c}`") for c in docs.columns if c != "doc_id"))
-    return found.withColumn("_row", F.row_number().over(order)).where("_row = 1").select(*docs.columns)
+    left = simhash.representatives(docs, minhash.text_key())
+    keep = minhash.representatives(docs, among=left)
+    rows = docs.select(minhash.text_key().alias("key"), F.col("doc_id").cast("long").alias("id"), carried(docs.columns))
+    found = rows.join(keep, "key").where(F.col("id").eqNullSafe(F.col("rep")))
+    # What ties is one id and text: the first by the other columns.
+    order = Window.partitionBy("key").orderBy(*(F.col(f"row.`{c}`") for c in docs.columns if c not in ("doc_id", "text")))
+    first = found.withColumn("place", F.row_number().over(order)).where("place = 1")
+    return released(first, docs.columns)
 
 
 def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which a twentieth or more is in windows of the benchmark go."""
+    """Documents of which a twentieth or more is in windows of the benchmark go. Null and empty texts are clean, and without a benchmark all are."""
     return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them."""
+    """Documents as often as the mix of sources takes them: each row by itself, and never one without words."""
     return mixing.mixed(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def write_token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token files, and where each document is in them."""
+    """Token files, and where each document is in them: rows in ascending order of id, then text; null ids first. A row without text has the end id alone."""
     return token_file.token_ids(docs, token_file.default_tokenizer())
 
 

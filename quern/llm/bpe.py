@@ -30,7 +30,7 @@ _BARE = "\x00"
 #: Adjacent spaces and line feeds, or white space of another kind: such texts are looked at one by one.
 _ODD_TEXT = r"[ \n][ \n]|[\x00\t\x0b-\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 #: Bytes of text that are cut and looked up at a time.
-GROUP_BYTES = 16 << 20
+GROUP_BYTES = 8 << 20
 
 
 @lru_cache(maxsize=2)

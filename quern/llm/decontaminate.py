@@ -28,6 +28,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.llm.rows import carried, released
+
 WINDOW = 13
 #: A document goes if at least one word in so many is hit.
 ONE_IN = 20
@@ -190,8 +192,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
 
     ``spans`` holds the hit runs of words as from, to, from, to; ``items`` the item ids whose windows occur, in order.
     """
-    one = F.lit(True).alias("_")
-    row = F.struct(one, *(F.col(f"`{c}`") for c in carry or []))
+    row = carried(carry)
     blocks = benchmark_blocks(benchmark, block_bytes)
     block, found = next(blocks), None
     while block is not None:
@@ -200,7 +201,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
         # While further blocks follow, the text travels with the row, and then what was found before.
         if found is None:
             text = F.col(f"`{text_col}`")
-            rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.struct(row.alias("row"), *([text.alias("text")] if after else [])).alias("held"))
+            rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.struct(row, *([text.alias("text")] if after else [])).alias("held"))
         else:
             kept = F.struct(F.col("held.row").alias("row"), F.col("spans").alias("spans"), F.col("items").alias("items"), *([F.col("held.text").alias("text")] if after else []))
             rows = found.select("doc_id", F.col("held.text").alias("text"), kept.alias("held"))
@@ -270,7 +271,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame
     """The documents that are not contaminated, with the columns they came with."""
     found = contamination(docs, benchmark, carry=docs.columns, **options)
     hit = n_hit(F.col("spans"))
-    return found.where((hit == 0) | (hit * ONE_IN < F.col("n_words"))).select(*(F.col(f"row.`{c}`") for c in docs.columns))
+    return released(found.where((hit == 0) | (hit * ONE_IN < F.col("n_words"))), docs.columns)
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

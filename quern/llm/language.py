@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.llm.rows import carried, released
+
 SIZE = 1 << 12
 GRAMS = (1, 2, 3, 4)
 #: Documents of each language that centroids are made from, at most about, and of all languages.
@@ -186,8 +188,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
     """``row`` with the columns in ``carry``, ``lang_pred``, ``score`` and ``rejected`` of each document."""
-    row = F.struct(F.lit(True).alias("_"), *(F.col(f"`{c}`") for c in carry or []))
-    rows = docs.select(F.col(f"`{text_col}`").alias("text"), row.alias("row"))
+    rows = docs.select(F.col(f"`{text_col}`").alias("text"), carried(carry))
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,7 +206,7 @@ def held_out(doc_id: Column, folds: int = FOLDS, fold: int = HELD_OUT) -> Column
 
 def identified(docs: DataFrame, model: Model) -> DataFrame:
     """The documents that are not rejected, with the columns they came with."""
-    return identify(docs, model, carry=docs.columns).where(~F.col("rejected")).select(*(F.col(f"row.`{c}`") for c in docs.columns))
+    return released(identify(docs, model, carry=docs.columns).where(~F.col("rejected")), docs.columns)
 
 
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -204,8 +204,8 @@ def _verified(pairs: DataFrame, rows: DataFrame, classes: DataFrame, threshold:
     return materialise(both.mapInArrow(run, "a long, b long"), "near_pairs")
 
 
-def _text_groups(rows: DataFrame, threshold: float) -> DataFrame:
-    """``key, rep, component`` of each different text of ``rows(doc_id, key, text)``; ``rep`` is its smallest id.
+def _text_groups(rows: DataFrame, threshold: float, among: DataFrame | None = None) -> DataFrame:
+    """``key, rep, component`` of each different text of ``rows(doc_id, key, text)``, or of those with a key in ``among``; ``rep`` is its smallest id.
 
     Under a band that several texts share, all are first compared with one of them, in each
     round another. Texts that are linked by then need no comparison; of those in different
@@ -215,6 +215,8 @@ def _text_groups(rows: DataFrame, threshold: float) -> DataFrame:
     """
     marked = materialise(rows.select("doc_id", "key", "text").mapInArrow(_bands, "doc_id long, key binary, bands array<long>"), "marked")
     classes = marked.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
+    if among is not None:
+        classes = classes.join(among.select("key"), "key", "left_semi")
     classes = materialise(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     bands = classes.select("node", F.explode("bands").alias("value"))
     shared = bands.groupBy("value").agg(F.count("*").alias("n")).where("n > 1")
@@ -264,12 +266,12 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_col: str =
     return rows.select("doc_id", "key").join(named.select("key", "component"), "key").join(least, "component").select("doc_id", "component_id")
 
 
-def representatives(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``key, rep``: of each group of near-duplicates the text with the smallest id, and that id.
+def representatives(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", among: DataFrame | None = None) -> DataFrame:
+    """``key, rep``: of each group of near-duplicates the text with the smallest id, and that id. ``among(key)`` names the texts that take part, all if none.
 
     Rows without an id take part; they stand for a group only if none in it has an id.
     """
-    named = _text_groups(_rows(docs, id_col, text_col), threshold)
+    named = _text_groups(_rows(docs, id_col, text_col), threshold, among)
     first = F.min(F.struct(F.col("rep").isNull().alias("unnamed"), "rep", "key")).alias("first")
     return materialise(named.groupBy("component").agg(first).select("first.key", "first.rep"), "representatives")
 

@@ -28,6 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quern.llm.rows import carried, released
 from quern.runtime import drop_finished_shuffles, materialise
 
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -72,8 +73,7 @@ def targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, mo
 
 def mix(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = SEED, carry: list[str] | None = None) -> DataFrame:
     """``doc_id, source, size, source_size, target, taken, row`` for each document; ``taken`` counts words, repeats included, and ``row`` has the columns in ``carry``."""
-    row = F.struct(F.lit(True).alias("_"), *(F.col(f"`{c}`") for c in carry or []))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), uniform(F.col(id_col).cast("long"), F.col(text_col), seed).alias("u"), row.alias("row"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), uniform(F.col(id_col).cast("long"), F.col(text_col), seed).alias("u"), carried(carry))
     if labels is None:
         rows = rows.withColumn("quality", F.lit(None).cast("int"))
     else:
@@ -120,7 +120,7 @@ def mixed(docs: DataFrame, labels: DataFrame | None = None, **options) -> DataFr
     found = mix(docs, labels, carry=docs.columns, **options)
     copies = F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(0).cast("int")
     rows = found.select("row", copies.alias("copies")).where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
-    return rows.select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))
+    return released(rows, docs.columns)
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,6 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.llm.rows import carried
+
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
@@ -209,8 +211,7 @@ def joined(spans: list[tuple[str, int, int]]) -> str:
 
 def scan(docs: DataFrame, text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
     """Columns in ``carry`` under ``row``, then ``n_assign, n_access, n_hex, base_sha256, spans``."""
-    row = F.struct(F.lit(True).alias("_"), *(F.col(f"`{c}`") for c in carry or []))
-    rows = docs.select(F.col(f"`{text_col}`").alias("text"), row.alias("row"))
+    rows = docs.select(F.col(f"`{text_col}`").alias("text"), carried(carry))
     names = ["row", "n_assign", "n_access", "n_hex", "base_sha256", "spans"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -13,7 +13,8 @@ Fingerprints, not documents, are joined: equal ones are one node.
 
 Nulls: a null text has no words, as an empty one; its fingerprint is zero and linked like
 any other. Documents with a null id take part, and a group's name is the smallest id that is
-not null. Repeated rows each get a row. An empty table gives no rows. Other columns are not read.
+not null. Repeated rows each get a row. Texts of any length are read whole, hashes a few thousand at a time; ties in the
+vote over a bit leave it zero. An empty table gives no rows. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -117,6 +118,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return marked.join(named, "fp", "left").select("doc_id", "fp", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def representatives(docs: DataFrame, key: Column, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE) -> DataFrame:
+    """``key, rep``: of each group of near-duplicates the text, named by ``key``, with the smallest id, and that id.
+
+    Rows without an id take part; they stand for a group only if none in it has an id. Of texts with that id, the smallest key stands.
+    """
+    rows = docs.select(F.struct(F.col(id_col).cast("long").alias("id"), key.alias("key")).alias("row"), F.col(text_col).alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = np.array([fingerprint(t, width) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], names=["row", "fp"])
+
+    marked = rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, fp long")
+    first = F.struct(F.col("row.id").isNull().alias("unnamed"), F.col("row.id").alias("rep"), F.col("row.key").alias("key"))
+    nodes = materialise(marked.groupBy("fp").agg(F.min(first).alias("first")), "simhash_nodes")
+    found = components(links(nodes.select("fp"))).withColumnRenamed("node", "fp")
+    groups = nodes.join(found, "fp", "left").groupBy(F.coalesce("component", "fp").alias("component"))
+    return materialise(groups.agg(F.min("first").alias("first")).select("first.key", "first.rep"), "simhash_representatives")
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Query: fingerprint and near-duplicate group of every document of ``documents``."""
     found = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
