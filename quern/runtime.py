@@ -14,11 +14,13 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share, as a URI.
 
-    It is the session's ``spark.checkpoint.dir``. Only where that is unset, as in local
-    tests, a temporary folder is made and set.
+    It is the session's ``spark.checkpoint.dir``. Only where that is unset in a local
+    session, as in tests, a temporary folder is made and set: on a cluster each machine would have its own.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="quern-")
         spark.conf.set("spark.checkpoint.dir", root)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -36,7 +38,17 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = work_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found._work_path = path
+    return found
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that `materialise` wrote, once nothing reads them any more."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._work_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
