@@ -56,6 +56,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bounded_batches(spark: SparkSession, size: str = "4m") -> None:
+    """Arrow batches of a session's queries hold at most so many bytes from now on, unless a bound was set: texts may be long, and a Python worker holds a whole batch."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) == "67108864b":
+        spark.conf.set(key, size)
+
+
 @contextmanager
 def drop_finished_shuffles(spark: SparkSession) -> Iterator[None]:
     """While this lasts, Spark removes an execution's shuffle files when it ends: what comes after reads tables, and disks are bounded."""
