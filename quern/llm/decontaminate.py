@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm.rows import carried, released
+from quern.runtime import bounded_batches
 
 WINDOW = 13
 #: A document goes if at least one word in so many is hit.
@@ -192,6 +193,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
 
     ``spans`` holds the hit runs of words as from, to, from, to; ``items`` the item ids whose windows occur, in order.
     """
+    bounded_batches(docs.sparkSession)
     row = carried(carry)
     blocks = benchmark_blocks(benchmark, block_bytes)
     block, found = next(blocks), None

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm.components import components
-from quern.runtime import materialise
+from quern.runtime import bounded_batches, materialise
 
 WIDTH = 5
 PERMUTATIONS = 128
@@ -142,6 +142,7 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def compared(docs: DataFrame, partitions: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each document's fingerprint beside those of its edited text and of the next document."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     last = -(1 << 63)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -254,6 +255,7 @@ def _text_groups(rows: DataFrame, threshold: float, among: DataFrame | None = No
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
     return rows.withColumn("key", text_key())
 

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.llm import repeats_text as R
-from quern.runtime import drop_finished_shuffles, materialise, work_path
+from quern.runtime import bounded_batches, drop_finished_shuffles, materialise, work_path
 
 #: In a batch, of more stretches than this that begin alike, two stand for all.
 ALIKE = 8
@@ -164,6 +164,7 @@ def _later(windows: DataFrame) -> DataFrame:
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """The documents, numbered, and for each that loses bytes ``ranges`` of window starts and single ``starts``."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     rows = _numbered(docs, id_col, text_col)
     with drop_finished_shuffles(spark):
         alike = Window.partitionBy("deal", "key")

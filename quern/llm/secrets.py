@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm.rows import carried
+from quern.runtime import bounded_batches
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -211,6 +212,7 @@ def joined(spans: list[tuple[str, int, int]]) -> str:
 
 def scan(docs: DataFrame, text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
     """Columns in ``carry`` under ``row``, then ``n_assign, n_access, n_hex, base_sha256, spans``."""
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(f"`{text_col}`").alias("text"), carried(carry))
     names = ["row", "n_assign", "n_access", "n_hex", "base_sha256", "spans"]
 

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.llm.components import components
-from quern.runtime import materialise
+from quern.runtime import bounded_batches, materialise
 
 SEED = 42
 SHINGLE = 3
@@ -64,6 +64,8 @@ def fingerprint(text: str | None, width: int = SHINGLE, step: int = 1 << 15) ->
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE) -> DataFrame:
     """``(doc_id, fp)``, the fingerprint as a signed long."""
 
+    bounded_batches(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.array([fingerprint(t, width) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
@@ -123,6 +125,7 @@ def representatives(docs: DataFrame, key: Column, id_col: str = "doc_id", text_c
 
     Rows without an id take part; they stand for a group only if none in it has an id. Of texts with that id, the smallest key stands.
     """
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.struct(F.col(id_col).cast("long").alias("id"), key.alias("key")).alias("row"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

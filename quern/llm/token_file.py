@@ -30,8 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quern.llm.bpe import shared_encoder
-from quern.runtime import materialise, work_path
+from quern.llm.bpe import GROUP_BYTES, shared_encoder
+from quern.runtime import bounded_batches, materialise, work_path
 
 SEQUENCE = 2048
 PER_BATCH = 64
@@ -140,6 +140,19 @@ def read_shard(data: str, index: str) -> Iterator[tuple[np.ndarray, np.ndarray,
             yield docs.column("doc_id"), starts, counts, got
 
 
+def grouped(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Table]:
+    """Batches put together until they hold so many bytes."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+        if sum(b.nbytes for b in held) >= size:
+            yield pa.Table.from_batches(held)
+            held = []
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def ids_with_end(ids: np.ndarray, counts: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """The ids with one more behind each document's."""
     out = np.full(len(ids) + len(counts), end_id, ids.dtype)
@@ -152,6 +165,7 @@ def write_token_files(
 ) -> DataFrame:
     """Encode all documents, write the shards, and return the manifest. Shards follow each other in ascending document id."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     folder = folder or work_path(spark, "tokens")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,15 +173,13 @@ def write_token_files(
 
         context = TaskContext.get()
         shard, encoder, out = context.partitionId(), None, None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for table in grouped(batches, GROUP_BYTES):
             if encoder is None:
                 encoder = shared_encoder(tokenizer)
                 out = ShardWriter(folder, shard, encoder.dtype, length, per_batch, context.taskAttemptId())
-            at = 0
-            for ids, counts in encoder.encode_array(batch.column(1)):
-                docs = batch.column(0)[at : at + len(counts)]
+            at, doc_ids = 0, table.column(0).combine_chunks()
+            for ids, counts in encoder.encode_array(table.column(1).combine_chunks()):
+                docs = doc_ids[at : at + len(counts)]
                 at += len(counts)
                 out.add(docs, *(ids_with_end(ids, counts, end_id) if end_id is not None else (ids, counts)))
         if out is not None:
