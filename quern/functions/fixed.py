@@ -63,6 +63,7 @@ DEFINITIONS = (
 )
 TRAILING = r"(?i)^(.{15,}?)\s+is\s+(?:sometimes\s+)?(?:called|known\s+as|termed)\s+([A-Za-z][\w-]{2,30})[.]?$"
 TERM_DEFINITION = r"^([A-Za-z0-9][^:]{2,60}?):\s+(.{8,})$"
+SUMMARY_FILLER = ("with", "from", "this", "that", "page", "the", "and", "for", "your")
 STATEMENT = r"\b(is|are|describes?|means|lets?|allows?|makes?)\b"
 
 # Phrasing.

@@ -26,8 +26,10 @@ def words(text: Column) -> Column:
 def content_words(text: Column) -> Column:
     """Distinct stemmed words that carry meaning, in order of appearance."""
     pieces = F.split(F.regexp_replace(F.lower(text), r"[^a-z0-9\s]", " "), r"\s+")
-    kept = F.filter(pieces, lambda w: ((F.length(w) >= 4) | w.rlike(r"\d")) & ~w.isin(X.STOPWORDS))
-    return F.array_distinct(F.transform(kept, lambda w: F.when(w.rlike(r"\d"), w).otherwise(F.regexp_replace(w, X.STEM, "$1"))))
+    # Each word is looked at once; most end in no letter that a suffix ends in.
+    words_ = F.filter(F.array_except(pieces, F.array(*map(F.lit, X.STOPWORDS))), lambda w: (F.length(w) >= 4) | w.rlike(r"\d"))
+    stemmed = F.transform(words_, lambda w: F.when(F.substring(w, -1, 1).isin("g", "d", "s", "e") & ~w.rlike(r"\d"), F.regexp_replace(w, X.STEM, "$1")).otherwise(w))
+    return F.array_distinct(stemmed)
 
 
 def overlap(a: Column, b: Column) -> Column:
@@ -88,7 +90,21 @@ def definitions(sentence: Column) -> Column:
         found = F.when(said.rlike(pattern), F.when(good, F.struct(term.alias("term"), rest.alias("def")))).otherwise(found)
     last, before = (F.trim(F.regexp_extract(said, X.TRAILING, i)) for i in (2, 1))
     trailing = F.when(said.rlike(X.TRAILING) & meaningful_label(last) & (F.size(words(before)) <= 40), F.struct(last.alias("term"), before.alias("def")))
-    return F.when(F.size(words(said)) <= 42, F.array_compact(F.array(found, trailing))).otherwise(F.array().cast("array<struct<term:string,def:string>>"))
+    # A cheap test first: every pattern has one of these words.
+    possible = F.lower(sentence).rlike(r"\s(is|are|refers|means)\s")
+    return F.when(possible & (F.size(words(said)) <= 42), F.array_compact(F.array(found, trailing))).otherwise(F.array().cast("array<struct<term:string,def:string>>"))
+
+
+def summary(title: Column, text: Column) -> Column:
+    """``(back, score)``: the sentence that best explains a title, the first of equals; null where the title names no concept or no sentence will do."""
+    title = F.trim(title)
+    keys = F.filter(F.split(F.lower(title), "[^a-z0-9]+"), lambda w: (F.length(w) > 3) & ~w.isin(*X.SUMMARY_FILLER))
+    said = F.transform(sentences(tidy(text)), lambda s, i: F.struct(s.alias("s"), F.lower(s).alias("low"), F.size(words(s)).alias("n"), (-i).alias("place")))
+    fit = F.filter(said, lambda x: x["n"].between(8, 45) & F.exists(keys, lambda w: F.contains(x["low"], w)) & ~x["s"].rlike(X.CONJUNCTION))
+    score = lambda x: F.size(F.filter(keys, lambda w: F.contains(x["low"], w))) * 10 + F.when(x["low"].rlike(X.STATEMENT), 5).otherwise(0) - F.when(x["s"].rlike(X.PRONOUN_SUBJECT), 6).otherwise(0) - x["n"] / 10
+    best = F.array_max(F.transform(fit, lambda x: F.struct(score(x).alias("score"), x["place"].alias("place"), x["s"].alias("s"))))
+    back = F.regexp_replace(best["s"], r"^[A-Z][^,]{0,40},\s+(?=[a-z])", "")
+    return F.when(meaningful_label(title) & ~title.rlike("[:;]") & best.isNotNull(), F.struct(back.alias("back"), best["score"].alias("score")))
 
 
 def usable_card(front: Column, back: Column) -> Column:

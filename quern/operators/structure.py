@@ -28,8 +28,10 @@ def without_furniture(blocks: DataFrame) -> DataFrame:
 
 
 def without_navigation(blocks: DataFrame, titles: DataFrame) -> DataFrame:
-    """Blocks but for short ones that say another section's title. ``titles(document, section, title)``; of equal titles the last section's counts."""
-    owner = titles.withColumn("slug", T.slug(F.col("title"))).groupBy("document", "slug").agg(F.max("section").alias("owner"))
+    """Blocks but for short ones that say another section's title, where a document has four sections or more. ``titles(document, section, title)``; of equal titles the last section's counts."""
+    many = blocks.groupBy("document").agg(F.count_distinct("section").alias("n")).where("n >= 4").select("document")
+    titles = titles.join(many, "document", "left_semi")
+    owner = titles.withColumn("slug", T.slug(F.col("title"))).where("slug <> ''").groupBy("document", "slug").agg(F.max("section").alias("owner"))
     b = blocks.withColumn("slug", F.when(F.length("text") <= X.NAVIGATION_CHARS, T.slug(F.col("text"))))
     joined = b.join(owner, ["document", "slug"], "left")
     return joined.where(F.col("owner").isNull() | (F.col("owner") == F.col("section"))).drop("slug", "owner")

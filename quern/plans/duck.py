@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from quern.functions import fixed as X
+from quern.sources import fixtures
+from quern.sources.fixtures import literal  # noqa: F401
 from quern.sources.adapters import GRADES, NOW_MS
 
 
@@ -57,6 +59,11 @@ def conflicting(a: str, b: str) -> str:
     return f"(len({a}) > 0 and len({b}) > 0 and (len(list_intersect({a}, {b})) < len({a}) or len(list_intersect({a}, {b})) < len({b})))"
 
 
+def said(x: str) -> str:
+    """Without an introductory clause. RE2 has no look-ahead: the clause that goes is matched with the letter after it, which stays."""
+    return f"regexp_replace({x}, '^[A-Z][^,]{{0,40}},\\s+([a-z])', '\\1')"
+
+
 def label(x: str) -> str:
     la = sub(trim(x), "[:?.]+$", "")
     return (
@@ -81,16 +88,19 @@ def usable(front: str, back: str) -> str:
     return "not (" + " or ".join(bad) + ")"
 
 
-CARDS = """cards as (select conv_id as deck_id, turn as ord, text as front, back from (
+CARDS = """cards as (select conv_id as deck_id, turn as ord, text as front, back, false as has_code, false as has_image from (
   select conv_id, turn, role, text, lead(role) over w as next_role, lead(text) over w as back from conversations window w as (partition by conv_id order by turn, role, text))
-  where role = 'user' and next_role = 'assistant' and text is not null and back is not null)"""
-LINES = """lines as (select doc_id, source, unnest(range(len(l))) as line_no, unnest(l) as line from (select doc_id, source, string_split(text, chr(10)) as l from documents where text is not null))"""
-SENTENCES = (
-    "sentences as (select doc_id, unnest(range(len(s))) as pos, unnest(s) as sentence from (select doc_id, list_filter(list_transform(string_split("
+  where role = 'user' and next_role = 'assistant' and text is not null and back is not null union all select * from """ + fixtures.CARDS.sql + ")"
+DOCS = f"docs as (select doc_id, source, text from documents where text is not null union all select * from {fixtures.DOCUMENTS.sql})"
+LINES = DOCS + ", lines as (select doc_id, source, unnest(range(len(l))) as line_no, unnest(l) as line from (select doc_id, source, string_split(text, chr(10)) as l from docs))"
+SENTENCES = DOCS + (
+    ", sentences as (select doc_id, unnest(range(len(s))) as pos, unnest(s) as sentence from (select doc_id, list_filter(list_transform(string_split("
     + sub(sub("text", r"\s+", " "), "([.!?])\\s+([A-Z“\"'(])", "\\1\x01\\2")
-    + ", chr(1)), lambda x: trim(x, ' ')), lambda x: x <> '') as s from documents where text is not null))"
+    + ", chr(1)), lambda x: trim(x, ' ')), lambda x: x <> '') as s from docs))"
 )
 
+TIDY_SENTENCES = SENTENCES.replace("from docs))", "from (select doc_id, " + tidy("text") + " as text from docs)))")
+
 
 def millis(ts: str) -> str:
     return f"(epoch_us({ts}) // 1000)"

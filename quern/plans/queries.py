@@ -48,13 +48,13 @@ def dup_02(spark, sf):
     return w.select("doc_id", F.size("w").cast("long").alias("n_words"), F.md5(F.array_join(F.array_sort("w"), " ")).alias("words_md5"))
 
 
-_TURNS = f"turns as (select conv_id, turn, role, w, lag(w) over o as v, n, lag(n) over o as m from (select conv_id, turn, role, text, {D.content_words('text')} as w, {D.numbers('text')} as n from conversations where text is not null) window o as (partition by conv_id order by turn, role, text))"
+_TURNS = f"turns as (select conv_id, turn, role, w, lag(w) over o as v from (select conv_id, turn, role, text, {D.content_words('text')} as w from conversations where text is not null) window o as (partition by conv_id order by turn, role, text))"
 
 
 def _turns(spark, sf):
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    rows = table(spark, sf, "conversations").where("text is not null").withColumns({"w": T.content_words(F.col("text")), "n": T.numbers(F.col("text"))})
-    return rows.withColumns({"v": F.lag("w").over(order), "m": F.lag("n").over(order)}).where("v is not null")
+    rows = table(spark, sf, "conversations").where("text is not null").withColumn("w", T.content_words(F.col("text")))
+    return rows.withColumn("v", F.lag("w").over(order)).where("v is not null")
 
 
 @query("dup_03_overlap", f"with {_TURNS} select conv_id, turn, role, {D.overlap('v', 'w')} as overlap from turns where v is not null")
@@ -62,9 +62,15 @@ def dup_03(spark, sf):
     return _turns(spark, sf).select("conv_id", "turn", "role", T.overlap(F.col("v"), F.col("w")).alias("overlap"))
 
 
-@query("dup_04_conflicting_numbers", f"with {_TURNS} select conv_id, turn, role, {D.conflicting('m', 'n')} as conflict from turns where v is not null")
+_PAIRS = f"w as (select deck_id, ord, front, back, {D.content_words('front')} as fw, {D.content_words('back')} as bw, {D.numbers('front')} as fn, {D.numbers('back')} as bn, has_code, has_image from cards), pairs as (select a.deck_id, a.ord as kept, b.ord as later, a.fw as afw, b.fw as bfw, a.bw as abw, b.bw as bbw, a.fn as afn, b.fn as bfn, a.bn as abn, b.bn as bbn, b.has_code and not a.has_code as code, b.has_image and not a.has_image as image from w a join w b on a.deck_id = b.deck_id and a.ord < b.ord)"
+
+
+@query("dup_04_conflicting_numbers", f"with {D.CARDS}, {_PAIRS} select deck_id, kept, later, {D.conflicting('abn', 'bbn')} as conflict from pairs where later = kept + 1 or deck_id < 0")
 def dup_04(spark, sf):
-    return _turns(spark, sf).select("conv_id", "turn", "role", T.conflicting(F.col("m"), F.col("n")).alias("conflict"))
+    n = A.cards(spark, sf).select("deck_id", "ord", T.numbers(F.col("back")).alias("n"))
+    a, b = n.toDF("deck_id", "kept", "m"), n.toDF("deck_id", "later", "n")
+    near = (F.col("later") == F.col("kept") + 1) | ((F.col("deck_id") < 0) & (F.col("later") > F.col("kept")))
+    return a.join(b, "deck_id").where(near).select("deck_id", "kept", "later", T.conflicting(F.col("m"), F.col("n")).alias("conflict"))
 
 
 _URL_KEY = "lower(regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^?#]*)', 1), '/$', '') || regexp_extract(url, '(\\?[^#]+)', 1))"
@@ -93,7 +99,7 @@ def crd_04(spark, sf):
 
 
 def _sentences(spark, sf):
-    found = table(spark, sf, "documents").where("text is not null").select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("pos", "sentence"))
+    found = A.documents(spark, sf).select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("pos", "sentence"))
     return found.withColumn("pos", F.col("pos").cast("long"))
 
 
@@ -104,7 +110,7 @@ def crd_05(spark, sf):
 
 def _definitions_sql() -> str:
     # RE2 has no look-ahead: the clause that goes is matched with the letter after it, which stays.
-    said = "regexp_replace(sentence, '^[A-Z][^,]{0,40},\\s+([a-z])', '\\1')"
+    said = D.said("sentence")
     cases = []
     for p in X.DEFINITIONS:
         term, rest = D.trim(D.part("said", p, 1)), D.sub(D.trim(D.part("said", p, 2)), "[.]$", "")
@@ -122,26 +128,22 @@ def crd_06(spark, sf):
     return found.select("doc_id", "pos", "d.term", "d.def")
 
 
-_KEYS = "list_filter(string_split_regex(lower(title), '[^a-z0-9]+'), lambda w: length(w) > 3 and not regexp_matches(w, '^(with|from|this|that|page|the|and|for|your)$'))"
+_KEYS = f"list_filter(string_split_regex(lower(title), '[^a-z0-9]+'), lambda w: length(w) > 3 and not list_contains({D.literal(X.SUMMARY_FILLER)}, w))"
 
 
 @query(
     "crd_07_summary",
-    f"""with {D.SENTENCES}, titled as (select doc_id, split_part(text, chr(10), 1) as title from documents where text is not null), keys as (select doc_id, title, {_KEYS} as k from titled),
-scored as (select doc_id, pos, sentence, len(list_filter(k, lambda w: contains(lower(sentence), w))) as hits, {D.n_words('sentence')} as n from sentences join keys using (doc_id)),
-good as (select *, hits * 10 + (case when {D.like('lower(sentence)', X.STATEMENT)} then 5 else 0 end) - (case when {D.like('sentence', X.PRONOUN_SUBJECT)} then 6 else 0 end) - n / 10 as score from scored where hits > 0 and n between 8 and 45 and not {D.like('sentence', X.CONJUNCTION)})
-select doc_id, arg_max(sentence, {{'a': score, 'b': -pos}}) as back, max(score) as score from good group by doc_id""",
+    f"""with {D.TIDY_SENTENCES}, titled as (select doc_id, {D.trim("split_part(text, chr(10), 1)")} as title from docs), keys as (select doc_id, title, {_KEYS} as k from titled where {D.label('title')} and not {D.like('title', '[:;]')}),
+scored as (select doc_id, title, pos, sentence, len(list_filter(k, lambda w: contains(lower(sentence), w))) as hits, {D.n_words('sentence')} as n from sentences join keys using (doc_id)),
+good as (select *, hits * 10 + (case when {D.like('lower(sentence)', X.STATEMENT)} then 5 else 0 end) - (case when {D.like('sentence', X.PRONOUN_SUBJECT)} then 6 else 0 end) - n / 10 as score from scored where hits > 0 and n between 8 and 45 and not {D.like('sentence', X.CONJUNCTION)}),
+best as (select doc_id, arg_max(sentence, {{'a': score, 'b': -pos}}) as s, max(score) as score from good group by doc_id)
+select doc_id, {D.said('s')} as back, score from best""",
 )
 def crd_07(spark, sf):
     title = F.substring_index("text", "\n", 1)
-    keys = F.filter(F.split(F.lower(title), "[^a-z0-9]+"), lambda w: (F.length(w) > 3) & ~w.rlike("^(with|from|this|that|page|the|and|for|your)$"))
-    docs = table(spark, sf, "documents").where("text is not null")
-    s = docs.select("doc_id", keys.alias("k"), F.posexplode(T.sentences(F.col("text"))).alias("pos", "sentence"))
-    s = s.withColumns({"hits": F.size(F.filter("k", lambda w: F.contains(F.lower("sentence"), w))), "n": F.size(T.words(F.col("sentence")))})
-    s = s.where((F.col("hits") > 0) & F.col("n").between(8, 45) & ~F.col("sentence").rlike(J.CONJUNCTION))
-    score = F.col("hits") * 10 + F.when(F.lower("sentence").rlike(J.STATEMENT), 5).otherwise(0) - F.when(F.col("sentence").rlike(J.PRONOUN_SUBJECT), 6).otherwise(0) - F.col("n") / 10
-    s = s.withColumn("score", score)
-    return s.groupBy("doc_id").agg(F.max_by("sentence", F.struct("score", -F.col("pos"))).alias("back"), F.max("score").alias("score"))
+    # Most documents' first line names no concept; only the others' sentences are looked at.
+    docs = A.documents(spark, sf).where(T.meaningful_label(title))
+    return docs.select("doc_id", T.summary(title, F.col("text")).alias("s")).where("s is not null").select("doc_id", "s.back", "s.score")
 
 
 @query("crd_10_labels", f"with {D.LINES} select doc_id, line_no, {D.label('line')} as meaningful from lines")
@@ -220,13 +222,19 @@ def str_12(spark, sf):
     return A.lines(spark, sf).groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.count_if(T.print_artifact(F.col("line"))).alias("n_artifacts"))
 
 
-_BLOCKS = f"with {D.LINES}, b as (select source as document, doc_id as section, line_no as block, line as text, lower(left(line, {X.SIGNATURE_CHARS})) as s from lines where source is not null), n as (select document, count(distinct section) as n from b group by document), often as (select document, s from b join n using (document) where s <> '' and n >= 4 group by document, s, n having count(distinct section) >= greatest(3, ceil(n * 0.3)))"
+_BLOCKS = f"""with {D.LINES}, b as (select coalesce(source, '') as document, doc_id as section, line_no as block, line as text, lower(left(line, {X.SIGNATURE_CHARS})) as s from lines), n as (select document, count(distinct section) as n from b group by document),
+often as (select document, s from b join n using (document) where s <> '' and n >= 4 group by document, s, n having count(distinct section) >= greatest(3, ceil(n * 0.3))),
+owner as (select document, {D.slug('text')} as slug, max(section) as owner from b where block = 0 group by all having slug <> ''),
+kept as (select b.* from b anti join often using (document, s)), shown as (select k.* from kept k left join owner o on k.document = o.document and o.slug = {D.slug('k.text')} left join n on n.document = k.document where o.owner is null or length(k.text) > {X.NAVIGATION_CHARS} or o.owner = k.section or n.n < 4)"""
 
 
-@query("str_16_furniture", _BLOCKS + " select document, section, count(*) as n_kept from b anti join often using (document, s) group by document, section")
+@query("str_16_furniture", _BLOCKS + " select document, section, count(*) as n_kept from shown group by document, section")
 def str_16(spark, sf):
-    blocks = A.lines(spark, sf).where("source is not null").select(F.col("source").alias("document"), F.col("doc_id").alias("section"), F.col("line_no").alias("block"), F.col("line").alias("text"))
-    return R.without_furniture(blocks).groupBy("document", "section").agg(F.count("*").alias("n_kept"))
+    lines = A.lines(spark, sf).withColumn("document", F.coalesce("source", F.lit("")))
+    blocks = lines.select("document", F.col("doc_id").alias("section"), F.col("line_no").alias("block"), F.col("line").alias("text"))
+    titles = blocks.where("block = 0").select("document", "section", F.col("text").alias("title"))
+    kept = R.without_navigation(R.without_furniture(blocks), titles)
+    return kept.groupBy("document", "section").agg(F.count("*").alias("n_kept"))
 
 
 @query("str_17_context", f"with {D.LINES} select doc_id, line_no, last_value(case when {D.label('line')} then line end ignore nulls) over (partition by doc_id order by line_no rows unbounded preceding) as context from lines")
@@ -236,7 +244,7 @@ def str_17(spark, sf):
 
 @query("str_33_page_title", f"with {D.LINES}, t as (select doc_id, {D.trim(D.sub('line', r'\s+', ' '))} as t from lines where line_no = 0) select doc_id, case when {D.like('t', X.PAGE_TITLE)} then {D.trim(D.part('t', X.PAGE_TITLE, 1))} else t end as title from t")
 def str_33(spark, sf):
-    return table(spark, sf, "documents").where("text is not null").select("doc_id", T.page_title(F.substring_index("text", "\n", 1)).alias("title"))
+    return A.documents(spark, sf).select("doc_id", T.page_title(F.substring_index("text", "\n", 1)).alias("title"))
 
 
 # Joins, aggregates and library

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.runtime import table
+from quern.sources import fixtures
 
 #: Event types as grades; others are no reviews.
 GRADES = {"error": "again", "view": "hard", "click": "good", "purchase": "easy"}
@@ -19,16 +20,22 @@ def millis(ts: Column) -> Column:
 
 
 def cards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``deck_id, ord, front, back``: a user's turn and the assistant's turn that follows it."""
+    """``deck_id, ord, front, back, has_code, has_image``: a user's turn and the assistant's turn that follows it, and the fixture's cards."""
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     turns = table(spark, sf_dir, "conversations").withColumns({"next_role": F.lead("role").over(order), "back": F.lead("text").over(order)})
     found = turns.where("role = 'user' and next_role = 'assistant' and text is not null and back is not null")
-    return found.select(F.col("conv_id").alias("deck_id"), F.col("turn").alias("ord"), F.col("text").alias("front"), "back")
+    found = found.select(F.col("conv_id").alias("deck_id"), F.col("turn").alias("ord"), F.col("text").alias("front"), "back", F.lit(False).alias("has_code"), F.lit(False).alias("has_image"))
+    return found.union(fixtures.CARDS.frame(spark))
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``doc_id, source, text`` of documents with a text, the fixture's included."""
+    return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", "source", "text").union(fixtures.DOCUMENTS.frame(spark))
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``doc_id, source, line_no, line`` of each document."""
-    split = table(spark, sf_dir, "documents").select("doc_id", "source", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    split = documents(spark, sf_dir).select("doc_id", "source", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     return split.withColumn("line_no", F.col("line_no").cast("long"))
 
 
