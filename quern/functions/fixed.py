@@ -96,4 +96,6 @@ IPV4 = r"^(\d{1,3})\.(\d{1,3})\.(\d{1,3})\.(\d{1,3})$"
 DAY_MS, DEFAULT_EASE, MIN_EASE, MAX_INTERVAL = 86_400_000, 2.5, 1.3, 365
 FIRST_INTERVAL = {"hard": 1, "good": 1, "easy": 4}
 NEW_PER_SESSION, REQUEUE_GAP = 20, 3
+# Neighbours of a batch, their characters, context cards, their characters, characters of a field of an infographic.
+NEIGHBOURS, NEIGHBOUR_CHARS, CONTEXTS, CONTEXT_CHARS, FIELD_CHARS = 20, 160, 12, 200, 400
 RATE_WINDOW_MS = 60_000

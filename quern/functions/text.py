@@ -194,21 +194,41 @@ def clamped(text: Column, most: int) -> Column:
 
 def url_key(url: Column) -> Column:
     """Comparable address: host, path without one last slash, and query."""
-    query = F.try_parse_url(url, F.lit("QUERY"))
-    host = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#]*)", 1)
-    path = F.regexp_replace(F.coalesce(F.try_parse_url(url, F.lit("PATH")), F.lit("")), "/$", "")
-    key = F.concat(host, path, F.when(query.isNotNull() & (query != ""), F.concat(F.lit("?"), query)).otherwise(""))
-    return F.lower(F.when(host != "", key).otherwise(F.trim(url)))
+    host = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#]*)", 1))
+    own_port = F.when(F.lower(url).startswith("https:"), F.regexp_replace(host, ":443$", "")).otherwise(F.regexp_replace(host, ":80$", ""))
+    path = F.regexp_replace(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1), "/$", "")
+    query = F.regexp_extract(url, r"(\?[^#]+)", 1)
+    return F.when(host != "", F.concat(own_port, F.lower(path), F.lower(F.when(query == "?", "").otherwise(query)))).otherwise(F.lower(F.trim(url)))
+
+
+def _ipv4(host: Column) -> Column:
+    """The number of an IPv4 address in any spelling: one to four parts, decimal, octal or hexadecimal, the last one filling what is left; null for other hosts."""
+    parts = F.split(F.regexp_replace(host, r"\.$", ""), r"\.")
+    value = lambda p: F.when(p.startswith("0x"), F.conv(F.concat(F.lit("0"), F.substring(p, 3, 20)), 16, 10)).when(p.rlike("^0[0-9]"), F.conv(p, 8, 10)).otherwise(p).cast("long")
+    v = F.transform(parts, value)
+    n = F.size(v)
+    last = F.element_at(v, -1)
+    before = F.aggregate(F.sequence(F.lit(1), F.lit(3)), F.lit(0).cast("long"), lambda s, i: s + F.when(i < n, F.get(v, i - 1) * F.element_at(F.array(*(F.lit(1 << k).cast("long") for k in (24, 16, 8))), i)).otherwise(F.lit(0)))
+    return F.when(host.rlike(r"^(0x[0-9a-f]+|[0-9]+)(\.(0x[0-9a-f]+|[0-9]+)){0,3}\.?$"), before + last)
+
+
+def _private(address: Column) -> Column:
+    """Whether an IPv4 number is the machine itself, in a private or shared network, link-local, multicast or no address."""
+    top = F.shiftright(address, 24)
+    return top.isin(0, 10, 127) | (top >= 224) | F.shiftright(address, 16).isin((169 << 8) + 254, (192 << 8) + 168) | (F.shiftright(address, 20) == (172 << 4) + 1) | (F.shiftright(address, 22) == (100 << 2) + 1)
 
 
 def fetchable(url: Column) -> Column:
-    """Whether a reader may fetch an address: http or https and neither the machine itself nor a private network (dotted quads and names)."""
-    host = F.lower(F.regexp_extract(F.trim(url), r"(?i)^https?://(?:[^/?#@]*@)?([^/?#:]+)", 1))
-    part = [F.regexp_extract(host, X.IPV4, i).try_cast("int") for i in (1, 2, 3, 4)]
-    a, b = part[0], part[1]
-    private = (a.isin(0, 10, 127)) | ((a == 169) & (b == 254)) | ((a == 172) & b.between(16, 31)) | ((a == 192) & (b == 168)) | ((a == 100) & b.between(64, 127)) | (a >= 224)
-    quad = host.rlike(X.IPV4)
-    return (host != "") & ~host.rlike(X.BLOCKED_HOST) & ~(quad & (private | F.greatest(*part).__gt__(255)))
+    """Whether a reader may fetch an address: http or https, and neither the machine itself nor a private network, as the address is written."""
+    host = F.lower(F.regexp_extract(F.trim(url), r"(?i)^https?://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:]*)", 1))
+    six = F.regexp_extract(host, r"^\[(.*)\]$", 1)
+    dotted = F.regexp_extract(six, r":ffff:(\d{1,3}(?:\.\d{1,3}){3})$", 1)
+    pair = [F.conv(F.regexp_extract(six, r":ffff:([0-9a-f]{1,4}):([0-9a-f]{1,4})$", i), 16, 10).cast("long") for i in (1, 2)]
+    inner = F.coalesce(_ipv4(F.when(dotted != "", dotted)), pair[0] * 65536 + pair[1])
+    bad_six = (six == "") | six.isin("::1", "::") | six.rlike("^f[cd]|^fe[89ab]") | F.coalesce(_private(inner), F.lit(False))
+    four = _ipv4(host)
+    bad_four = F.coalesce((four >= 1 << 32) | _private(four), F.lit(False))
+    return (host != "") & ~host.rlike(X.BLOCKED_HOST) & F.when(host.startswith("["), ~bad_six).otherwise(~bad_four)
 
 
 def export_field(text: Column) -> Column:

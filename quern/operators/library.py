@@ -20,7 +20,7 @@ def folder_of(decks: DataFrame, folders: DataFrame) -> DataFrame:
 
 def decks_by_folder(decks: DataFrame, folders: DataFrame) -> DataFrame:
     """Number of decks of every folder, empty ones included, and of decks without one."""
-    all_folders = folders.select(F.col("folder_id").cast("string").alias("folder")).union(folders.sparkSession.createDataFrame([(UNFILED,)], "folder string"))
+    all_folders = folders.select(F.col("folder_id").cast("string").alias("folder")).union(folders.sparkSession.range(1).select(F.lit(UNFILED).alias("folder")))
     counts = folder_of(decks, folders).groupBy("folder").agg(F.count("*").alias("n"))
     return all_folders.join(counts, "folder", "left").select("folder", F.coalesce("n", F.lit(0)).cast("long").alias("n_decks"))
 
@@ -128,13 +128,16 @@ def unfiled(decks: DataFrame, gone: DataFrame) -> DataFrame:
     return decks.join(lost, "folder_id", "left").withColumn("folder_id", F.when(F.col("_gone").isNull(), F.col("folder_id"))).drop("_gone")
 
 
-def needing_questions(cards: DataFrame, questions: DataFrame) -> DataFrame:
-    """Cards without an up-to-date question: of the questions of a card the last one counts, and its hash must be the card's.
+def needing_questions(cards: DataFrame, questions: DataFrame, style: str = "recall") -> DataFrame:
+    """Cards without an up-to-date question of a style, and whether they are ``skipped``: of a card's questions of the style the last one counts, and its hash must be the card's.
 
-    ``cards(card_id, hash)``, ``questions(card_id, seq, hash)``.
+    ``cards(card_id, hash, skip_hash)``, ``questions(card_id, style, seq, hash)``; a question without a style is a recall question. Only
+    application questions can be skipped, for the card's present text.
     """
-    last = questions.groupBy("card_id").agg(F.max_by("hash", "seq").alias("hash"))
-    return cards.join(last, ["card_id", "hash"], "left_anti")
+    own = questions.where(F.coalesce("style", F.lit("recall")) == style)
+    last = own.groupBy("card_id").agg(F.max_by("hash", "seq").alias("hash"))
+    skipped = F.coalesce(F.col("skip_hash") == F.col("hash"), F.lit(False)) & F.lit(style == "application")
+    return cards.join(last, ["card_id", "hash"], "left_anti").withColumn("skipped", skipped)
 
 
 def first_of_key(rows: DataFrame, key: Column, *order: str) -> DataFrame:

@@ -14,13 +14,19 @@ from quern.functions import fixed as X
 STATE = "struct<seen:boolean,due:bigint,interval:bigint,ease:double,reps:bigint,lapses:bigint,last:bigint>"
 
 
-def next_day(ms: Column) -> Column:
-    """Beginning of the day after, in UTC."""
-    return (F.floor(ms / X.DAY_MS).cast("long") + 1) * F.lit(X.DAY_MS).cast("long")
+def next_day(ms: Column, zone: str = "UTC") -> Column:
+    """Beginning of the day after in a time zone, whose days may have 23 or 25 hours."""
+    if zone == "UTC":
+        return (F.floor(ms / X.DAY_MS).cast("long") + 1) * F.lit(X.DAY_MS).cast("long")
+    local = F.convert_timezone(F.lit("UTC"), F.lit(zone), F.expr("timestamp_ntz'1970-01-01 00:00:00'") + F.make_dt_interval(secs=ms / 1000))
+    day = F.date_trunc("day", local).cast("timestamp_ntz") + F.expr("interval 1 day")
+    utc = F.convert_timezone(F.lit(zone), F.lit("UTC"), day)
+    return (F.timestamp_diff("MICROSECOND", F.expr("timestamp_ntz'1970-01-01 00:00:00'"), utc) / 1000).cast("long")
 
 
-def is_due(due: Column, now: Column) -> Column:
-    return due < next_day(now)
+def is_due(due: Column, now: Column, zone: str = "UTC") -> Column:
+    """Whether a card is due before the next day begins."""
+    return due < next_day(now, zone)
 
 
 def next_schedule(s: Column, grade: Column, now: Column) -> Column:
@@ -63,12 +69,12 @@ def schedules(log: DataFrame) -> DataFrame:
     return log.groupBy("card_id").agg(state.alias("s")).select("card_id", "s.due", "s.interval", "s.ease", "s.reps", "s.lapses", "s.last")
 
 
-def state_label(due: Column, now: Column) -> Column:
+def state_label(due: Column, now: Column, zone: str = "UTC") -> Column:
     """``New``, ``Due``, or when it will be, in calendar days."""
-    days = F.floor((next_day(due) - next_day(now)) / X.DAY_MS + 0.5).cast("long")
+    days = F.floor((next_day(due, zone) - next_day(now, zone)) / X.DAY_MS + 0.5).cast("long")
     months = F.floor(days / 30 + 0.5).cast("long")
     ahead = (
         F.when(days <= 0, "today").when(days == 1, "tomorrow").when(days < 31, F.concat(F.lit("in "), days.cast("string"), F.lit(" days")))
         .when(months <= 1, "in a month").otherwise(F.concat(F.lit("in "), months.cast("string"), F.lit(" months")))
     )
-    return F.when(due.isNull(), "New").when(is_due(due, now), "Due").otherwise(F.concat(F.lit("Due "), ahead))
+    return F.when(due.isNull(), "New").when(is_due(due, now, zone), "Due").otherwise(F.concat(F.lit("Due "), ahead))

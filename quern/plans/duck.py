@@ -116,8 +116,39 @@ NOW = str(NOW_MS)
 DUE = f"due_ms < ({NOW} // {X.DAY_MS} + 1) * {X.DAY_MS}"
 
 
-def schedules() -> str:
-    """The fold of a review log; a review has the fields of a state, with its own time and grade."""
+def url_key(x: str) -> str:
+    """Only plain addresses: what stands before the path has no port but the scheme's own, and paths no dot segments."""
+    host = f"regexp_replace(lower(regexp_extract({x}, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#]*)', 1)), case when lower({x}) like 'https:%' then ':443$' else ':80$' end, '')"
+    path = f"regexp_replace(regexp_extract({x}, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/$', '')"
+    return f"(case when regexp_matches({x}, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?[^/?#]') then lower({host} || {path} || nullif(regexp_extract({x}, '(\\?[^#]*)', 1), '?')) else lower(trim({x})) end)".replace("nullif(regexp_extract", "coalesce(nullif(regexp_extract").replace(", '?'))", ", '?'), ''))")
+
+
+def fetchable(x: str) -> str:
+    """By a list of what is refused: hosts are looked at as they are written."""
+    host = f"lower(regexp_extract(trim({x}), '(?i)^https?://(?:[^/?#@]*@)?(\\[[^]/?#]*\\]|[^/?#:]*)', 1))"
+    number = "(0x[0-9a-f]+|[0-9]+)"
+    value = lambda p: f"(case when {p} like '0x%' then try_cast('0x' || coalesce(nullif(ltrim(substr({p}, 3), '0'), ''), '0') as bigint) when {p} like '0_%' then list_sum(list_transform(range(length({p})), lambda i: (try_cast(substr({p}, i + 1, 1) as bigint) * pow(8, length({p}) - 1 - i)::bigint)))::bigint else try_cast({p} as bigint) end)"
+    parts = f"string_split(regexp_replace(h, '\\.$', ''), '.')"
+    numeric = f"regexp_full_match(h, '{number}(\\.{number}){{0,3}}\\.?')"
+    address = f"(case when {numeric} then (select case when len(v) = 1 then v[1] when len(v) = 2 then v[1] * 16777216 + v[2] when len(v) = 3 then v[1] * 16777216 + v[2] * 65536 + v[3] else v[1] * 16777216 + v[2] * 65536 + v[3] * 256 + v[4] end from (select list_transform({parts}, lambda p: {value('p')}) as v)) end)"
+    private = lambda a: f"({a} >= 3758096384 or {a} // 16777216 in (0, 10, 127) or {a} // 65536 in (43518, 49320) or {a} // 1048576 = 2753 or {a} // 4194304 = 401)"
+    six = "regexp_extract(h, '^\\[(.*)\\]$', 1)"
+    mapped = f"regexp_extract({six}, ':ffff:([0-9.]+)$', 1)"
+    hexed = f"(('0x' || lpad(regexp_extract({six}, ':ffff:([0-9a-f]{{1,4}}):[0-9a-f]{{1,4}}$', 1), 4, '0'))::bigint * 65536 + ('0x' || lpad(regexp_extract({six}, ':ffff:[0-9a-f]{{1,4}}:([0-9a-f]{{1,4}})$', 1), 4, '0'))::bigint)"
+    quad = f"list_reduce(list_transform(string_split({mapped}, '.'), lambda p: p::bigint), lambda a, b: a * 256 + b)"
+    bad6 = f"({six} in ('::1', '::') or regexp_matches({six}, '^f[cd]|^fe[89ab]') or ({mapped} like '%.%.%.%' and {private(quad)}) or (regexp_matches({six}, ':ffff:[0-9a-f]{{1,4}}:[0-9a-f]{{1,4}}$') and {private(hexed)}))"
+    return f"(select h <> '' and not {like('h', X.BLOCKED_HOST)} and case when h like '[%' then {six} <> '' and not coalesce({bad6}, false) when {address} is not null then {address} < 4294967296 and not {private(address)} else true end from (select {host} as h))"
+
+
+def card_hash(front: str, back: str) -> str:
+    """Over UTF-16 units; characters beyond the first plane have two."""
+    codes = f"list_transform(string_split({front} || chr(0) || {back}, ''), lambda c: unicode(c)::bigint)"
+    units = f"flatten(list_transform({codes}, lambda u: case when u > 65535 then [55296 + (u - 65536) // 1024, 56320 + (u - 65536) % 1024] else [u] end))"
+    return f"lower(to_hex(list_reduce(list_prepend(2166136261::bigint, {units}), lambda h, u: ((xor(h, u)::hugeint * 16777619) % 4294967296)::bigint)))"
+
+
+def schedules(more: str | None = None) -> str:
+    """The fold of a review log and of ``more`` reviews; a review has the fields of a state, with its own time and grade."""
     day = f"{X.DAY_MS}::bigint"
     learn, before = "(s.reps = 0)", "greatest(1::bigint, s.ivl)"
     ease = f"(case when {learn} then s.ease when e.grade = 'hard' then greatest({X.MIN_EASE}::double, s.ease - 0.15::double) when e.grade = 'easy' then s.ease + 0.15::double else s.ease end)"
@@ -133,5 +164,6 @@ def schedules() -> str:
     fold = ", ".join(f"'{k}': case when {counts} then {v} else s.{k} end" for k, v in new.items()) + ", 'grade': ''"
     zero = "'seen': false, 'due': 0::bigint, 'ivl': 0::bigint, 'ease': 2.5::double, 'reps': 0::bigint, 'lapses': 0::bigint"
     events = f"list({{{zero}, 'last': at_ms, 'grade': grade}} order by at_ms, seq)"
-    return f"""with {REVIEWS}, folded as (select card_id, list_reduce(list_prepend({{{zero}, 'last': 0::bigint, 'grade': ''}}, {events}), lambda s, e: {{{fold}}}) as s from reviews group by card_id)
+    log = f", log as (select * from reviews union all {more})" if more else ", log as (select * from reviews)"
+    return f"""with {REVIEWS}{log}, folded as (select card_id, list_reduce(list_prepend({{{zero}, 'last': 0::bigint, 'grade': ''}}, {events}), lambda s, e: {{{fold}}}) as s from log group by card_id)
 select card_id, s.due as due, s.ivl as "interval", s.ease as ease, s.reps as reps, s.lapses as lapses, s.last as last from folded"""

@@ -17,6 +17,7 @@ from quern.operators import structure as R
 from quern.plans import duck as D
 from quern.runtime import table
 from quern.sources import adapters as A
+from quern.sources import fixtures
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -73,21 +74,9 @@ def dup_04(spark, sf):
     return a.join(b, "deck_id").where(near).select("deck_id", "kept", "later", T.conflicting(F.col("m"), F.col("n")).alias("conflict"))
 
 
-_URL_KEY = "lower(regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^?#]*)', 1), '/$', '') || regexp_extract(url, '(\\?[^#]+)', 1))"
-
-
-@query("dup_07_url_key", f"select page_id, key, row_number() over (partition by key order by page_id) = 1 as kept from (select page_id, {_URL_KEY} as key from pages)")
+@query("dup_07_url_key", f"select page_id, key, row_number() over (partition by key order by page_id) = 1 as kept from (select page_id, {D.url_key('url')} as key from pages union all select page_id, {D.url_key('url')} from {fixtures.URLS.sql})")
 def dup_07(spark, sf):
-    return L.first_of_key(table(spark, sf, "pages").select("page_id", "url"), T.url_key(F.col("url")), "page_id").select("page_id", "key", "kept")
-
-
-_BACK = "lower(trim(back, ' '))"
-
-
-@query("dup_09_neighbour_backs", f"with {D.CARDS} select deck_id, ord, row_number() over (partition by deck_id, {_BACK} order by ord) = 1 as kept from cards")
-def dup_09(spark, sf):
-    key = F.concat_ws("\x00", F.col("deck_id").cast("string"), F.lower(F.trim("back")))
-    return L.first_of_key(A.cards(spark, sf), key, "ord").select("deck_id", "ord", "kept")
+    return L.first_of_key(table(spark, sf, "pages").select("page_id", "url").union(fixtures.URLS.frame(spark)), T.url_key(F.col("url")), "page_id").select("page_id", "key", "kept")
 
 
 # Cards
@@ -199,11 +188,6 @@ def crd_15(spark, sf):
     return n.select("n", P.be(F.col("n")).alias("be"), P.singular(F.col("n")).alias("singular"))
 
 
-@query("jsn_10_card_hash")
-def jsn_10(spark, sf):
-    return A.cards(spark, sf).select("deck_id", "ord", T.card_hash(F.col("front"), F.col("back")).alias("hash"))
-
-
 # Structure
 
 
@@ -255,13 +239,6 @@ def jon_02(spark, sf):
     return L.folder_of(A.decks(spark, sf), A.folders(spark, sf)).select("deck_id", "folder")
 
 
-@query("jon_03_needing_questions", "select p_partkey as card_id, p_brand as hash from part anti join (select l_partkey as p_partkey, arg_max('Brand#' || (l_linenumber + 10), {'a': l_orderkey, 'b': l_linenumber}) as p_brand from lineitem group by l_partkey) using (p_partkey, p_brand)")
-def jon_03(spark, sf):
-    cards = table(spark, sf, "part").select(F.col("p_partkey").alias("card_id"), F.col("p_brand").alias("hash"))
-    questions = table(spark, sf, "lineitem").select(F.col("l_partkey").alias("card_id"), F.struct("l_orderkey", "l_linenumber").alias("seq"), F.concat(F.lit("Brand#"), (F.col("l_linenumber") + 10).cast("string")).alias("hash"))
-    return L.needing_questions(cards, questions)
-
-
 @query("jon_04_orphans", "select o_orderkey as question_id, o_custkey as card_id from orders anti join (select c_custkey as o_custkey from customer where c_mktsegment <> 'BUILDING') using (o_custkey)")
 def jon_04(spark, sf):
     live = table(spark, sf, "customer").where("c_mktsegment <> 'BUILDING'").select(F.col("c_custkey").alias("card_id"))
@@ -367,12 +344,6 @@ def snk_04(spark, sf):
     return L.updated(table(spark, sf, "customer").select("c_custkey", "c_name"), changes, "c_custkey", ["c_name"])
 
 
-@query("snk_06_delete_deck", "select o_orderkey, o_custkey from orders anti join (select c_custkey as o_custkey from customer where c_acctbal < 0) using (o_custkey)")
-def snk_06(spark, sf):
-    gone = table(spark, sf, "customer").where("c_acctbal < 0").select(F.col("c_custkey").alias("o_custkey"))
-    return L.without(table(spark, sf, "orders").select("o_orderkey", "o_custkey"), gone, "o_custkey")
-
-
 @query("snk_10_delete_folder", f"with {D.DECKS} select deck_id, case when folder_id not in (select n_nationkey from nation where n_regionkey = 4) then folder_id end as folder_id from decks")
 def snk_10(spark, sf):
     gone = table(spark, sf, "nation").where("n_regionkey = 4").select(F.col("n_nationkey").cast("long").alias("folder_id"))
@@ -389,9 +360,9 @@ def snk_16(spark, sf):
     return table(spark, sf, "customer").select("c_custkey", T.export_file_name(F.col("c_name")).alias("file_name"))
 
 
-@query("scl_32_fetchable", f"with h as (select page_id, lower(regexp_extract(trim(url), '(?i)^https?://(?:[^/?#@]*@)?([^/?#:]+)', 1)) as h from pages) select page_id, h <> '' and not {D.like('h', X.BLOCKED_HOST)} and not {D.like('h', X.IPV4)} as fetchable from h")
+@query("scl_32_fetchable", f"select page_id, {D.fetchable('url')} as fetchable from (select page_id, url from pages union all select * from {fixtures.URLS.sql})")
 def scl_32(spark, sf):
-    return table(spark, sf, "pages").select("page_id", T.fetchable(F.col("url")).alias("fetchable"))
+    return table(spark, sf, "pages").select("page_id", "url").union(fixtures.URLS.frame(spark)).select("page_id", T.fetchable(F.col("url")).alias("fetchable"))
 
 
 @query("str_01_letter_spacing", f"with {D.LINES}, t as (select doc_id, line_no, line, {D.trim('line')} as t, {D.sub(D.trim('line'), r'\s+', '')} as j from lines) select doc_id, line_no, case when length(t) >= 3 and {D.like('t', r'^(\S\s)+\S$')} and length({D.sub('j', '[^A-Za-z0-9]', '')}) >= 2 then j else line end as line from t")

@@ -76,3 +76,13 @@ CARDS = Fixture(
         (-3, 5, "Same text", "same text!", False, False),
     ],
 )
+
+URLS = Fixture(
+    "page_id long, url string",
+    [(-i, u) for i, u in enumerate((
+        "http://[::1]/x", "http://[fe80::1]/", "http://[fd00::2]/a", "http://[::ffff:10.0.0.1]/", "http://[::ffff:7f00:1]/", "http://[2001:db8::1]/", "http://[::ffff:8.8.8.8]/", "http://2130706433/", "http://0177.0.0.1/",
+        "http://127.1/", "http://0x7f.0.0.1/", "http://10.1.2.3:8080/", "http://172.16.0.1/", "http://172.32.0.1/", "http://192.168.1.1", "http://169.254.169.254/latest", "http://100.64.0.1/", "http://224.0.0.1/",
+        "http://8.8.8.8/dns", "http://134744072/", "http://localhost/", "http://a.localhost/", "http://printer.local/", "http://metadata.google.internal/x", "http://me@127.0.0.1/", "http://me@example.org/", "ftp://example.org/",
+        "example.org/no-scheme", "https://example.org", "https://example.org:443/", "http://example.org:80/?q=1#x", "https://EXAMPLE.org/Path/?Q=1", "https://example.org/Path?Q=1", "http://999.1.1.1/", "http://", "https://example.org:8443/",
+    ), 1)],
+)

@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from quern.plans.queries import ORACLE_SQL, QUERIES
+from quern.plans.catalog import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
 TABLES = "nation customer part orders lineitem events documents pages conversations".split()
