@@ -135,7 +135,7 @@ def fetchable(x: str) -> str:
     six = "regexp_extract(h, '^\\[(.*)\\]$', 1)"
     mapped = f"regexp_extract({six}, ':ffff:([0-9.]+)$', 1)"
     hexed = f"(('0x' || lpad(regexp_extract({six}, ':ffff:([0-9a-f]{{1,4}}):[0-9a-f]{{1,4}}$', 1), 4, '0'))::bigint * 65536 + ('0x' || lpad(regexp_extract({six}, ':ffff:[0-9a-f]{{1,4}}:([0-9a-f]{{1,4}})$', 1), 4, '0'))::bigint)"
-    quad = f"list_reduce(list_transform(string_split({mapped}, '.'), lambda p: p::bigint), lambda a, b: a * 256 + b)"
+    quad = f"list_reduce(list_transform(string_split({mapped}, '.'), lambda p: try_cast(p as bigint)), lambda a, b: a * 256 + b)"
     bad6 = f"({six} in ('::1', '::') or regexp_matches({six}, '^f[cd]|^fe[89ab]') or ({mapped} like '%.%.%.%' and {private(quad)}) or (regexp_matches({six}, ':ffff:[0-9a-f]{{1,4}}:[0-9a-f]{{1,4}}$') and {private(hexed)}))"
     return f"(select h <> '' and not {like('h', X.BLOCKED_HOST)} and case when h like '[%' then {six} <> '' and not coalesce({bad6}, false) when {address} is not null then {address} < 4294967296 and not {private(address)} else true end from (select {host} as h))"
 
