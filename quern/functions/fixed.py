@@ -99,3 +99,40 @@ NEW_PER_SESSION, REQUEUE_GAP = 20, 3
 # Neighbours of a batch, their characters, context cards, their characters, characters of a field of an infographic.
 NEIGHBOURS, NEIGHBOUR_CHARS, CONTEXTS, CONTEXT_CHARS, FIELD_CHARS = 20, 160, 12, 200, 400
 RATE_WINDOW_MS = 60_000
+
+# Layout: gap below which fragments are one word, as a share of the font; tolerance of column anchors; rows of a table at least.
+NO_SPACE_GAP, ANCHOR_TOLERANCE, MIN_ROWS = 0.3, 12, 3
+# Batches of sections: sections, cards; pages of a batch.
+BATCH_SECTIONS, BATCH_CARDS, BATCH_PAGES = 4, 40, 3
+# Options that are no answers.
+BANNED_OPTIONS = ("all of the above", "none of the above")
+# Application code: characters, lines.
+APPLICATION_CHARS, APPLICATION_LINES = 1500, 25
+# Headings of appendices.
+APPENDIX = (
+    r"(?i)^(references?|citations?|notes( and references)?|footnotes?|bibliography|sources|further reading|external links?|see also|"
+    r"related( (articles?|topics?|pages?|links?|content|posts?|stories))?|more in .+|learn more|links and books|you (might|may) also like|"
+    r"you may be interested in|recommended( (for you|articles?|reading|posts?))?|popular( (articles?|posts?|resources?))?|trending( now)?|"
+    r"navigation menu|contents|comments?|share this|about the author|licen[cs]e|acknowledgements?)$"
+)
+# Controls of a page.
+CHROME_TEXT = (
+    r"(?i)^(is this page useful\??|was this (page )?helpful\??|edit (this )?page|previous|next|on this page|table of contents|in this article|"
+    r"share (this)?|copy( link| code)?|skip to (main )?content|back to top|menu|search|subscribe|sign (in|up)|log in|accept( all)?( cookies)?|"
+    r"cookie (policy|settings)|advertisement|loading…?|show more|read more)$"
+)
+OUTPUT_LABEL = r"(?i)^output\s*:?$"
+OUTPUT_LOOKBACK = 3
+# Markdown.
+MARKDOWN_EXTENSIONS = ("md", "markdown", "mdown", "mkd")
+# With a back-reference, which RE2 lacks.
+TERM_PAIR = r"^(\*\*|__|\*|_)(.{2,60}?)\1\s*[—–:-]\s+(.+)$"
+# Inline marks and what stays of them, in this order; three have a look-ahead.
+INLINE_MARKS = (
+    (r"!\[[^\]]*\]\([^)]*\)", ""), (r"!\[[^\]]*\]\[[^\]]*\]", ""), (r"\[([^\]]*)\]\([^)]*\)", r"\1"), (r"\[\^[^\]]+\]", ""), (r"\[([^\]]*)\]\[[^\]]*\]", r"\1"),
+    (r"<((?:https?|mailto):[^>\s]+)>", r"\1"), (r"</?[A-Za-z][^>]*>", ""), (r"``([^`]+)``", r"\1"), (r"`([^`]+)`", r"\1"), (r"\*\*\*([^*]+)\*\*\*", r"\1"),
+    (r"\*\*([^*]+)\*\*", r"\1"), (r"\*([^*\n]+)\*", r"\1"), (r"(^|[^A-Za-z0-9_])___([^_]+)___(?![A-Za-z0-9_])", r"\1\2"), (r"(^|[^A-Za-z0-9_])__([^_]+)__(?![A-Za-z0-9_])", r"\1\2"),
+    (r"(^|[^A-Za-z0-9_])_([^_\n]+)_(?![A-Za-z0-9_])", r"\1\2"), (r"~~([^~]+)~~", r"\1"), (r"\\([\\`*_{}\[\]()#+\-.!|>~])", r"\1"),
+)
+# A word that can be a host.
+HOST_LIKE = r"(?i)^[a-z0-9-]+(\.[a-z0-9-]+)*\.[a-z]{2,}(:\d+)?([/?#]|$)"

@@ -251,8 +251,3 @@ def sort_key(name: Column) -> Column:
     """Names in numeric order of their digits, without regard to case: digit runs are padded."""
     pieces = F.regexp_extract_all(F.lower(name), F.lit(r"\d+|\D+"), F.lit(0))
     return F.array_join(F.transform(pieces, lambda p: F.when(p.rlike(r"^\d"), F.lpad(p, 20, "0")).otherwise(p)), "")
-
-
-def fence_stripped(text: Column) -> Column:
-    """A reply without the code fence around it."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.trim(text), r"(?i)^```(?:json)?\s*", ""), r"\s*```$", ""))

@@ -74,21 +74,6 @@ def scores(answers: DataFrame, by: str) -> DataFrame:
     return grouped.withColumn("percent", F.when(n > 0, F.floor(F.col("right") * 100 / n + 0.5)).otherwise(0).cast("long"))
 
 
-def draw(questions: DataFrame, n: int, seed: str = "draw", missed_share: float = X.MISSED_SHARE, by: str = "deck_id") -> DataFrame:
-    """``n`` questions of each deck: a quota of missed ones, then those asked least; ties in seeded order.
-
-    ``questions(deck_id, question_id, asked, last_correct)``.
-    """
-    rnd = F.md5(F.concat(F.lit(seed), F.lit(":"), F.col("question_id").cast("string")))
-    deck = Window.partitionBy(by)
-    missed = ~F.coalesce(F.col("last_correct"), F.lit(True))
-    rows = questions.withColumns({"rnd": rnd, "missed": missed, "wanted": F.least(F.lit(n).cast("long"), F.count("*").over(deck)), "n_missed": F.count_if(missed).over(deck)})
-    quota = F.least("n_missed", F.ceil(F.col("wanted") * missed_share))
-    rows = rows.withColumn("first", F.col("missed") & (F.row_number().over(Window.partitionBy(by, "missed").orderBy("rnd", "question_id")) <= quota))
-    order = deck.orderBy(F.desc("first"), F.when(F.col("first"), 0).otherwise(F.col("asked")), "rnd", "question_id")
-    return rows.withColumn("place", F.row_number().over(order).cast("long")).where(F.col("place") <= F.col("wanted")).select(by, "question_id", "asked", "first", "place")
-
-
 def rate_limited(requests: DataFrame, limit: int, window_ms: int = X.RATE_WINDOW_MS) -> DataFrame:
     """``hits`` of an address in the window that ends with each request, refused ones included, and whether it is ``limited``."""
     # Requests of the same millisecond come one after the other: those that follow are taken off again.

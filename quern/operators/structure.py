@@ -62,3 +62,98 @@ def most_frequent(rows: DataFrame, by: str, value: str, order: str) -> DataFrame
     """The most frequent value of each group; of several, the one seen first, and of those the largest."""
     counted = rows.groupBy(by, value).agg(F.count("*").alias("n"), F.min(order).alias("first"))
     return counted.groupBy(by).agg(F.max_by(value, F.struct("n", -F.col("first"), value)).alias(value), F.max("n").alias("n"))
+
+
+def joined_without_space(before: Column, after: Column, gap: Column, font: Column) -> Column:
+    """Whether two fragments of a line are one word: they are near, and a dash, a bracket or a short stub says so."""
+    left, right = F.rtrim(before), F.ltrim(after)
+    end, start = F.substring(left, -1, 1), F.substring(right, 1, 1)
+    return (
+        F.when(gap >= font * X.NO_SPACE_GAP, False)
+        .when(end.rlike("[-–—]") | start.rlike("[-–—]"), True)
+        .when(end.rlike(r"[(\[{]") | start.rlike(r"[)\]}]"), True)
+        .when(end.rlike("[.,:;!?]") | start.rlike("[A-Z]"), False)
+        .otherwise((F.length(left) <= 3) | (F.length(right) <= 3))
+    )
+
+
+def column_anchors(lines: DataFrame, tolerance: float = X.ANCHOR_TOLERANCE, least: int = X.MIN_ROWS) -> DataFrame:
+    """``page, anchor, place``: means of clusters of ``x`` near which lines on enough baselines begin, from left to right. ``lines(page, x, y)``.
+
+    Lines meet anchors by equal bins of one tolerance, so that the range join is an equi-join.
+    """
+    anchors = clusters(lines.select("page", "x"), ["page"], "x", tolerance).select("page", "anchor")
+    bin_ = lambda c: F.floor(c / tolerance).cast("long")
+    spread = anchors.withColumn("bin", F.explode(F.sequence(bin_(F.col("anchor")) - 1, bin_(F.col("anchor")) + 1)))
+    near = spread.join(lines.withColumn("bin", bin_(F.col("x"))), ["page", "bin"]).where(F.abs(F.col("x") - F.col("anchor")) <= tolerance)
+    found = near.groupBy("page", "anchor").agg(F.count_distinct(F.floor(F.col("y") + 0.5)).alias("n")).where(F.col("n") >= least)
+    return found.select("page", "anchor", (F.row_number().over(Window.partitionBy("page").orderBy("anchor")) - 1).cast("long").alias("place"))
+
+
+def column_of(lines: DataFrame, anchors: DataFrame) -> DataFrame:
+    """Lines with the ``place`` of the nearest anchor of their page, the first of equals; 0 where a page has none."""
+    of_page = anchors.groupBy("page").agg(F.array_sort(F.collect_list("anchor")).alias("anchors"))
+    nearest = F.array_min(F.transform("anchors", lambda a, i: F.struct(F.abs(F.col("x") - a).alias("away"), i.alias("place"))))["place"]
+    return lines.join(of_page, "page", "left").withColumn("place", F.coalesce(nearest, F.lit(0)).cast("long")).drop("anchors")
+
+
+def page_titles(lines: DataFrame) -> DataFrame:
+    """``page, body, title``: the body's size is the most frequent one, to half a point, the first of equals; the title is the first line of more than two characters in the largest size, if that is clearly larger. ``lines(page, place, size, text)``."""
+    half = F.floor(F.col("size") * 2 + 0.5) / 2
+    body = most_frequent(lines.withColumn("body", half), "page", "body", "place").select("page", "body")
+    title = F.min_by("text", F.struct((-F.col("size")).alias("s"), "place"))
+    largest = lines.groupBy("page").agg(F.max("size").alias("largest"))
+    first = lines.join(largest, "page").where((F.col("size") == F.col("largest")) & (F.length("text") > 2)).groupBy("page", "largest").agg(title.alias("title"))
+    return body.join(first, "page", "left").select("page", "body", F.when(F.col("largest") > F.col("body") + 2, F.col("title")).alias("title"))
+
+
+def without_appendices(blocks: DataFrame) -> DataFrame:
+    """Blocks without appendices: a heading of that kind goes, with all below it up to the next heading of its level or a higher one. ``blocks(doc_id, place, kind, level, text)``."""
+    order = Window.partitionBy("doc_id").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+    heading, appendix = F.col("kind") == "heading", F.col("text").rlike(X.APPENDIX)
+    gone = F.lit(False)
+    for level in range(1, 7):
+        # The last appendix of this level is open if no heading of its level or a higher one follows it.
+        opened = F.max(F.when(heading & appendix & (F.col("level") == level), F.col("place"))).over(order)
+        last = F.max(F.when(heading & (F.col("level") <= level), F.col("place"))).over(order)
+        gone = gone | F.coalesce(opened == last, F.lit(False))
+    return blocks.withColumn("gone", gone).where("not gone").drop("gone")
+
+
+def without_crumbs(blocks: DataFrame) -> DataFrame:
+    """Blocks from the first heading on, if all before it are short paragraphs; else all. ``blocks(doc_id, place, kind, text)``."""
+    doc = Window.partitionBy("doc_id")
+    first = F.min(F.when(F.col("kind") == "heading", F.col("place"))).over(doc)
+    crumb = (F.col("kind") == "paragraph") & (F.length("text") <= X.NAVIGATION_CHARS)
+    trail = F.coalesce(F.bool_and(F.when(F.col("place") < F.col("first"), crumb)).over(doc), F.lit(True))
+    marked = blocks.withColumn("first", first).withColumn("trail", trail)
+    return marked.where(F.col("first").isNull() | ~F.col("trail") | (F.col("place") >= F.col("first"))).drop("first", "trail")
+
+
+def card_estimate(blocks: DataFrame) -> DataFrame:
+    """``section_id, cards``: about how many cards each section gives. ``blocks(section_id, kind, n_items, n_rows, n_headers)``."""
+    worth = F.when(F.col("kind") == "heading", 0).when(F.col("kind") == "list", F.col("n_items")).when(F.col("kind") == "table", F.col("n_rows") * F.greatest(F.lit(1), F.col("n_headers") - 1)).otherwise(1)
+    return blocks.groupBy("section_id").agg(F.sum(worth.cast("long")).alias("cards"))
+
+
+def section_batches(sections: DataFrame, most_sections: int = X.BATCH_SECTIONS, most_cards: int = X.BATCH_CARDS) -> DataFrame:
+    """``doc_id, place, batch``: sections packed in order. A batch has one source, so many sections and, unless it is one section, so many cards at most.
+
+    ``sections(doc_id, place, source, cards)``. A document's sections are folded in order inside one expression.
+    """
+    empty = "named_struct('source', cast(null as string), 'n', 0, 'cards', cast(0 as bigint), 'batch', cast(-1 as bigint), 'out', cast(array() as array<struct<place:bigint,batch:bigint>>))"
+
+    def step(s: Column, x: Column) -> Column:
+        joins = (s["batch"] >= 0) & s["source"].eqNullSafe(x["source"]) & (s["n"] < most_sections) & (s["cards"] + x["cards"] <= most_cards)
+        batch = s["batch"] + F.when(joins, 0).otherwise(1)
+        return F.struct(
+            x["source"].alias("source"),
+            F.when(joins, s["n"] + 1).otherwise(1).alias("n"),
+            F.when(joins, s["cards"] + x["cards"]).otherwise(x["cards"]).alias("cards"),
+            batch.cast("long").alias("batch"),
+            F.concat(s["out"], F.array(F.struct(x["place"].cast("long").alias("place"), batch.cast("long").alias("batch")))).alias("out"),
+        )
+
+    ordered = F.array_sort(F.collect_list(F.struct("place", "source", "cards")))
+    folded = sections.groupBy("doc_id").agg(F.aggregate(ordered, F.expr(empty), step).alias("s"))
+    return folded.select("doc_id", F.inline("s.out"))

@@ -274,21 +274,6 @@ def agg_10(spark, sf):
 # Selection
 
 
-_QUESTIONS = f"{D.ANSWERS}, tally as (select question_id, count(*) as asked, arg_max(correct, seq) as last_correct from answers group by question_id), pool as (select p_brand as deck_id, p_partkey as question_id, coalesce(asked, 0) as asked, last_correct, md5('draw:' || p_partkey) as rnd, not coalesce(last_correct, true) as missed from part left join tally on p_partkey = question_id)"
-
-
-@query(
-    "sel_01_draw",
-    f"""with {_QUESTIONS}, w as (select *, least(10, count(*) over (partition by deck_id)) as wanted, count(*) filter (missed) over (partition by deck_id) as n_missed, row_number() over (partition by deck_id, missed order by rnd, question_id) as r from pool),
-f as (select *, missed and r <= least(n_missed, ceil(wanted * 0.3::double)) as "first" from w), o as (select *, row_number() over (partition by deck_id order by "first" desc, case when "first" then 0 else asked end, rnd, question_id) as place from f)
-select deck_id, question_id, asked, "first", place from o where place <= wanted""",
-)
-def sel_01(spark, sf):
-    pool = table(spark, sf, "part").select(F.col("p_brand").alias("deck_id"), F.col("p_partkey").alias("question_id"))
-    pool = pool.join(L.answer_tally(A.answers(spark, sf)), "question_id", "left").withColumn("asked", F.coalesce("asked", F.lit(0)).cast("long"))
-    return L.draw(pool.select("deck_id", "question_id", "asked", "last_correct"), 10)
-
-
 @query(
     "sel_04_session_queue",
     f"""with {D.STUDY}, k as (select deck_id, card_id, case when {D.DUE} then 0 when due_ms is null then 1 end as kind, case when {D.DUE} then md5('queue:' || card_id) else '' end as key from study),

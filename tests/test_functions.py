@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quern.functions import phrasing as P
+from quern.functions import replies as J
 from quern.functions import text as T
 from quern.operators import library as L
 from quern.operators import schedule as S
@@ -47,7 +48,7 @@ def one(spark, column):
         (T.fetchable, "http://999.1.1.1/", False),
         (T.export_file_name, "Biology Ch. 3", "biology-ch-3.txt"),
         (T.export_file_name, "…", "deck.txt"),
-        (T.fence_stripped, "```json\n[1]\n```", "[1]"),
+        (J.fence_stripped, "```json\n[1]\n```", "[1]"),
         (P.be, "Features", "are"),
         (P.be, "Class", "is"),
         (P.singular, "Categories", "category"),
