@@ -7,6 +7,7 @@ columns of any other names, and say what becomes of them. All but the last keep
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -57,12 +58,23 @@ def write_token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return token_file.token_ids(docs, token_file.default_tokenizer())
 
 
+def _tidied(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """A stage after which Spark removes the shuffle files of what has ended: the next stage reads a table."""
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("language", identify_language),
-    ("near_duplicates", drop_near_duplicates),
-    ("decontamination", decontaminate_benchmark),
-    ("mixing", mix_sources),
-    ("token_ids", write_token_ids),
+    ("language", _tidied(identify_language)),
+    ("near_duplicates", _tidied(drop_near_duplicates)),
+    ("decontamination", _tidied(decontaminate_benchmark)),
+    ("mixing", _tidied(mix_sources)),
+    ("token_ids", _tidied(write_token_ids)),
 ]
 
 #: SQL can express neither the classifier, nor the fingerprints, nor the tokenizer.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.runtime import materialise
+from quern.runtime import discard, materialise
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -31,7 +31,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         lower = large.groupBy("b").agg(F.min("a").alias("m"))
         kept = large.join(lower, "b")
         small = kept.select(F.col("m").alias("x"), F.col("a").alias("y")).union(lower.select("m", "b"))
-        now = materialise(small.where("x < y").distinct().toDF("a", "b"), "edges")
+        before, now = now, materialise(small.where("x < y").distinct().toDF("a", "b"), "edges")
+        discard(before)
         after = mark(now)
         if after == seen:
             break

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm.components import components
-from quern.runtime import bounded_batches, materialise
+from quern.runtime import bounded_batches, discard, materialise
 
 WIDTH = 5
 PERMUTATIONS = 128
@@ -188,7 +188,7 @@ def text_key(text_col: str = "text") -> Column:
 
 
 def _verified(pairs: DataFrame, rows: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
-    """Pairs ``(a, b)`` of nodes whose texts' shingles have at least that Jaccard likeness. Only texts in pairs are moved."""
+    """Pairs ``(a, b)`` of nodes whose texts' shingles have at least that Jaccard likeness. Only texts in pairs are moved, and only while this runs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -202,56 +202,74 @@ def _verified(pairs: DataFrame, rows: DataFrame, classes: DataFrame, threshold:
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(classes.select("node", "key"), "node")
     texts = materialise(rows.join(wanted, "key").select("node", "text").dropDuplicates(["node"]), "near_texts")
     both = pairs.join(texts.toDF("a", "x"), "a").join(texts.toDF("b", "y"), "b").select("a", "b", "x", "y")
-    return materialise(both.mapInArrow(run, "a long, b long"), "near_pairs")
+    found = materialise(both.mapInArrow(run, "a long, b long"), "near_pairs")
+    discard(texts)
+    return found
 
 
-def _text_groups(rows: DataFrame, threshold: float, among: DataFrame | None = None) -> DataFrame:
+def _text_groups(rows: DataFrame, threshold: float, among: DataFrame | None = None) -> tuple[DataFrame, list[DataFrame]]:
     """``key, rep, component`` of each different text of ``rows(doc_id, key, text)``, or of those with a key in ``among``; ``rep`` is its smallest id.
 
-    Under a band that several texts share, all are first compared with one of them, in each
-    round another. Texts that are linked by then need no comparison; of those in different
-    components each pair is compared in the end. So a group of near copies makes about as many
+    Under a band that several texts share, all are first compared with one of them: the one that shares most bands with most
+    texts, which is the text that near copies were made from if it is there. Rounds against drawn ones follow. Texts that are linked by then need no comparison; of those in different
+    components each pair is compared in the end, under the first band that it shares. So a group of near copies makes about as many
     pairs as it has texts. Texts that share a band and are alike only below the threshold are
     compared pair by pair, which grows with the square of their number: nothing is left out.
+
+    The second result lists working tables, to be deleted once the first is written.
     """
-    marked = materialise(rows.select("doc_id", "key", "text").mapInArrow(_bands, "doc_id long, key binary, bands array<long>"), "marked")
+    made: list[DataFrame] = []
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        made.append(materialise(df, name))
+        return made[-1]
+
+    marked = kept(rows.select("doc_id", "key", "text").mapInArrow(_bands, "doc_id long, key binary, bands array<long>"), "marked")
     classes = marked.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
     if among is not None:
         classes = classes.join(among.select("key"), "key", "left_semi")
-    classes = materialise(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    classes = kept(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     bands = classes.select("node", F.explode("bands").alias("value"))
     shared = bands.groupBy("value").agg(F.count("*").alias("n")).where("n > 1")
-    grouped = materialise(bands.join(shared.select("value"), "value"), "shared_bands")
+    met = kept(bands.join(shared, "value"), "shared_bands")
+    often = met.groupBy("node").agg(F.sum("n").alias("often"))
+    grouped = kept(met.select("node", "value").join(often, "node").select("value", "node", "often"), "grouped_bands")
     n_nodes = classes.count()
 
+    def kept_pairs(df: DataFrame) -> DataFrame:
+        made.append(df)
+        return df
+
     tested = links = label = None
     for turn in range(ROUNDS + 1):
         if turn == 0:
-            open_, choice = grouped.withColumn("component", F.col("node")), F.col("node")
+            open_, choice = grouped.withColumn("component", F.col("node")), F.struct(-F.col("often"), F.col("node"))
         else:
             joined = grouped.join(label.withColumnRenamed("label", "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
             sizes = joined.groupBy("value", "component").agg(F.count("*").alias("n"))
             sizes = sizes.groupBy("value").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same")).where("n * n > same and n > 2")
-            sizes = materialise(sizes, "open_bands")
+            sizes = kept(sizes, "open_bands")
             left = sizes.agg(F.sum((F.col("n") * F.col("n") - F.col("same")) / 2)).first()[0] or 0
             if not left:
                 break
             open_, choice = joined.join(sizes.select("value"), "value"), F.xxhash64("node", "value", F.lit(turn))
             if left <= PAIRS_PER_TEXT * n_nodes or turn == ROUNDS:
-                x, y = open_.toDF("value", "a", "ca"), open_.toDF("value", "b", "cb")
-                pairs = x.join(y, "value").where("a < b and ca <> cb").select("a", "b").distinct().join(tested, ["a", "b"], "left_anti")
-                links = links.union(_verified(materialise(pairs, "pairs"), rows, classes, threshold))
+                open_ = open_.select("value", "node", "component").join(classes.select("node", "bands"), "node").select("value", "node", "component", "bands")
+                x, y = open_.toDF("value", "a", "ca", "xs"), open_.toDF("value", "b", "cb", "ys")
+                once = F.element_at(F.array_intersect("xs", "ys"), 1) == F.col("value")
+                pairs = x.join(y, "value").where(F.expr("a < b and ca <> cb") & once).select("a", "b").join(tested, ["a", "b"], "left_anti")
+                links = links.union(kept_pairs(_verified(kept(pairs, "pairs"), rows, classes, threshold)))
                 label = components(links).toDF("node", "label")
                 break
         star = open_.groupBy("value").agg(F.min_by(F.struct("node", "component"), choice).alias("first"))
         pairs = open_.join(star, "value").where("node <> first.node" if turn == 0 else "component <> first.component")
         pairs = pairs.select(F.least("first.node", "node").alias("a"), F.greatest("first.node", "node").alias("b")).distinct()
-        pairs = materialise(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+        pairs = kept(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         tested = pairs if tested is None else tested.union(pairs)
-        found = _verified(pairs, rows, classes, threshold)
+        found = kept_pairs(_verified(pairs, rows, classes, threshold))
         links = found if links is None else links.union(found)
-        label = materialise(components(links).toDF("node", "label"), "labels")
-    return classes.join(label, "node", "left").select("key", "rep", F.coalesce("label", "node").alias("component"))
+        label = kept(components(links).toDF("node", "label"), "labels")
+    return classes.join(label, "node", "left").select("key", "rep", F.coalesce("label", "node").alias("component")), made
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -263,7 +281,9 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, component_id`` of each document with an id: the smallest id that links of the threshold reach. Equal texts are one text from the start."""
     rows = _rows(docs, id_col, text_col).where("doc_id is not null")
-    named = materialise(_text_groups(rows, threshold), "near_groups")
+    found, made = _text_groups(rows, threshold)
+    named = materialise(found, "near_groups")
+    discard(*made)
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     return rows.select("doc_id", "key").join(named.select("key", "component"), "key").join(least, "component").select("doc_id", "component_id")
 
@@ -273,9 +293,11 @@ def representatives(docs: DataFrame, threshold: float = THRESHOLD, id_col: str =
 
     Rows without an id take part; they stand for a group only if none in it has an id.
     """
-    named = _text_groups(_rows(docs, id_col, text_col), threshold, among)
+    named, made = _text_groups(_rows(docs, id_col, text_col), threshold, among)
     first = F.min(F.struct(F.col("rep").isNull().alias("unnamed"), "rep", "key")).alias("first")
-    return materialise(named.groupBy("component").agg(first).select("first.key", "first.rep"), "representatives")
+    found = materialise(named.groupBy("component").agg(first).select("first.key", "first.rep"), "representatives")
+    discard(*made)
+    return found
 
 
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

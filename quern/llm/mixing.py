@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.llm.rows import carried, released
-from quern.runtime import drop_finished_shuffles, materialise
+from quern.runtime import materialise
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
@@ -83,8 +83,9 @@ def mix(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id"
         weight = F.when(F.col("quality") == value, F.lit(w)).otherwise(weight)
     key = -F.log("u") / weight
     rows = rows.withColumn("key", key).withColumn("slice", F.least(F.floor((F.lit(1.0) - F.exp(-F.col("key"))) * SLICES), F.lit(SLICES - 1)).cast("int"))
-    with drop_finished_shuffles(docs.sparkSession):
-        rows = materialise(rows.select("doc_id", "source", "size", "key", "slice", "row"), "mix_rows")
+    rows = rows.select("doc_id", "source", "size", "key", "slice", "row")
+    if not carry:  # short rows are written once; whole documents are read twice instead
+        rows = materialise(rows, "mix_rows")
 
     slices = materialise(rows.groupBy("source", "slice").agg(F.sum("size").alias("words")), "mix_slices")
     goals = targets(slices.groupBy("source").agg(F.sum("words").alias("source_size")))
