@@ -14,7 +14,9 @@ one block.
 Nulls: a null text has no words; an item without words has no window and occurs nowhere. A
 null item id occurs as the empty string; a null ``doc_id`` is kept as null. Items that share
 a window all occur where it does; repeated item ids count once for a document. Empty tables: no
-documents give no rows, no items leave every document clean. Other columns are not read.
+documents give no rows, no items leave every document clean. Of longest matches that tie, the first item's counts, and
+of its the first in the document. Texts of any length are searched whole, in a shard of their own if need be. Other columns are not read,
+or kept under ``row``.
 """
 
 from __future__ import annotations
@@ -32,6 +34,7 @@ from quern.llm.rows import carried, released
 from quern.runtime import bounded_batches
 
 WINDOW = 13
+LONGEST = pa.struct([("words", pa.int64()), ("item", pa.string()), ("at", pa.int64())])
 #: A document goes if at least one word in so many is hit.
 ONE_IN = 20
 #: Bytes of benchmark text in a block, and of document text in a shard.
@@ -58,8 +61,7 @@ class TestSuffixes:
         self.vocab: dict[bytes, int] = {}
         self.items: list[str] = []
         self.words: list[np.ndarray] = []
-        where: dict[bytes, set[int]] = {}
-        at: dict[bytes, tuple[int, int, int]] = {}
+        at: dict[bytes, list[tuple[int, int]]] = {}
         for name, text in items:
             ids = np.array([self.vocab.setdefault(w, len(self.vocab) + 1) for w in words_of(text)], ">i4")
             if not len(ids):
@@ -70,11 +72,10 @@ class TestSuffixes:
             m = min(window, len(ids))
             for i in range(len(ids) - m + 1):
                 key = ids[i : i + m].tobytes()
-                where.setdefault(key, set()).add(n)
-                at.setdefault(key, (n, i, m))
-        self.windows = list(where)
-        self.owners = [sorted(where[k]) for k in self.windows]
-        self.places = [at[k] for k in self.windows]
+                at.setdefault(key, []).append((n, i))
+        self.windows = list(at)
+        self.places = list(at.values())
+        self.owners = [sorted({n for n, _ in p}) for p in self.places]
         self.lead = min([LEAD, *(len(k) // 4 for k in self.windows)])
         self.base = np.int64(len(self.vocab) + 1)
         leads = {k[: 4 * self.lead] for k in self.windows}
@@ -147,18 +148,34 @@ def _shard(batch: pa.RecordBatch, test: TestSuffixes) -> Iterator[tuple[int, int
         start = stop
 
 
+def _longest(test: TestSuffixes, window: int, p: int, ids: np.ndarray, begin: int, end: int) -> Iterator[tuple[int, int, int]]:
+    """Words, item and the item's word of each match at place ``p`` of a document from ``begin`` to ``end`` that cannot be extended to the left."""
+    m = len(test.windows[window]) // 4
+    for n, i in test.places[window]:
+        words = test.words[n]
+        if i and p > begin and ids[p - 1] == words[i - 1]:
+            continue
+        more = min(len(words) - i, end - p)
+        differ = np.flatnonzero(words[i + m : i + more] != ids[p + m : p + more])
+        yield (int(differ[0]) + m if len(differ) else more), n, i
+
+
 def _hits(batches: Iterator[pa.RecordBatch], test: TestSuffixes) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for start, stop, counts, ids in _shard(batch, test):
             edge = np.zeros(len(ids) + 1, np.int64)
             ends = np.cumsum(np.array(counts) + 1)
             items: list[set[int]] = [set() for _ in counts]
+            longest: list[tuple[int, int, int]] = [(0, 0, 0)] * len(counts)  # words, and the earliest item and place of those, negative
             for window, places in SuffixArray(ids, test).search():
                 m = len(test.windows[window]) // 4
                 np.add.at(edge, places, 1)
                 np.add.at(edge, places + m, -1)
-                for d in np.unique(np.searchsorted(ends, places, "right")).tolist():
+                for p, d in zip(places.tolist(), np.searchsorted(ends, places, "right").tolist()):
                     items[d].update(test.owners[window])
+                    begin = int(ends[d]) - counts[d] - 1
+                    for k, n, _ in _longest(test, window, p, ids, begin, begin + counts[d]):
+                        longest[d] = max(longest[d], (k, -n, begin - p))
             covered = np.concatenate([[0], np.cumsum(np.cumsum(edge[:-1]) > 0)])
             begins = ends - np.array(counts) - 1
             hit = covered[begins + np.array(counts)] - covered[begins]
@@ -166,8 +183,9 @@ def _hits(batches: Iterator[pa.RecordBatch], test: TestSuffixes) -> Iterator[pa.
             names = [sorted({test.items[i] for i in x}) for x in items]
             ids_out = batch.column(0)[start:stop]
             columns = [ids_out, pa.array(counts, pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(names, pa.list_(pa.string()))]
+            columns.append(pa.array([{"words": k, "item": test.items[-n], "at": -at} if k else None for k, n, at in longest], LONGEST))
             kept = [batch.column(i)[start:stop] for i in range(2, batch.num_columns)]
-            yield pa.RecordBatch.from_arrays(columns + kept, names=["doc_id", "n_words", "spans", "items", *batch.schema.names[2:]])
+            yield pa.RecordBatch.from_arrays(columns + kept, names=["doc_id", "n_words", "spans", "items", "longest", *batch.schema.names[2:]])
 
 
 def _spans(edge: np.ndarray, begin: int, n: int) -> list[int]:
@@ -189,9 +207,10 @@ def benchmark_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES, id_co
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
-    """Columns ``doc_id, n_words, spans, items`` for each document, then those named in ``carry`` under ``row``.
+    """Columns ``doc_id, n_words, spans, items, longest`` for each document, then those named in ``carry`` under ``row``.
 
-    ``spans`` holds the hit runs of words as from, to, from, to; ``items`` the item ids whose windows occur, in order.
+    ``spans`` holds the hit runs of words as from, to, from, to; ``items`` the item ids whose windows occur, in order; ``longest`` the longest
+    verbatim match, null if there is none: its number of words, the item and the document's word where it begins.
     """
     bounded_batches(docs.sparkSession)
     row = carried(carry)
@@ -205,15 +224,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
             text = F.col(f"`{text_col}`")
             rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.struct(row, *([text.alias("text")] if after else [])).alias("held"))
         else:
-            kept = F.struct(F.col("held.row").alias("row"), F.col("spans").alias("spans"), F.col("items").alias("items"), *([F.col("held.text").alias("text")] if after else []))
+            kept = F.struct(F.col("held.row").alias("row"), F.col("spans").alias("spans"), F.col("items").alias("items"), F.col("longest").alias("longest"), *([F.col("held.text").alias("text")] if after else []))
             rows = found.select("doc_id", F.col("held.text").alias("text"), kept.alias("held"))
         kind = rows.schema["held"].dataType.simpleString()
-        got = rows.mapInArrow(lambda it, test=test: _hits(it, test.value), f"doc_id long, n_words long, spans array<bigint>, items array<string>, held {kind}")
+        got = rows.mapInArrow(lambda it, test=test: _hits(it, test.value), f"doc_id long, n_words long, spans array<bigint>, items array<string>, longest struct<words:bigint,item:string,at:bigint>, held {kind}")
         if found is not None:
             items = F.array_sort(F.array_union("items", "held.items"))
-            got = got.select("doc_id", "n_words", _joined(F.col("spans"), F.col("held.spans")).alias("spans"), items.alias("items"), "held")
+            best = F.when(F.coalesce(F.col("longest.words"), F.lit(0)) > F.coalesce(F.col("held.longest.words"), F.lit(0)), F.col("longest")).otherwise(F.col("held.longest"))
+            got = got.select("doc_id", "n_words", _joined(F.col("spans"), F.col("held.spans")).alias("spans"), items.alias("items"), best.alias("longest"), "held")
         found, block = got, after
-    return found.select("doc_id", "n_words", "spans", "items", F.col("held.row").alias("row"))
+    return found.select("doc_id", "n_words", "spans", "items", "longest", F.col("held.row").alias("row"))
 
 
 def _joined(a: Column, b: Column) -> Column:
@@ -236,28 +256,15 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     """Longest verbatim matches and where they are: ``doc_id, doc_word, item_id, item_word, n_words``, for matches of a window or more that cannot be extended to the left."""
 
     def run(batches: Iterator[pa.RecordBatch], test: TestSuffixes) -> Iterator[pa.RecordBatch]:
-        first: dict[int, dict[bytes, list[tuple[int, int]]]] = {}
-        for n, words in enumerate(test.words):
-            m = min(window, len(words))
-            for i in range(len(words) - m + 1):
-                first.setdefault(m, {}).setdefault(words[i : i + m].tobytes(), []).append((n, i))
         for batch in batches:
             for start, stop, counts, ids in _shard(batch, test):
                 ends, rows = np.cumsum(np.array(counts) + 1), []
                 names = batch.column(0)[start:stop].to_pylist()
                 for w, places in SuffixArray(ids, test).search():
-                    key = test.windows[w]
                     for p in places.tolist():
                         d = int(np.searchsorted(ends, p, "right"))
                         begin = int(ends[d]) - counts[d] - 1
-                        for n, i in first[len(key) // 4][key]:
-                            words = test.words[n]
-                            if i and p > begin and ids[p - 1] == words[i - 1]:
-                                continue
-                            k = len(key) // 4
-                            while i + k < len(words) and p + k < begin + counts[d] and ids[p + k] == words[i + k]:
-                                k += 1
-                            rows.append((names[d], p - begin, test.items[n], i, k))
+                        rows += [(names[d], p - begin, test.items[n], i, k) for k, n, i in _longest(test, w, p, ids, begin, begin + counts[d])]
                 types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 5, types)], names=["doc_id", "doc_word", "item_id", "item_word", "n_words"])
 
@@ -287,4 +294,7 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         ((F.col("n_hit") > 0) & (F.col("n_hit") * ONE_IN >= F.col("n_words"))).alias("contaminated"),
+        F.col("longest.words").alias("longest_words"),
+        F.col("longest.item").alias("longest_item"),
+        F.col("longest.at").alias("longest_at"),
     )

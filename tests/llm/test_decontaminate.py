@@ -87,3 +87,15 @@ def test_empty(spark):
     docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     assert [tuple(r)[:4] for r in D.contamination(docs, none).collect()] == [(1, 2, [], [])]
     assert D.contamination(docs.limit(0), none).collect() == []
+
+
+def test_longest_match_of_each_document(spark):
+    docs, items = tables(4)
+    a, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id string, text string")
+    best = {}
+    for r in D.longest_matches(a, b).collect():
+        best[r.doc_id] = max(best.get(r.doc_id, 0), r.n_words)
+    for options in ({}, {"block_bytes": 200}):
+        got = [(r.doc_id, r.longest.words if r.longest else 0) for r in D.contamination(a, b, **options).collect()]
+        one = [d for d, _ in got]
+        assert {d: n for d, n in got if one.count(d) == 1} == {d: best.get(d, 0) for d in one if one.count(d) == 1} and best
