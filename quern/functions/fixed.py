@@ -136,3 +136,6 @@ INLINE_MARKS = (
 )
 # A word that can be a host.
 HOST_LIKE = r"(?i)^[a-z0-9-]+(\.[a-z0-9-]+)*\.[a-z]{2,}(:\d+)?([/?#]|$)"
+# An age or a duration. Cards of a section, words of a sentence that answers, characters of a section and of a payload, deepest heading that divides.
+DURATION = r"(?i)\b(mo|yr|months?|years?|weeks?|days?)\b"
+SECTION_CARDS, PROSE_WORDS, SECTION_CHARS, PAYLOAD_CHARS, SPLIT_LEVEL = 30, 45, 1200, 100_000, 4

@@ -298,11 +298,6 @@ def sel_13(spark, sf):
     return L.rate_limited(requests, 3, 3_600_000).select("address", "seq", "hits", "limited")
 
 
-@query("bat_02_batches", f"with {D.CARDS}, b as (select deck_id, (row_number() over (partition by deck_id order by ord) - 1) // 8 as batch from cards) select deck_id, batch, count(*) as n from b group by all")
-def bat_02(spark, sf):
-    return L.batches(A.cards(spark, sf), 8, "deck_id", "ord").groupBy("deck_id", "batch").agg(F.count("*").alias("n"))
-
-
 # Schedules
 
 
