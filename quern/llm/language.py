@@ -160,11 +160,10 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
     by_lang = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(SAMPLE_ALL).collect()}
     quota = min(SAMPLE, SAMPLE_ALL // max(1, len(by_lang)))
-    share: Column = F.lit(0.0)
-    for lang, count in by_lang.items():
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, quota / count))).otherwise(share)
-    # The draw depends on the id alone; about ``quota`` documents of each language come, never much more.
-    draw = F.pmod(F.xxhash64(F.lit("language"), F.col("doc_id")), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    # At most ``SAMPLE_ALL`` rows, one for a language.
+    shares = docs.sparkSession.createDataFrame([(lang, min(1.0, quota / count)) for lang, count in by_lang.items()], "lang string, share double")
+    # The draw depends on id and text alone; about ``quota`` documents of each language come, never much more.
+    draw = F.pmod(F.xxhash64(F.lit("language"), F.col("doc_id"), F.col("text")), F.lit(1 << 30)) / F.lit(float(1 << 30))
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -172,7 +171,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
             v = weighted(counts, idf).astype(np.float16)
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([x.tobytes() for x in v], pa.binary()), pa.array(length_class(counts))], names=["lang", "v", "size"])
 
-    sample = rows.where(draw < share).select("text", "lang").mapInArrow(vectors, "lang string, v binary, size long").limit(2 * SAMPLE_ALL).collect()
+    sample = rows.join(F.broadcast(shares), "lang").where(draw < F.col("share")).select("text", "lang").mapInArrow(vectors, "lang string, v binary, size long").limit(2 * SAMPLE_ALL).collect()
     groups: dict[str, list[tuple[bytes, int]]] = {}
     for lang, v, size in sample:
         groups.setdefault(lang, []).append((v, size))

@@ -44,7 +44,9 @@ _STEP = 512
 
 
 class Hasher:
-    """Signatures of texts; keeps tables of powers as long as the longest text so far."""
+    """Signatures of texts; keeps tables of powers for texts of up to ``KEPT`` bytes, those for longer ones go with the text."""
+
+    KEPT = 1 << 18
 
     def __init__(self, permutations: int = PERMUTATIONS, width: int = WIDTH):
         rng = np.random.Generator(np.random.PCG64(_SEED))
@@ -52,10 +54,11 @@ class Hasher:
         self.a = rng.integers(0, 1 << 63, permutations, np.uint64) * np.uint64(2) + np.uint64(1)
         self.b = rng.integers(0, 1 << 63, permutations, np.uint64) * np.uint64(2)
         self.buffer = np.empty((_STEP, permutations), np.uint64)
-        self._powers(1 << 14)
+        self.up, self.down = self._powers(1 << 14)
 
-    def _powers(self, n: int) -> None:
-        self.up, self.down = (np.cumprod(np.array([1] + [x] * n, np.uint64)) for x in (_BASE, pow(_BASE, -1, 1 << 64)))
+    @staticmethod
+    def _powers(n: int) -> tuple[np.ndarray, ...]:
+        return tuple(np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, x, np.uint64)])) for x in (_BASE, pow(_BASE, -1, 1 << 64)))
 
     def shingles(self, text: str) -> np.ndarray:
         """A 32-bit hash of each shingle, repeats included."""
@@ -63,14 +66,17 @@ class Hasher:
         if not words:
             return np.zeros(0, np.uint64)
         raw = np.frombuffer(b" ".join(words), np.uint8)
-        if len(raw) >= len(self.up):
-            self._powers(2 * len(raw))
+        up, down = self.up, self.down
+        if len(raw) >= len(up):
+            up, down = self._powers(len(raw) if len(raw) > self.KEPT else min(self.KEPT, 2 * len(raw)))
+            if len(raw) <= self.KEPT:
+                self.up, self.down = up, down
         gaps = np.flatnonzero(raw == 32)
         k = min(self.width, len(words))
         starts = np.concatenate([[0], gaps + 1])[: len(words) - k + 1]
         ends = np.concatenate([gaps, [len(raw)]])[k - 1 :]
-        run = np.concatenate([np.zeros(1, np.uint64), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * self.up[: len(raw)])])
-        h = (run[ends] - run[starts]) * self.down[starts]
+        run = np.concatenate([np.zeros(1, np.uint64), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: len(raw)])])
+        h = (run[ends] - run[starts]) * down[starts]
         h ^= h >> np.uint64(31)
         h *= np.uint64(0xBF58476D1CE4E5B9)
         return h >> np.uint64(32)

@@ -18,11 +18,20 @@ _CHUNK = 1 << 15
 _TABLES: list[tuple[np.ndarray, np.ndarray]] = []
 
 
+#: Powers for texts of so many bytes are kept from one text to the next; those for longer ones go with the text.
+_KEPT = 1 << 18
+
+
+def _powers(n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    return [tuple(np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, x, np.uint64)])) for x in (b, pow(b, -1, 1 << 64))) for b in _BASES]
+
+
 def _tables(n: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """Powers of each base and of its inverse, up to ``n``."""
+    if n > _KEPT:
+        return _powers(n)
     if not _TABLES or len(_TABLES[0][0]) <= n:
-        size = max(1 << 14, 2 * n)
-        _TABLES[:] = [tuple(np.cumprod(np.array([1] + [x] * size, np.uint64)) for x in (b, pow(b, -1, 1 << 64))) for b in _BASES]
+        _TABLES[:] = _powers(min(_KEPT, max(1 << 14, 2 * n)))
     return _TABLES
 
 

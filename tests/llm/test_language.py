@@ -1,5 +1,7 @@
 """Language identification: accuracy on the held-out fold, and edge cases."""
 
+import numpy as np
+
 import os
 
 import pytest
@@ -46,3 +48,32 @@ def test_pieces_of_a_long_text(spark):
     text = "ab cd " * 400_000
     raw = b" " + b" ".join(text.encode().split()) + b" "
     assert L.features([text]).sum() == sum(len(raw) - n + 1 for n in L.GRAMS)
+
+
+def test_prediction_by_plain_counts():
+    """Counts of n-grams, weights and cosines one by one, against the model's."""
+    import math
+    from collections import Counter
+
+    rng = np.random.default_rng(5)
+    texts = ["Ein kurzer Text, mit Wörtern.", "a b", "ünï çødé 12 x", "The quick brown fox"]
+    counts = L.features(texts)
+    idf = rng.uniform(1, 3, L.SIZE).astype(np.float32)
+    centroids = rng.uniform(0, 1, (5, L.SIZE)).astype(np.float32)
+    centroids /= np.linalg.norm(centroids, axis=1, keepdims=True)
+    model = L.Model(["p", "q"], idf, centroids, np.array([0, 0, 1, 1, 1]), np.full((2, L.CLASSES), -1.0))
+    names, scores, _ = model.predict(texts)
+    for i, text in enumerate(texts):
+        raw = text.lower().encode()
+        raw = b" " + b" ".join(bytes(b if b >= 128 or 97 <= b <= 122 else 32 for b in raw).split()) + b" "
+        seen = Counter()
+        for n, prime in zip(L.GRAMS, L._PRIMES):
+            for at in range(len(raw) - n + 1):
+                code = int.from_bytes(raw[at : at + n], "big")
+                seen[((code * prime) & 0xFFFFFFFF) >> 20] += 1
+        assert {k: int(v) for k, v in enumerate(counts[i]) if v} == dict(seen)
+        v = {k: math.sqrt(n) * float(idf[k]) for k, n in seen.items()}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        cos = [sum(x * float(c[k]) for k, x in v.items()) / norm for c in centroids]
+        best = max(range(5), key=cos.__getitem__)
+        assert names[i] == ["p", "p", "q", "q", "q"][best] and math.isclose(scores[i], cos[best], rel_tol=1e-4)

@@ -80,3 +80,25 @@ def test_near_duplicates_by_brute_force(spark):
     least = {x: min(d for (d, _), y in zip(named, label) if y == x) for x in label}
     assert got == sorted((d, least[x]) for (d, _), x in zip(named, label))
     assert M.near_duplicates(docs.limit(0)).collect() == []
+
+
+def test_signature_by_plain_integers():
+    """Independent of numpy's arithmetic: shingles one by one, hash functions in Python's integers."""
+    hasher, full = M.Hasher(), (1 << 64) - 1
+    for text in ("A b c d e f g", "One two THREE four  five six seven eight nine ten", "few words", "é ß 漢 a b c d", "x " * 40 + "y z"):
+        words = text.lower().encode().split() if text.isascii() else "".join(c.lower() if c.isascii() else c for c in text).encode().split()
+        k = min(5, len(words))
+        values = set()
+        for i in range(len(words) - k + 1):
+            h = sum((b + 1) * pow(0x9E3779B97F4A7C15, j, 1 << 64) for j, b in enumerate(b" ".join(words[i : i + k]))) & full
+            h = ((h ^ (h >> 31)) * 0xBF58476D1CE4E5B9) & full
+            values.add(h >> 32)
+        want = [min((int(a) * v + int(b)) & full for v in values) >> 32 for a, b in zip(hasher.a, hasher.b)]
+        assert hasher.signature(text).tolist() == want
+
+
+def test_long_texts_leave_no_tables_behind():
+    hasher = M.Hasher()
+    long = "word " * 120_000
+    assert (hasher.signature(long) == M.Hasher().signature(long[: len(long) // 2])).all()
+    assert len(hasher.up) <= hasher.KEPT + 1
