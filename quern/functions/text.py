@@ -248,6 +248,7 @@ def folder_name(name: Column) -> Column:
 
 
 def sort_key(name: Column) -> Column:
-    """Names in numeric order of their digits, without regard to case: digit runs are padded."""
+    """Names in numeric order of their digits, without regard to case and accents: a run of digits stands behind its length, however long it is."""
     pieces = F.regexp_extract_all(F.lower(name), F.lit(r"\d+|\D+"), F.lit(0))
-    return F.array_join(F.transform(pieces, lambda p: F.when(p.rlike(r"^\d"), F.lpad(p, 20, "0")).otherwise(p)), "")
+    bare = lambda p: F.regexp_replace(p, "^0+(?=[0-9])", "")
+    return F.collate(F.array_join(F.transform(pieces, lambda p: F.when(p.rlike(r"^\d"), F.concat(F.lpad(F.length(bare(p)).cast("string"), 5, "0"), bare(p))).otherwise(p)), ""), "UNICODE_CI_AI")

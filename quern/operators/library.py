@@ -83,11 +83,12 @@ def rate_limited(requests: DataFrame, limit: int, window_ms: int = X.RATE_WINDOW
     return requests.withColumn("hits", hits).withColumn("limited", F.col("hits") > limit)
 
 
-def export(cards: DataFrame) -> DataFrame:
-    """Each deck's cards as one delimited text, in order."""
+def export(cards: DataFrame, decks: DataFrame) -> DataFrame:
+    """Each deck's cards as one delimited text, in order; a deck without cards has an empty one."""
     field = F.concat(T.export_field(F.col("front")), F.lit("&"), T.export_field(F.col("back")))
     rows = F.array_sort(F.collect_list(F.struct("ord", field.alias("row"))))
-    return cards.groupBy("deck_id").agg(F.concat(F.array_join(F.transform(rows, lambda r: r["row"]), ";"), F.lit(";")).alias("export"))
+    told = cards.groupBy("deck_id").agg(F.concat(F.array_join(F.transform(rows, lambda r: r["row"]), ";"), F.lit(";")).alias("export"))
+    return decks.join(told, "deck_id", "left").select("deck_id", F.coalesce("export", F.lit("")).alias("export"))
 
 
 def updated(rows: DataFrame, changes: DataFrame, key: str, columns: list[str]) -> DataFrame:

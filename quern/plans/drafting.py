@@ -423,3 +423,10 @@ def str_38(spark, sf):
     scans = SCANS.frame(spark)
     pages = spark.range(1, 5).select(F.explode(F.array(*(F.lit(i).cast("long") for i in (1, 2)))).alias("reply_id"), F.concat(F.lit("Page "), F.col("id").cast("string")).alias("label"), F.col("id").alias("page"))
     return J.pages_read(scans, pages)
+
+
+@query("jsn_01_fence", f"select reply_id, md5(trim(regexp_replace(regexp_replace(text, '^\\s*```\\w*', ''), '```\\s*$', ''), ' ')) as text from (select reply_id, replace(text, chr(10), ' ') as text from {REPLIES.sql} union all select p_partkey, case when p_size % 2 = 0 then '```json ' || p_name || ' ```  ' else p_name end from part)")
+def jsn_01(spark, sf):
+    fenced = F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("```json "), "p_name", F.lit(" ```  "))).otherwise(F.col("p_name"))
+    rows = REPLIES.frame(spark).select("reply_id", F.replace("text", F.lit("\n"), F.lit(" ")).alias("text")).union(table(spark, sf, "part").select("p_partkey", fenced))
+    return rows.select("reply_id", F.md5(J.fence_stripped(F.col("text"))).alias("text"))

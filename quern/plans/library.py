@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions import fixed as X
+from quern.functions import phrasing as P
 from quern.functions import text as T
 from quern.operators import changes as C
 from quern.operators import library as L
@@ -17,7 +18,7 @@ from quern.plans import duck as D
 from quern.plans.queries import query
 from quern.runtime import table
 from quern.sources import adapters as A
-from quern.sources.fixtures import Fixture
+from quern.sources.fixtures import Fixture, literal
 
 _CARDS = "cards as (select l_orderkey as deck_id, l_partkey as card_id, (l_linenumber - 1)::bigint as ord from lineitem), decks as (select o_orderkey as deck_id, o_custkey % 9 as card_count from orders)"
 
@@ -315,3 +316,24 @@ def jon_03(spark, sf):
     questions = table(spark, sf, "lineitem").select(F.col("l_partkey").alias("card_id"), style.alias("style"), F.struct("l_orderkey", "l_linenumber").alias("seq"), F.concat(F.lit("Brand#"), (F.col("l_linenumber") + 10).cast("string")).alias("hash"))
     found = [L.needing_questions(cards, questions, s).select("card_id", F.lit(s).alias("style"), F.when(F.col("skipped"), "skipped").otherwise("unwritten").alias("state")) for s in ("recall", "application")]
     return reduce(DataFrame.union, found)
+
+
+@query("crd_16_language_names", "select p_partkey, name from part left join (values " + ", ".join(f"({literal(k)}, {literal(v)})" for k, v in X.LANGUAGES.items()) + ") v(tag, name) on tag = lower(case p_size % 5 when 0 then 'CPP' when 1 then 'Sh' when 2 then 'none' when 3 then 'tsx' else p_brand end)")
+def crd_16(spark, sf):
+    tag = F.when(F.col("p_size") % 5 == 4, F.col("p_brand")).otherwise(F.element_at(F.array(*map(F.lit, ("CPP", "Sh", "none", "tsx", ""))), (F.col("p_size") % 5 + 1).cast("int")))
+    return table(spark, sf, "part").select("p_partkey", P.language_name(tag).alias("name"))
+
+
+_QUEUES = "q as (select o_custkey as deck_id, list(o_orderkey order by o_orderkey) as queue from orders group by o_custkey)"
+
+
+@query("sel_05_requeue", f"with {_QUEUES}, p as (select deck_id, queue, deck_id % len(queue) as position from q), a as (select *, least(position + 4, len(queue)) as at from p) select deck_id, array_to_string(list_concat(list_concat(queue[1:at], [queue[position + 1]]), queue[at + 1:len(queue)]), ',') as queue from a")
+def sel_05(spark, sf):
+    q = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("deck_id")).agg(F.array_sort(F.collect_list("o_orderkey")).alias("queue"))
+    q = q.withColumn("position", (F.col("deck_id") % F.size("queue")).cast("int"))
+    return q.select("deck_id", F.array_join(L.requeued(F.col("queue"), F.col("position"), F.get("queue", F.col("position"))), ",").alias("queue"))
+
+
+@query("srs_03_due", f"with {D.STUDY} select card_id, {D.DUE} as due from study where due_ms is not null")
+def srs_03(spark, sf):
+    return A.study_cards(spark, sf).where("due_ms is not null").select("card_id", S.is_due(F.col("due_ms"), F.lit(A.NOW_MS).cast("long")).alias("due"))

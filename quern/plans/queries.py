@@ -162,10 +162,12 @@ def crd_03(spark, sf):
     return _cells(spark, sf)
 
 
-@query("crd_13_table_question", f"with {_CELLS} select row_key, col::bigint as col, 'What is the ' || lower(header) || ' of the ' || row_key || ' part?' as front from cells where row_key <> '' and trim(value) <> '' and not {D.like('row_key', X.AGE)}")
+@query("crd_13_table_question", f"with {_CELLS} select row_key, col::bigint as col, 'What is the ' || lower(header) || ' of the ' || row_key || ' part?' as front from cells where row_key <> '' and trim(value) <> '' union all select row_key, col, expected from {fixtures.TABLE_CELLS.sql}")
 def crd_13(spark, sf):
     front = P.table_question(F.lit("Parts"), F.col("row_key"), F.col("header"), F.lit(None).cast("string"))
-    return _cells(spark, sf).where(~F.col("row_key").rlike(J.AGE)).select("row_key", "col", front.alias("front"))
+    cells = _cells(spark, sf).select("row_key", "col", front.alias("front"))
+    branches = fixtures.TABLE_CELLS.frame(spark).select("row_key", "col", P.table_question(F.col("row_header"), F.col("row_key"), F.col("header"), F.col("context")).alias("front"))
+    return cells.union(branches)
 
 
 _STEM = D.sub("case when regexp_replace(trim(line, ' '), '^\\(?\\d{1,2}[.)]\\s+', '') = '' then trim(line, ' ') else trim(regexp_replace(trim(line, ' '), '^\\(?\\d{1,2}[.)]\\s+', ''), ' ') end", "[:?]+$", "")
@@ -284,7 +286,7 @@ def sel_04(spark, sf):
     return L.session_queue(A.study_cards(spark, sf), A.NOW_MS)
 
 
-_SORT = "array_to_string(list_transform(regexp_extract_all(lower(name), '\\d+|\\D+'), lambda p: case when regexp_matches(p, '^\\d') then lpad(p, 20, '0') else p end), '')"
+_SORT = "array_to_string(list_transform(regexp_extract_all(lower(name), '\\d+|\\D+'), lambda p: case when regexp_matches(p, '^\\d') then lpad(length(coalesce(nullif(ltrim(p, '0'), ''), '0'))::varchar, 5, '0') || coalesce(nullif(ltrim(p, '0'), ''), '0') else p end), '')"
 
 
 @query("sel_08_library_order", f"with {D.DECKS} select deck_id, row_number() over (partition by folder_id order by {_SORT}, created_at desc, deck_id) as position from decks")
@@ -330,9 +332,11 @@ def snk_10(spark, sf):
     return L.unfiled(A.decks(spark, sf), gone).select("deck_id", "folder_id")
 
 
-@query("snk_15_export", f"with {D.CARDS} select deck_id, string_agg(replace(replace(front, '&', 'and'), ';', ',') || '&' || replace(replace(back, '&', 'and'), ';', ','), ';' order by ord) || ';' as export from cards group by deck_id")
+@query("snk_15_export", f"with {D.CARDS}, d as (select distinct deck_id from cards union select conv_id from conversations union select -99), t as (select deck_id, string_agg(replace(replace(front, '&', 'and'), ';', ',') || '&' || replace(replace(back, '&', 'and'), ';', ','), ';' order by ord) || ';' as export from cards group by deck_id) select deck_id, coalesce(export, '') as export from d left join t using (deck_id)")
 def snk_15(spark, sf):
-    return L.export(A.cards(spark, sf))
+    cards = A.cards(spark, sf)
+    decks = cards.select("deck_id").union(table(spark, sf, "conversations").select("conv_id")).union(spark.range(-99, -98).toDF("deck_id")).distinct()
+    return L.export(cards, decks)
 
 
 @query("snk_16_file_name", f"select c_custkey, case when {D.slug('c_name')} = '' then 'deck' else replace({D.slug('c_name')}, ' ', '-') end || '.txt' as file_name from customer")

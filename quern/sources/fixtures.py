@@ -86,3 +86,19 @@ URLS = Fixture(
         "example.org/no-scheme", "https://example.org", "https://example.org:443/", "http://example.org:80/?q=1#x", "https://EXAMPLE.org/Path/?Q=1", "https://example.org/Path?Q=1", "http://999.1.1.1/", "http://", "https://example.org:8443/",
     ), 1)],
 )
+
+# One cell for each way to ask, and the question that it must give.
+TABLE_CELLS = Fixture(
+    "row_key string, col long, row_header string, header string, context string, expected string",
+    [
+        ("12 mo", -1, None, "Language", None, "At 12 mo, what is the language?"),
+        ("12 mo", -2, None, "Language", "Developmental milestones", "At 12 mo, what are the language milestones?"),
+        ("Toddler", -3, "Age group", "Motor skills", None, "At Toddler, what are the motor skills?"),
+        ("Social skills", -4, "Domain", "12 months", None, "In 12 months, what are expected for social skills?"),
+        ("Aspirin", -5, "Drug", "Drug class", None, "What is the drug class for Aspirin?"),
+        ("Aspirin", -6, "Drug", "Drug class", "Emergency drugs", "What is the drug class in Aspirin emergency?"),
+        ("Aspirin (oral)", -7, "Drugs", "Dose", None, "What is the dose of the Aspirin drug?"),
+        ("Aspirin", -8, None, "MRI", None, "What is the MRI of Aspirin?"),
+        ("Aspirin", -9, None, "Side effects", "Emergency drugs", "What are the side effects of the Aspirin emergency?"),
+    ],
+)

@@ -132,3 +132,17 @@ def test_furniture_and_navigation(spark):
     assert {r["text"] for r in R.without_furniture(blocks).collect()} == {f"own {s}" for s in range(5)}
     titles = spark.createDataFrame([("d", 3, "title 3")], "document string, section long, title string")
     assert {r["section"] for r in R.without_navigation(blocks, titles).where("text = 'Title 3'").collect()} == {3}
+
+
+def test_names_sort_by_numbers_without_accents(spark):
+    names = ["Chapter 10", "chapter 2", "Élan 3", "elan 03", "Zeta", "a" + "1" * 21 + "5", "a" + "1" * 21 + "9", "a2"]
+    rows = spark.createDataFrame([(n,) for n in reversed(names)], "name string")
+    got = [r.name for r in rows.orderBy(T.sort_key(F.col("name")), "name").collect()]
+    assert got == ["a2", "a" + "1" * 21 + "5", "a" + "1" * 21 + "9", "chapter 2", "Chapter 10", "elan 03", "Élan 3", "Zeta"]
+
+
+def test_addresses_in_any_spelling(spark):
+    refused = ["http://[::1]/x", "http://[fe80::1]/", "http://[::ffff:10.0.0.1]/", "http://2130706433/", "http://0177.0.0.1/", "http://127.1/", "http://0x7f.0.0.1/", "http://[::ffff:7f00:1]/", "http://user@10.0.0.1/", "http://a.internal/"]
+    allowed = ["http://8.8.8.8/", "http://[2001:db8::1]/", "https://example.org:8443/x", "http://172.32.0.1/"]
+    rows = spark.createDataFrame([(u,) for u in refused + allowed], "u string")
+    assert {r.u for r in rows.where(T.fetchable(F.col("u"))).collect()} == set(allowed)
