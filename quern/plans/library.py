@@ -327,7 +327,7 @@ def crd_16(spark, sf):
 _QUEUES = "q as (select o_custkey as deck_id, list(o_orderkey order by o_orderkey) as queue from orders group by o_custkey)"
 
 
-@query("sel_05_requeue", f"with {_QUEUES}, p as (select deck_id, queue, deck_id % len(queue) as position from q), a as (select *, least(position + 4, len(queue)) as at from p) select deck_id, array_to_string(list_concat(list_concat(queue[1:at], [queue[position + 1]]), queue[at + 1:len(queue)]), ',') as queue from a")
+@query("sel_05_requeue", f"with {_QUEUES}, p as (select deck_id, queue, deck_id % len(queue) as position from q), a as (select *, least(position + 4, len(queue)) as upto from p) select deck_id, array_to_string(list_concat(list_concat(queue[1:upto], [queue[position + 1]]), queue[upto + 1:len(queue)]), ',') as queue from a")
 def sel_05(spark, sf):
     q = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("deck_id")).agg(F.array_sort(F.collect_list("o_orderkey")).alias("queue"))
     q = q.withColumn("position", (F.col("deck_id") % F.size("queue")).cast("int"))
