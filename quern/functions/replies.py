@@ -18,7 +18,7 @@ OBJECT = r"(?s)\{(?:[^{}\"]++|" + _STRING + r"|\{(?:[^{}\"]++|" + _STRING + r")*
 
 def fence_stripped(text: Column) -> Column:
     """A reply without the code fence around it."""
-    return F.trim(F.regexp_replace(F.regexp_replace(text, r"^\s*```\w*", ""), r"```\s*$", ""))
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"^\s*```\w*", ""), r"```\s*$", ""), r"^\s+|\s+$", "")
 
 
 def objects(text: Column) -> Column:

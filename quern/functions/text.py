@@ -151,7 +151,7 @@ def card_hash(front: Column, back: Column) -> Column:
 
 
 def letter_spaced(text: Column) -> Column:
-    """``N O R M A L`` as ``NORMAL``; other text as it is."""
+    """``S P R I N G`` as ``SPRING``; other text as it is."""
     clean = F.trim(text)
     joined = F.regexp_replace(clean, r"\s+", "")
     enough = F.length(F.regexp_replace(joined, "[^A-Za-z0-9]", "")) >= 2

@@ -156,8 +156,8 @@ def str_13(spark, sf):
 BLOCKS = Fixture(
     "doc_id long, place long, kind string, level int, text string",
     [
-        (-11, 0, "paragraph", None, "Home"), (-11, 1, "paragraph", None, "Learn"), (-11, 2, "heading", 1, "State"), (-11, 3, "paragraph", None, "State is memory."), (-11, 4, "heading", 2, "References"),
-        (-11, 5, "paragraph", None, "A book."), (-11, 6, "heading", 3, "See also"), (-11, 7, "paragraph", None, "Another."), (-11, 8, "heading", 2, "More state"), (-11, 9, "paragraph", None, "Kept again."),
+        (-11, 0, "paragraph", None, "Home"), (-11, 1, "paragraph", None, "Guide"), (-11, 2, "heading", 1, "Tides"), (-11, 3, "paragraph", None, "Tides are slow waves."), (-11, 4, "heading", 2, "References"),
+        (-11, 5, "paragraph", None, "A book."), (-11, 6, "heading", 3, "See also"), (-11, 7, "paragraph", None, "Another."), (-11, 8, "heading", 2, "More tides"), (-11, 9, "paragraph", None, "Kept again."),
         (-11, 10, "heading", 3, "Further reading"), (-11, 11, "heading", 4, "Deep"), (-11, 12, "paragraph", None, "Gone"), (-11, 13, "heading", 3, "Contents"), (-11, 14, "heading", 1, "Last"), (-11, 15, "code", None, "print(1)"),
         (-12, 0, "paragraph", None, "A lead that is much longer than any crumb could be, so all that stands before stays."), (-12, 1, "heading", 1, "Title"), (-13, 0, "heading", 1, "Comments"), (-13, 1, "paragraph", None, "x"), (-14, 0, "paragraph", None, "no heading"),
         (-15, 0, "image", None, "pic"), (-15, 1, "heading", 2, "More in memory"), (-15, 2, "heading", 2, "Kept"),
@@ -186,7 +186,7 @@ def str_32(spark, sf):
 
 
 _TEXTS = Fixture("doc_id long, line_no long, line string", [(-21, i, t) for i, t in enumerate((
-    "Edit this page", "ok", "Read more", "**Secure** — explores freely", "__Avoidant__: stays away", "*Term:* - text", "_a b_ – c", "**No pair**", "plain — text", "![alt](x.png) and [label](http://a.b/c)", "see [^1] and [a][b] <https://ex.org> <b>bold</b>",
+    "Edit this page", "ok", "Read more", "**Osmosis** — water moves freely", "__Diffusion__: spreads out", "*Term:* - text", "_a b_ – c", "**No pair**", "plain — text", "![alt](x.png) and [label](http://a.b/c)", "see [^1] and [a][b] <https://ex.org> <b>bold</b>",
     "``code`` `x` ***all*** **bold** *it*", "(__strong__) snake_case_name _em_ ~~gone~~", "escaped \\* star \\_ and \\`", "___both___ x", "Was this helpful?",
 ))])
 _SOME = f"several as (select doc_id, line_no, line from lines union all select * from {_TEXTS.sql})"
@@ -232,7 +232,7 @@ def str_34(spark, sf):
 
 
 FILES = Fixture("file_id long, name string, content_type string", [(i, n, t) for i, (n, t) in enumerate((
-    ("week-3_notes.md", "text/plain"), ("Deck.PPTX", ""), ("paper.pdf", "application/pdf"), ("page.HTML", "text/html"), ("a__b--c.Markdown", "text/markdown; charset=utf-8"), ("none", "text/plain"), ("x.docx", None), ("raw.mkd?x=1", "TEXT/PLAIN"), ("raw.mdown#a", "text/plain"), ("notes.md.txt", "text/plain"),
+    ("unit-7_summary.md", "text/plain"), ("Deck.PPTX", ""), ("paper.pdf", "application/pdf"), ("page.HTML", "text/html"), ("a__b--c.Markdown", "text/markdown; charset=utf-8"), ("none", "text/plain"), ("x.docx", None), ("raw.mkd?x=1", "TEXT/PLAIN"), ("raw.mdown#a", "text/plain"), ("notes.md.txt", "text/plain"),
 ))])
 
 
@@ -255,8 +255,8 @@ def str_37(spark, sf):
 
 
 PASTED = Fixture("paste_id long, text string, expected array<string>", [
-    (1, "react.dev/learn  https://ex.org/a,https://ex.org/b;www.ex.net/c", ["https://react.dev/learn", "https://ex.org/a", "https://ex.org/b", "https://www.ex.net/c"]),
-    (2, "[State](https://ex.org/s)[Render](https://ex.org/r) and <https://ex.org/q?f=a,b>", ["https://ex.org/s", "https://ex.org/r", "https://ex.org/q?f=a,b"]),
+    (1, "docs.example.net/start  https://ex.org/a,https://ex.org/b;www.ex.net/c", ["https://docs.example.net/start", "https://ex.org/a", "https://ex.org/b", "https://www.ex.net/c"]),
+    (2, "[One](https://ex.org/s)[Two](https://ex.org/r) and <https://ex.org/q?f=a,b>", ["https://ex.org/s", "https://ex.org/r", "https://ex.org/q?f=a,b"]),
     (3, "EX.org/Path https://ex.org/path/ http://ex.org/path#x ex.org:8080/y and word.", ["https://EX.org/Path", "https://ex.org:8080/y"]),
     (4, "nothing here", []), (5, "", []),
 ])

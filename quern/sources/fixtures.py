@@ -43,11 +43,11 @@ _HEAD = "Course reader, spring term\nPrint this page"
 DOCUMENTS = Fixture(
     "doc_id long, source string, text string",
     [
-        (-1, "reader", f"Working memory – Course reader\n{_HEAD}\nN O R M A L\nPage 3 of 9\nWorking memory is a store that holds a few items for some seconds. It decays fast. Older accounts say that working memory was a single box.\nSpan: the number of items that can be repeated at once.\n( 0 - 2 y r ) and ( 9 m o )\nIn this example: the span is four. As shown above the store is small."),
+        (-1, "reader", f"Working memory – Course reader\n{_HEAD}\nS P R I N G\nPage 3 of 9\nWorking memory is a store that holds a few items for some seconds. It decays fast. Older accounts say that working memory was a single box.\nSpan: the number of items that can be repeated at once.\n( 0 - 2 y r ) and ( 9 m o )\nIn this example: the span is four. As shown above the store is small."),
         (-2, "reader", f"Long-term memory\n{_HEAD}\nA trace that lasts for years is called engram.\nHowever, long-term memory is the store that keeps facts and events for years without effort.\nWorking memory\nRehearsal: saying items again so that they stay.\nhttps://example.org/reader\nThe table below shows spans.\n1/2/2024, 10:15 AM"),
         (-3, "reader", f"Forgetting curves\n{_HEAD}\n© 2024 Some Press\nForgetting curves are known as records of how much is kept after hours or days. The following: a list.\nA decay refers to the loss of a trace over time.\nSleep means a state in which traces are replayed and kept.\nWhat does this diagram show?"),
         (-4, "reader", f"Recall, and recognition\n{_HEAD}\nRecall is the concept of finding an item without help.\nCue is defined as a hint that brings an item back.\nNote: cues help.\n-"),
-        (-5, None, "For example:\nno source here\nN O R M A L"),
+        (-5, None, "For example:\nno source here\nS P R I N G"),
         (-6, None, "For example:\nstill none"),
     ],
 )

@@ -15,24 +15,24 @@ def block(section, place, kind, **k):
 
 
 def sections(spark):
-    return spark.createDataFrame([(1, 1, 0, "Page 1", "Child development"), (2, 1, 1, "Page 2", "State in components"), (3, 1, 2, "Page 3", None), (4, 2, 0, "Page 1", "Memory systems")], SECTIONS)
+    return spark.createDataFrame([(1, 1, 0, "Page 1", "Insect growth"), (2, 1, 1, "Page 2", "Tides on coasts"), (3, 1, 2, "Page 3", None), (4, 2, 0, "Page 1", "Memory systems")], SECTIONS)
 
 
 def blocks(spark):
     rows = [
-        block(1, 0, "heading", level=1, text="Child development"),
+        block(1, 0, "heading", level=1, text="Insect growth"),
         block(1, 1, "paragraph", text="0-2 yr"),
-        block(1, 2, "heading", level=2, text="Sensorimotor stage"),
-        block(1, 3, "paragraph", text="The infant learns through acting on objects."),
-        block(1, 4, "paragraph", text="Object permanence is the idea that hidden things still exist."),
-        block(1, 5, "paragraph", heading="Key milestones", text="Walking and first words appear;"),
-        block(1, 6, "list", heading="PREOPERATIONAL STAGE (2-7 yr)", items=["Pretend play", " Egocentric talk "]),
+        block(1, 2, "heading", level=2, text="Larval stage"),
+        block(1, 3, "paragraph", text="The larva feeds and sheds its skin several times."),
+        block(1, 4, "paragraph", text="Moulting is the process in which an insect sheds its skin."),
+        block(1, 5, "paragraph", heading="Key milestones", text="Wings and first flights appear;"),
+        block(1, 6, "list", heading="PUPAL STAGE (2-7 yr)", items=["Resting", " Spinning "]),
         block(1, 7, "list", items=["Assimilation: fitting new things into old schemas", "Accommodation: changing schemas to fit new things", "other"]),
-        block(1, 8, "table", headers=["Age", "Language", ""], rows=[["12 mo", "First single words", "x"], ["", "none", "y"], ["24 mo", "", "z"]]),
-        block(2, 0, "paragraph", text="State keeps a value between renders."),
+        block(1, 8, "table", headers=["Age", "Ability", ""], rows=[["12 mo", "Flies short distances", "x"], ["", "none", "y"], ["24 mo", "", "z"]]),
+        block(2, 0, "paragraph", text="A tide returns about twice a day."),
         block(2, 1, "code", text="const [n, setN] = useState(0)", language="jsx", output="0"),
-        block(2, 2, "image", heading="Render cycle", src="a.png"),
-        block(2, 3, "image", src="b.png", caption="Each render has its own state."),
+        block(2, 2, "image", heading="Lunar cycle", src="a.png"),
+        block(2, 3, "image", src="b.png", caption="Each day has its own tides."),
         block(3, 0, "paragraph", text="No title and no structure."),
         block(4, 0, "paragraph", text="However, memory systems are the parts of the mind that keep what was learned for later."),
     ]
@@ -44,23 +44,23 @@ def test_cards_of_sections(spark):
     for r in G.section_cards(blocks(spark), sections(spark)).orderBy("section_id", "card").collect():
         got.setdefault(r.section_id, []).append((r.front, r.back, r.front_code or r.back_code or r.image))
     assert got[1] == [
-        ("What characterizes Sensorimotor stage?", "The infant learns through acting on objects.", None),
-        ("Sensorimotor stage — what age range?", "0-2 yr", None),
-        ("What is Object permanence?", "the idea that hidden things still exist", None),
-        ("What is important about Key milestones?", "Walking and first words appear", None),
-        ("What characterizes Preoperational Stage?", "• Pretend play\n• Egocentric talk", None),
-        ("Preoperational Stage — what age range?", "2-7 yr", None),
+        ("What characterizes Larval stage?", "The larva feeds and sheds its skin several times.", None),
+        ("Larval stage — what age range?", "0-2 yr", None),
+        ("What is Moulting?", "the process in which an insect sheds its skin", None),
+        ("What is important about Key milestones?", "Wings and first flights appear", None),
+        ("What characterizes Pupal Stage?", "• Resting\n• Spinning", None),
+        ("Pupal Stage — what age range?", "2-7 yr", None),
         ("What is Assimilation?", "fitting new things into old schemas", None),
         ("What is Accommodation?", "changing schemas to fit new things", None),
-        ("At 12 mo, what is the language?", "First single words", None),
-        ("Which age is associated with: First single words?", "12 mo", None),
+        ("At 12 mo, what is the ability?", "Flies short distances", None),
+        ("Which age is associated with: Flies short distances?", "12 mo", None),
     ]
     code = "const [n, setN] = useState(0)"
     assert got[2] == [
-        ("State in components — what does this JSX program print?", "0", code),
-        ("State in components — how is this written in JSX?", "State keeps a value between renders.", code),
-        ("Render cycle — what does it look like?", "State keeps a value between renders.", "a.png"),
-        ("State in components — what does it look like?", "Each render has its own state.", "b.png"),
+        ("Tides on coasts — what does this JSX program print?", "0", code),
+        ("Tides on coasts — how is this written in JSX?", "A tide returns about twice a day.", code),
+        ("Lunar cycle — what does it look like?", "A tide returns about twice a day.", "a.png"),
+        ("Tides on coasts — what does it look like?", "Each day has its own tides.", "b.png"),
     ]
     assert 3 not in got
     assert got[4][0] == ("What are Memory systems?", "memory systems are the parts of the mind that keep what was learned for later.", None)

@@ -34,11 +34,11 @@ def one(spark, column):
         (T.dangling_reference, "What does this code print?", "this code"),
         (T.dangling_reference, "What is shown above?", "shown above"),
         (T.dangling_reference, "What is a closure?", None),
-        (T.letter_spaced, "N O R M A L", "NORMAL"),
+        (T.letter_spaced, "S P R I N G", "SPRING"),
         (T.letter_spaced, "( )", "( )"),
         (T.normal_spacing, "( 0 - 2 y r )", "(0-2 yr)"),
         (T.print_artifact, "Page 3 of 9", True),
-        (T.page_title, "State: A Component's Memory – React", "State: A Component's Memory"),
+        (T.page_title, "Tides: How the Moon Pulls – Ocean Notes", "Tides: How the Moon Pulls"),
         (T.url_key, "https://Ex.com/a/?q=1#x", "ex.com/a?q=1"),
         (T.url_key, "no address", "no address"),
         (T.fetchable, "http://10.0.0.1/x", False),
@@ -52,7 +52,7 @@ def one(spark, column):
         (P.be, "Features", "are"),
         (P.be, "Class", "is"),
         (P.singular, "Categories", "category"),
-        (P.softened, "SENSORIMOTOR STAGE", "Sensorimotor Stage"),
+        (P.softened, "LARVAL STAGE", "Larval Stage"),
         (P.softened, "Mixed CASE", "Mixed CASE"),
         (P.language_name, "CPP", "C++"),
         (P.heading_question, "2. Attachment:", "What characterizes Attachment?"),
