@@ -139,3 +139,8 @@ HOST_LIKE = r"(?i)^[a-z0-9-]+(\.[a-z0-9-]+)*\.[a-z]{2,}(:\d+)?([/?#]|$)"
 # An age or a duration. Cards of a section, words of a sentence that answers, characters of a section and of a payload, deepest heading that divides.
 DURATION = r"(?i)\b(mo|yr|months?|years?|weeks?|days?)\b"
 SECTION_CARDS, PROSE_WORDS, SECTION_CHARS, PAYLOAD_CHARS, SPLIT_LEVEL = 30, 45, 1200, 100_000, 4
+# An infographic's parts: characters of each; items by level of detail, pairs of the core concept, comparisons at most.
+INFOGRAPHIC_CHARS = {
+    "title": 80, "lede": 240, "keyTakeaway": 240, "label": 80, "detail": 240, "meta": 40, "name": 80, "value": 240, "concept": 60, "meaning": 160,
+}
+INFOGRAPHIC_ITEMS, CORE_PAIRS, COMPARISONS = {"basic": 6, "standard": 9, "detailed": 12}, 4, 6

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions import fixed as X
+from quern.functions import text as T
 from quern.operators.duplicates import kept_options
 
 #: Possessive, so that Java's engine neither backtracks nor nests.
@@ -119,3 +120,32 @@ def pages_read(replies: DataFrame, pages: DataFrame) -> DataFrame:
     blocks = blocks.where("kind in ('heading', 'paragraph', 'list') and text <> ''")
     titles = entry.where("title is not null").select("reply_id", "page", F.col("place").alias("entry"), F.lit(0).cast("long").alias("place"), F.lit("heading").alias("kind"), F.lit(1).alias("level"), F.col("title").alias("text"), "title")
     return titles.unionByName(blocks).select("reply_id", "page", "entry", "place", "kind", "level", "text", F.when(F.col("kind") != "heading", F.col("title")).alias("context"))
+
+
+def extraction(replies: DataFrame, detail: str = "standard") -> DataFrame:
+    """``reply_id, title, lede, core_concept, items, comparisons, key_takeaway`` of replies that are an object with an item at least.
+
+    Every text is cut to its length between words; items need a label and a detail, comparisons a name and a value, and only so many of each are
+    kept. A title that is missing is the deck's, ``replies(reply_id, text, deck)``. Pairs of the core concept come in order of their keys.
+    """
+    n = X.INFOGRAPHIC_CHARS
+    o = F.col("o")
+    whole = replies.select("reply_id", "deck", F.try_parse_json(F.regexp_extract(fence_stripped(F.col("text")), r"(?s)\{.*\}", 0)).alias("o")).where("o is not null")
+    clamp = lambda v, name, most: F.when(is_string(v, f"$.{name}"), T.clamped(F.try_variant_get(v, f"$.{name}", "string"), most))
+
+    def parts(name: str, fields: tuple[str, ...], need: tuple[str, ...], most: int) -> Column:
+        made = F.transform(F.try_variant_get(o, f"$.{name}", "array<variant>"), lambda v: F.struct(*(clamp(v, f, n[f]).alias(f) for f in fields)))
+        return F.slice(F.filter(made, lambda x: F.forall(F.array(*(x[f].isNotNull() for f in need)), lambda b: b)), 1, most)
+
+    pairs = F.transform(F.map_entries(F.try_variant_get(o, "$.coreConcept", "map<string,variant>")), lambda e: F.struct(T.clamped(e["key"], n["concept"]).alias("key"), F.when(F.schema_of_variant(e["value"]) == "STRING", T.clamped(F.try_variant_get(e["value"], "$", "string"), n["meaning"])).alias("value")))
+    core = F.slice(F.array_sort(F.filter(pairs, lambda e: e["key"].isNotNull() & e["value"].isNotNull())), 1, X.CORE_PAIRS)
+    found = whole.select(
+        "reply_id",
+        F.coalesce(clamp(o, "title", n["title"]), F.col("deck")).alias("title"),
+        F.coalesce(clamp(o, "lede", n["lede"]), F.lit("")).alias("lede"),
+        core.alias("core_concept"),
+        parts("items", ("label", "detail", "meta"), ("label", "detail"), X.INFOGRAPHIC_ITEMS[detail]).alias("items"),
+        parts("comparisons", ("name", "value"), ("name", "value"), X.COMPARISONS).alias("comparisons"),
+        F.coalesce(clamp(o, "keyTakeaway", n["keyTakeaway"]), F.lit("")).alias("key_takeaway"),
+    )
+    return found.where(F.size("items") > 0)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
@@ -97,3 +97,33 @@ def relearned(states: DataFrame, answers: DataFrame, now: Column) -> DataFrame:
     """States after a test, ``answers(card_id, correct)``: each card missed is graded ``again`` once, right answers change nothing."""
     missed = answers.where(~F.col("correct")).select("card_id").distinct().withColumn("grade", F.lit("again"))
     return reviewed(states, missed, now)
+
+
+def saved_together(tables: dict[str, DataFrame], root: str) -> str:
+    """Write tables as one new version below ``root``, which a reader sees whole or not at all; the version's name.
+
+    All tables are written into the version's folder first. Then its mark is renamed into place, in one step of the file system, so a
+    writer that stops before leaves nothing that `read_together` finds.
+    """
+    import uuid
+
+    spark = next(iter(tables.values())).sparkSession
+    version = uuid.uuid4().hex
+    for name, df in tables.items():
+        df.write.parquet(f"{root}/data/{version}/{name}")
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(path(f"{root}/marks"))
+    at = max([int(s.getPath().getName().split("-")[0]) for s in fs.listStatus(path(f"{root}/marks"))], default=-1) + 1
+    fs.create(path(f"{root}/data/{version}/mark")).close()
+    if not fs.rename(path(f"{root}/data/{version}/mark"), path(f"{root}/marks/{at:08d}-{version}")):
+        raise RuntimeError("the version could not be marked")
+    return version
+
+
+def read_together(spark: SparkSession, root: str, names: list[str]) -> dict[str, DataFrame]:
+    """The tables of the last version that was saved whole."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    last = max(s.getPath().getName() for s in fs.listStatus(path(f"{root}/marks"))).split("-")[1]
+    return {name: spark.read.parquet(f"{root}/data/{last}/{name}") for name in names}

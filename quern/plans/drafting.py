@@ -430,3 +430,39 @@ def jsn_01(spark, sf):
     fenced = F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("```json "), "p_name", F.lit(" ```  "))).otherwise(F.col("p_name"))
     rows = REPLIES.frame(spark).select("reply_id", F.replace("text", F.lit("\n"), F.lit(" ")).alias("text")).union(table(spark, sf, "part").select("p_partkey", fenced))
     return rows.select("reply_id", F.md5(J.fence_stripped(F.col("text"))).alias("text"))
+
+
+_LONG = "A sentence with many words that goes on and on so that it must be cut somewhere before it ends, between two of its words and not inside one of them"
+EXTRACTIONS = Fixture("reply_id long, deck string, text string", [
+    (-1, "Deck", '```json\n{"title": " ' + _LONG + '", "lede": "Short.", "coreConcept": {"b": "two", "a": "one", "c": 3, "d": " ", "e": "five", "f": "six", "g": "seven"}, "items": [{"label": "L", "detail": "' + _LONG + " " + _LONG + '", "meta": 5}, {"label": "", "detail": "x"}, {"detail": "y"}, {"label": "M", "detail": "d", "meta": "' + _LONG + '"}], "comparisons": [{"name": "n", "value": "v"}, {"name": "n"}, 7], "keyTakeaway": null}\n``` done'),
+    (-2, "Other", 'So: {"items": [{"label": "' + "x" * 120 + '", "detail": "d"}]}'), (-3, "None", '{"title": "T", "items": []}'), (-4, "Cut", '{"items": [{"label": "a", "detail": "b"}'), (-5, "No", "nothing"),
+    (-6, "Many", '{"items": [' + ", ".join(f'{{"label": "l{i}", "detail": "d{i}"}}' for i in range(12)) + '], "comparisons": [' + ", ".join(f'{{"name": "n{i}", "value": "v{i}"}}' for i in range(9)) + "]}"),
+])
+
+
+def _clamp(x: str, most: int) -> str:
+    t, c = f"trim({x}, ' ')", f"left(trim({x}, ' '), {most})"
+    last = f"(case when contains({c}, ' ') then length({c}) - strpos(reverse({c}), ' ') else -1 end)"
+    return f"(case when {t} = '' then null when length({t}) <= {most} then {t} else rtrim(case when {last} > {most * 0.6} then left({c}, {last}::bigint) else {c} end, ' ') || '…' end)"
+
+
+def _text_of(o: str, name: str, key: str | None = None) -> str:
+    return f"(case when json_type({o}, '$.{name}') = 'VARCHAR' then {_clamp(f'json_extract_string({o}, {D.q(chr(36) + chr(46) + name)})', X.INFOGRAPHIC_CHARS[key or name])} end)"
+
+
+def _parts(name: str, fields: tuple[str, ...], most: int) -> str:
+    made = ", ".join(f"'{f}': {_text_of('v', f)}" for f in fields)
+    kept = f"list_filter(list_transform(json_extract(o, '$.{name}[*]'), lambda v: {{{made}}}), lambda x: x.{fields[0]} is not null and x.{fields[1]} is not null)[1:{most}]"
+    return f"array_to_string(list_transform({kept}, lambda x: {' || chr(124) || '.join(f'coalesce(x.{f}, {D.q(chr(45))})' for f in fields)}), ';')"
+
+
+@query("jsn_08_extraction", f"""with r as (select reply_id, deck, regexp_extract(text, '(?s)\\{{.*\\}}') as o from {EXTRACTIONS.sql} union all select p_partkey, p_name, to_json({{'title': repeat(p_type || ' ', p_size), 'items': [{{'label': p_brand, 'detail': repeat(p_name || ' ', p_size)}}]}})::varchar from part), j as (select * from r where json_valid(o)),
+f as (select reply_id, coalesce({_text_of('o', 'title')}, deck) as title, coalesce({_text_of('o', 'lede')}, '') as lede, {_parts('items', ('label', 'detail', 'meta'), 9)} as items, {_parts('comparisons', ('name', 'value'), 6)} as comparisons, coalesce({_text_of('o', 'keyTakeaway')}, '') as key_takeaway,
+ array_to_string(list_sort(list_filter(list_transform(coalesce(json_keys(o, '$.coreConcept'), []), lambda k: case when json_type(o, '$.coreConcept.' || k) = 'VARCHAR' and trim(json_extract_string(o, '$.coreConcept.' || k), ' ') <> '' then k || '|' || trim(json_extract_string(o, '$.coreConcept.' || k), ' ') end), lambda x: x is not null))[1:4], ';') as core_concept from j)
+select reply_id, title, lede, items, coalesce(comparisons, '') as comparisons, key_takeaway, core_concept from f where items <> ''""")
+def jsn_08_extraction(spark, sf):
+    made = F.to_json(F.struct(F.repeat(F.concat("p_type", F.lit(" ")), F.col("p_size")).alias("title"), F.array(F.struct(F.col("p_brand").alias("label"), F.repeat(F.concat("p_name", F.lit(" ")), F.col("p_size")).alias("detail"))).alias("items")))
+    replies = EXTRACTIONS.frame(spark).select("reply_id", "deck", "text").union(table(spark, sf, "part").select("p_partkey", "p_name", made))
+    joined = lambda c, fields: F.coalesce(F.array_join(F.transform(c, lambda x: F.concat_ws("|", *(F.coalesce(x[f], F.lit("-")) for f in fields))), ";"), F.lit(""))
+    got = J.extraction(replies)
+    return got.select("reply_id", "title", "lede", joined("items", ("label", "detail", "meta")).alias("items"), joined("comparisons", ("name", "value")).alias("comparisons"), "key_takeaway", joined("core_concept", ("key", "value")).alias("core_concept"))

@@ -16,7 +16,7 @@ from quern.operators import schedule as S
 from quern.operators import selection as E
 from quern.plans import duck as D
 from quern.plans.queries import query
-from quern.runtime import table
+from quern.runtime import table, work_path
 from quern.sources import adapters as A
 from quern.sources.fixtures import Fixture, literal
 
@@ -337,3 +337,13 @@ def sel_05(spark, sf):
 @query("srs_03_due", f"with {D.STUDY} select card_id, {D.DUE} as due from study where due_ms is not null")
 def srs_03(spark, sf):
     return A.study_cards(spark, sf).where("due_ms is not null").select("card_id", S.is_due(F.col("due_ms"), F.lit(A.NOW_MS).cast("long")).alias("due"))
+
+
+@query("snk_01_saved_together", "select 'cards' as name, o_orderkey as id from orders where o_orderkey % 3 = 0 union all select 'decks', c_custkey from customer where c_custkey % 2 = 0")
+def snk_01(spark, sf):
+    root = work_path(spark, "decks")
+    decks, cards = table(spark, sf, "customer").select(F.col("c_custkey").alias("id")), table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"))
+    C.saved_together({"decks": decks.limit(0), "cards": cards.limit(0)}, root)
+    C.saved_together({"decks": decks.where("id % 2 = 0"), "cards": cards.where("id % 3 = 0")}, root)
+    found = C.read_together(spark, root, ["decks", "cards"])
+    return reduce(DataFrame.union, (df.select(F.lit(name).alias("name"), "id") for name, df in found.items()))
