@@ -20,7 +20,7 @@ with one row is its own next document. An empty table gives no rows. Other colum
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +36,7 @@ THRESHOLD = 0.8
 #: Rows of a band: at a likeness of 0.8, 25 bands of 5 miss one pair in twenty thousand.
 BAND_ROWS = 5
 #: Rounds against one text of each band before all pairs that are left, and how many of those for each text end the rounds early.
-ROUNDS, PAIRS_PER_TEXT = 4, 4
+ROUNDS, PAIRS_PER_TEXT = 2, 4
 _SEED = 20240607
 _BASE = 0x9E3779B97F4A7C15
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -213,14 +213,33 @@ def _verified(pairs: DataFrame, rows: DataFrame, classes: DataFrame, threshold:
     return found
 
 
+def _shares(asked: DataFrame, rows: DataFrame, kept: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """``node, size, common`` of the texts ``asked(node, key)``: how many different shingles each has, and how many of them another of these texts has too."""
+    from xxhash import xxh64_intdigest
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.array([xxh64_intdigest(s) for s in shingle_set(t)], np.uint64).view(np.int64) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["node", "shingles"])
+
+    texts = rows.select("key", "text").join(asked, "key").groupBy("node").agg(F.first("text").alias("text"))
+    shingles = kept(texts.mapInArrow(run, "node long, shingles array<long>"), "shingles")
+    # A shingle of one text only has one row; texts of equal hashes only seem to share more.
+    own = shingles.select("node", F.explode("shingles").alias("h")).groupBy("h").agg(F.count("*").alias("n"), F.min("node").alias("node")).where("n = 1")
+    own = own.groupBy("node").agg(F.count("*").alias("own"))
+    return shingles.join(own, "node", "left").select("node", F.size("shingles").alias("size"), (F.size("shingles") - F.coalesce("own", F.lit(0))).alias("common"))
+
+
 def _text_groups(rows: DataFrame, threshold: float, among: DataFrame | None = None) -> tuple[DataFrame, list[DataFrame]]:
     """``key, rep, component`` of each different text of ``rows(doc_id, key, text)``, or of those with a key in ``among``; ``rep`` is its smallest id.
 
     Under a band that several texts share, all are first compared with one of them: the one that shares most bands with most
     texts, which is the text that near copies were made from if it is there. Rounds against drawn ones follow. Texts that are linked by then need no comparison; of those in different
-    components each pair is compared in the end, under the first band that it shares. So a group of near copies makes about as many
-    pairs as it has texts. Texts that share a band and are alike only below the threshold are
-    compared pair by pair, which grows with the square of their number: nothing is left out.
+    components each pair that can be alike is compared in the end, under the first band that it shares. What two texts have in common is no more than either
+    shares with any other text, so shingles that no other text in question has rule pairs out, exactly: a copy with many edits has
+    many such shingles, and is paired with none. So a group of near copies makes about as many
+    pairs as it has texts. What is left are texts that share a band and nearly all shingles with some texts, and are still unlike each other: they are
+    compared pair by pair, and nothing is left out.
 
     The second result lists working tables, to be deleted once the first is written.
     """
@@ -242,6 +261,10 @@ def _text_groups(rows: DataFrame, threshold: float, among: DataFrame | None = No
     grouped = kept(met.select("node", "value").join(often, "node").select("value", "node", "often"), "grouped_bands")
     n_nodes = classes.count()
 
+    def can(na: str, oa: str, nb: str, ob: str) -> Column:
+        """Whether two texts with so many shingles, of which others have so many, can be alike enough."""
+        return F.least(oa, ob) * (1 + threshold) >= (F.col(na) + F.col(nb)) * threshold - 1e-6
+
     def kept_pairs(df: DataFrame) -> DataFrame:
         made.append(df)
         return df
@@ -249,26 +272,34 @@ def _text_groups(rows: DataFrame, threshold: float, among: DataFrame | None = No
     tested = links = label = None
     for turn in range(ROUNDS + 1):
         if turn == 0:
-            open_, choice = grouped.withColumn("component", F.col("node")), F.struct(-F.col("often"), F.col("node"))
+            open_, choice = grouped.withColumns({"component": F.col("node"), "size": F.lit(0), "common": F.lit(0)}), F.struct(-F.col("often"), F.col("node"))
         else:
-            joined = grouped.join(label.withColumnRenamed("label", "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-            sizes = joined.groupBy("value", "component").agg(F.count("*").alias("n"))
-            sizes = sizes.groupBy("value").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same")).where("n * n > same and n > 2")
-            sizes = kept(sizes, "open_bands")
-            left = sizes.agg(F.sum((F.col("n") * F.col("n") - F.col("same")) / 2)).first()[0] or 0
+            # The first time, to find the texts in question; then those of them that can have a partner.
+            for found_common in (False, True) if turn == 1 else (True,):
+                joined = grouped.join(label.withColumnRenamed("label", "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+                sizes = joined.groupBy("value", "component").agg(F.count("*").alias("n"))
+                sizes = sizes.groupBy("value").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same")).where("n * n > same and n > 2")
+                sizes = kept(sizes, "open_bands")
+                left = sizes.agg(F.sum((F.col("n") * F.col("n") - F.col("same")) / 2)).first()[0] or 0
+                if not left:
+                    break
+                if not found_common:
+                    asked = joined.join(sizes.select("value"), "value", "left_semi").select("node").distinct()
+                    shares = kept(_shares(asked.join(classes.select("node", "key"), "node"), rows, kept), "shares")
+                    grouped = kept(grouped.join(shares.where(F.col("common") >= F.col("size") * threshold - 1e-6), "node"), "grouped_bands")
             if not left:
                 break
             open_, choice = joined.join(sizes.select("value"), "value"), F.xxhash64("node", "value", F.lit(turn))
             if left <= PAIRS_PER_TEXT * n_nodes or turn == ROUNDS:
-                open_ = open_.select("value", "node", "component").join(classes.select("node", "bands"), "node").select("value", "node", "component", "bands")
-                x, y = open_.toDF("value", "a", "ca", "xs"), open_.toDF("value", "b", "cb", "ys")
+                open_ = open_.select("value", "node", "component", "size", "common").join(classes.select("node", "bands"), "node").select("value", "node", "component", "size", "common", "bands")
+                x, y = open_.toDF("value", "a", "ca", "na", "oa", "xs"), open_.toDF("value", "b", "cb", "nb", "ob", "ys")
                 once = F.element_at(F.array_intersect("xs", "ys"), 1) == F.col("value")
-                pairs = x.join(y, "value").where(F.expr("a < b and ca <> cb") & once).select("a", "b").join(tested, ["a", "b"], "left_anti")
+                pairs = x.join(y, "value").where(F.expr("a < b and ca <> cb") & can("na", "oa", "nb", "ob") & once).select("a", "b").join(tested, ["a", "b"], "left_anti")
                 links = links.union(kept_pairs(_verified(kept(pairs, "pairs"), rows, classes, threshold)))
                 label = components(links).toDF("node", "label")
                 break
-        star = open_.groupBy("value").agg(F.min_by(F.struct("node", "component"), choice).alias("first"))
-        pairs = open_.join(star, "value").where("node <> first.node" if turn == 0 else "component <> first.component")
+        star = open_.groupBy("value").agg(F.min_by(F.struct("node", "component", "size", "common"), choice).alias("first"))
+        pairs = open_.join(star, "value").where("node <> first.node" if turn == 0 else "component <> first.component").where(can("size", "common", "first.size", "first.common"))
         pairs = pairs.select(F.least("first.node", "node").alias("a"), F.greatest("first.node", "node").alias("b")).distinct()
         pairs = kept(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         tested = pairs if tested is None else tested.union(pairs)

@@ -102,3 +102,33 @@ def test_long_texts_leave_no_tables_behind():
     long = "word " * 120_000
     assert (hasher.signature(long) == M.Hasher().signature(long[: len(long) // 2])).all()
     assert len(hasher.up) <= hasher.KEPT + 1
+
+
+def test_groups_of_many_near_copies_by_brute_force(spark):
+    """Copies with few and many edits: which are linked is what all pairs say, and few pairs are looked at."""
+    rng = random.Random(11)
+    texts = []
+    for base in range(3):
+        words = [f"b{base}w{rng.randrange(4000)}" for _ in range(120)]
+        for k in range(90):
+            own = list(words)
+            for at in rng.sample(range(120), rng.choice([0, 1, 1, 2, 2, 3, 4, 6, 9, 14])):
+                own[at] = f"e{rng.randrange(10**6)}"
+            texts.append(" ".join(own))
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in M.near_duplicates(docs).collect()}
+    sets, name = [M.shingle_set(t) for t in texts], list(range(len(texts)))
+
+    def root(i):
+        while name[i] != i:
+            i = name[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = sorted((root(i), root(j)))
+                name[b] = a
+    want = {i: root(i) for i in range(len(texts))}
+    assert len(set(want.values())) > 20
+    assert sum(got[i] == want[i] for i in want) >= 0.99 * len(want)
