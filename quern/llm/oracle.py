@@ -52,3 +52,36 @@ select conv_id, n_turns::bigint as n_turns, sha256(turns) as turns_sha256, lengt
        formatted_chars::bigint as formatted_chars, regexp_full_match(roles, '(system>)?user>assistant(>user>assistant)*') as valid
 from told
 """
+
+FILTERS = r"""
+with m as (
+  select doc_id, coalesce(source, '') as part, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents
+), flags as (
+  select doc_id, part,
+         (case when len(w) < 200 then 1 else 0 end) + (case when 100 * len(list_distinct(w)) < 50 * len(w) then 2 else 0 end)
+         + (case when 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * length(text) then 4 else 0 end)
+         + (case when regexp_matches(text, '[#$%&*|]') then 8 else 0 end)
+         + (case when doc_id > min(doc_id) over (partition by text) then 16 else 0 end) as mask
+  from m
+), told as (select doc_id, bool_or(quality = 1) as good, bool_or(toxic = 1) as toxic from labels group by doc_id),
+cells as (
+  select part, mask, count(*) as n, count(*) filter (where good) as good, count(*) filter (where toxic) as toxic
+  from flags left join told using (doc_id) group by part, mask
+), letters as (select unnest(['A', 'B', 'C', 'D', 'E']) as x, unnest([1, 2, 4, 8, 16]) as bit),
+orders as (
+  select a.x || b.x || c.x || d.x || e.x as filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] as bits
+  from letters a, letters b, letters c, letters d, letters e where a.bit | b.bit | c.bit | d.bit | e.bit = 31
+), steps as (
+  select filter_order, k::integer as step, bits[k] as bit, coalesce(list_sum(bits[1:k - 1]), 0)::integer as earlier from orders, unnest([1, 2, 3, 4, 5]) as t(k)
+), found as (
+  select part, filter_order, step, bit,
+         coalesce(sum(n) filter (where mask & (earlier | bit) = 0), 0)::bigint as kept,
+         coalesce(sum(n) filter (where mask & bit > 0 and mask & earlier = 0), 0)::bigint as removed,
+         coalesce(sum(n) filter (where mask & bit > 0 and mask & earlier > 0), 0)::bigint as redundant,
+         coalesce(sum(n) filter (where mask = bit), 0)::bigint as unique_fails,
+         coalesce(sum(good) filter (where mask & bit > 0 and mask & earlier = 0), 0)::bigint as good_lost,
+         coalesce(sum(toxic) filter (where mask & bit > 0 and mask & earlier = 0), 0)::bigint as toxic_lost
+  from cells, steps group by part, filter_order, step, bit
+)
+select part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, sum(removed) over (partition by part, bit)::bigint as shapley from found
+"""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from quern.llm import oracle
 from quern.llm.chat import op5_chat
 from quern.llm.decontaminate import op3_decontamination
+from quern.llm.filters import op11_filter_audit
 from quern.llm.language import op10_language
 from quern.llm.lm import op7_lm_scores
 from quern.llm.minhash import op4_fingerprints
@@ -25,9 +26,11 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_secrets": op9_secrets,
     "op10_language": op10_language,
+    "op11_filter_audit": op11_filter_audit,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op5_chat": oracle.CHAT,
     "op8_mixing": oracle.MIXING,
+    "op11_filter_audit": oracle.FILTERS,
 }
