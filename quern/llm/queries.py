@@ -10,6 +10,7 @@ from quern.llm.language import op10_language
 from quern.llm.lm import op7_lm_scores
 from quern.llm.minhash import op4_fingerprints
 from quern.llm.mixing import op8_mixing
+from quern.llm.periodic import op12_periodic_runs
 from quern.llm.repeats import op6_repeats
 from quern.llm.secrets import op9_secrets
 from quern.llm.simhash import op2_simhash
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_secrets": op9_secrets,
     "op10_language": op10_language,
     "op11_filter_audit": op11_filter_audit,
+    "op12_periodic_runs": op12_periodic_runs,
 }
 
 ORACLE_SQL: dict[str, str] = {
