@@ -1,5 +1,7 @@
 """DuckDB SQL for the queries of this subpackage that SQL can express."""
 
+from quern.llm import licenses
+
 MIXING = r"""
 with docs as (
   select d.doc_id, d.source, len(regexp_extract_all(coalesce(d.text, ''), '[^\x20\x09-\x0D]+'))::bigint as size,
@@ -85,3 +87,40 @@ orders as (
 )
 select part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, sum(removed) over (partition by part, bit)::bigint as shapley from found
 """
+
+_TEMPLATES = ", ".join(f"({i}, '{label}', {str(i < len(licenses.BASE)).lower()}, '{text}')" for i, (label, text) in enumerate([*licenses.BASE, *licenses.NOTICES]))
+LICENSES = (
+    r"""
+with docs as (
+  select row_number() over () as rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents
+), named as (select tid, label, is_base, string_split(t, ' ') as w from (values """
+    + _TEMPLATES
+    + f""") as v(tid, label, is_base, t)),
+grams as (
+  select tid, label, is_base, len(w) as size, least(len(w), 3) as k, i as t_at, array_to_string(w[i + 1:i + least(len(w), 3)], ' ') as gram
+  from (select *, unnest(range(len(w) - least(len(w), 3) + 1)) as i from named)
+), worded as (
+  select rid, place, w0, lead(w0, 1) over o as w1, lead(w0, 2) over o as w2
+  from (select rid, unnest(range(len(w))) as place, unnest(w) as w0 from docs) window o as (partition by rid order by place)
+), places as (
+  select rid, place, 2 as k, w0 || ' ' || w1 as gram from worded where w1 is not null union all select rid, place, 3, w0 || ' ' || w1 || ' ' || w2 from worded where w2 is not null
+), lines as (
+  select rid, tid, label, is_base, size, g.k, place - t_at as diagonal, list(t_at) as hits, min(place) as start, max(place) + g.k as stop
+  from places p join grams g on p.gram = g.gram and p.k = g.k group by rid, tid, label, is_base, size, g.k, diagonal
+), marked as (
+  select *, case when is_base or coalesce(diagonal - lag(diagonal) over (partition by rid, tid order by diagonal), 1000) > {licenses.SLACK} then 1 else 0 end as fresh from lines
+), nth as (select *, sum(fresh) over (partition by rid, tid order by diagonal) as nth from marked),
+spans as (
+  select rid, label, is_base, min(start) as start,
+         len(list_distinct(flatten(list_transform(flatten(list(hits)), lambda t: range(t, t + k))))) / size::double as cover, max(stop) - min(start) as long, size
+  from nth group by rid, tid, label, is_base, size, k, nth
+), good as (select * from spans where is_base or (cover >= {licenses.COVER} and long <= {licenses.STRETCH} * size)),
+told as (
+  select rid, count(*) filter (where is_base) as n_base, min(start) filter (where is_base) as first_word, max(start) filter (where is_base) as last_word,
+         string_agg(distinct label, ',' order by label) filter (where is_base) as base_labels, string_agg(distinct label, ',' order by label) as labels, max(cover) as score
+  from good group by rid
+)
+select doc_id, len(w)::bigint as n_words, coalesce(n_base, 0)::bigint as n_base, first_word, last_word, coalesce(base_labels, '') as base_labels, coalesce(labels, '') as labels, coalesce(score, 0.0)::double as score
+from docs left join told using (rid)
+"""
+)

@@ -7,6 +7,7 @@ from quern.llm.chat import op5_chat
 from quern.llm.decontaminate import op3_decontamination
 from quern.llm.filters import op11_filter_audit
 from quern.llm.language import op10_language
+from quern.llm.licenses import op13_licenses
 from quern.llm.lm import op7_lm_scores
 from quern.llm.minhash import op4_fingerprints
 from quern.llm.mixing import op8_mixing
@@ -29,10 +30,12 @@ QUERIES = {
     "op10_language": op10_language,
     "op11_filter_audit": op11_filter_audit,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_licenses": op13_licenses,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op5_chat": oracle.CHAT,
     "op8_mixing": oracle.MIXING,
     "op11_filter_audit": oracle.FILTERS,
+    "op13_licenses": oracle.LICENSES,
 }
