@@ -79,9 +79,10 @@ def prefixed_ok(m: re.Match) -> bool:
 
 
 def jwt_ok(m: re.Match) -> bool:
-    """The header is JSON with an algorithm."""
+    """The header is a JSON object with an algorithm."""
     try:
-        return "alg" in json.loads(base64.urlsafe_b64decode(m[1] + "=" * (-len(m[1]) % 4)))
+        header = json.loads(base64.urlsafe_b64decode(m[1] + "=" * (-len(m[1]) % 4)))
+        return isinstance(header, dict) and "alg" in header
     except (ValueError, TypeError, RecursionError):
         return False
 
@@ -176,7 +177,7 @@ class Scanner:
         shape = raw.translate(_DIGIT_RUN)
         if shape.count(b"0") >= 13:
             hits["card"] = [m.start() for m in re.finditer(rb"(?<!0)(?=0(?:-?0){12})", shape)]
-            hits["account"] = [m.start() for m in re.finditer(rb"[A-Z]{2}[0-9]{2}", raw)]
+        hits["account"] = [m.start() for m in re.finditer(rb"[A-Z]{2}[0-9]{2}", raw)]
         found = []
         for kind, at in hits.items():
             if at:

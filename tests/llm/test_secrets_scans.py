@@ -29,7 +29,7 @@ def pieces(rng):
     header = base64.urlsafe_b64encode(b'{"alg":"HS256"}').decode().rstrip("=")
     return [
         token, token[:-1] + "!", f"{header}.e30.x_-", header, header + ".", "eyJ", f"{header}.{header}.{header}.q", "4111111111111111", "4111 1111 1111 1111", "4111111111111112", "12345678 ",
-        "GB82WEST12345698765432", "GB82 WEST 1234 5698 7654 32", "GB83WEST12345698765432", "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----", "-----BEGIN PRIVATE KEY-----", "-----END PRIVATE KEY-----",
+        "GB82WEST12345698765432", "DE89ABCDEFGHIJKLMNOP", "GB82 WEST 1234 5698 7654 32", "GB83WEST12345698765432", "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----", "-----BEGIN PRIVATE KEY-----", "-----END PRIVATE KEY-----",
         "AAAA+/=\n", "é", " ", "\n", ".", "_", "word", "7", "{", "-----",
     ]
 
@@ -69,3 +69,12 @@ def test_long_hostile_texts_take_linear_time(text):
 def test_deeply_nested_header_is_no_token():
     deep = base64.urlsafe_b64encode(b'{"alg":' + b"[" * 200_000).decode().rstrip("=")
     assert [s for s in S.Scanner().spans(f"{deep}.e30.x") if s[0] == "jwt"] == []
+
+
+def test_account_of_letters_alone():
+    assert S.Scanner().spans("pay DE89ABCDEFGHIJKLMNOP now") == [("account", 4, 24)]
+
+
+def test_header_that_is_a_string_is_no_token():
+    told = base64.urlsafe_b64encode(b'"alg and more text"').decode().rstrip("=")
+    assert not S.jwt_ok(re.match(r"(.+)", told))
