@@ -258,7 +258,7 @@ def _text_groups(rows: DataFrame, threshold: float, among: DataFrame | None = No
     shared = bands.groupBy("value").agg(F.count("*").alias("n")).where("n > 1")
     met = kept(bands.join(shared, "value"), "shared_bands")
     often = met.groupBy("node").agg(F.sum("n").alias("often"))
-    grouped = kept(met.select("node", "value").join(often, "node").select("value", "node", "often"), "grouped_bands")
+    grouped = kept(met.select("node", "value", F.col("n").alias("was")).join(often, "node").select("value", "node", "often", "was"), "grouped_bands")
     n_nodes = classes.count()
 
     def can(na: str, oa: str, nb: str, ob: str) -> Column:
@@ -277,8 +277,10 @@ def _text_groups(rows: DataFrame, threshold: float, among: DataFrame | None = No
             # The first time, to find the texts in question; then those of them that can have a partner.
             for found_common in (False, True) if turn == 1 else (True,):
                 joined = grouped.join(label.withColumnRenamed("label", "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-                sizes = joined.groupBy("value", "component").agg(F.count("*").alias("n"))
-                sizes = sizes.groupBy("value").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same")).where("n * n > same and n > 2")
+                sizes = joined.groupBy("value", "component").agg(F.count("*").alias("n"), F.max("was").alias("was"))
+                sizes = sizes.groupBy("value").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"), F.max("was").alias("was"))
+                # Bands of two texts are done with; one of more that has two left may not be: its first text may be gone.
+                sizes = sizes.where("n * n > same and was > 2").drop("was")
                 sizes = kept(sizes, "open_bands")
                 left = sizes.agg(F.sum((F.col("n") * F.col("n") - F.col("same")) / 2)).first()[0] or 0
                 if not left:

@@ -132,3 +132,53 @@ def test_groups_of_many_near_copies_by_brute_force(spark):
     want = {i: root(i) for i in range(len(texts))}
     assert len(set(want.values())) > 20
     assert sum(got[i] == want[i] for i in want) >= 0.99 * len(want)
+
+
+def _linked(texts):
+    """Component names by all pairs: the smallest index that links of the threshold reach."""
+    sets, name = [M.shingle_set(t) for t in texts], list(range(len(texts)))
+
+    def root(i):
+        while name[i] != i:
+            i = name[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = sorted((root(i), root(j)))
+                name[b] = a
+    return [root(i) for i in range(len(texts))]
+
+
+def _found(spark, texts):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in M.near_duplicates(docs).collect()}
+    return [got[i] for i in range(len(texts))]
+
+
+def _hub(rng, hubs, copies, size):
+    """Two near copies of a passage beside longer texts that hold it, each of which has near copies of its own."""
+    say = lambda n: [f"h{rng.randrange(10**6)}" for _ in range(n)]
+    passage = say(size)
+    texts = [passage + say(size // 36 + 1) for _ in range(2)]
+    for _ in range(hubs):
+        own = say(rng.randint(size // 12, size // 3))
+        for _ in range(copies + 1):
+            told = passage + own
+            told[rng.randrange(size, len(told))] = f"c{rng.randrange(10**6)}"
+            texts.append(told)
+    rng.shuffle(texts)
+    return [" ".join(t) for t in texts]
+
+
+def test_a_passage_alone_beside_texts_that_quote_it(spark):
+    texts = _hub(random.Random(1), 21, 8, 300)
+    assert len(texts) == 191 and _found(spark, texts) == _linked(texts)
+
+
+def test_random_hubs_by_brute_force(spark):
+    for seed in range(3):
+        rng = random.Random(100 + seed)
+        texts = [t for _ in range(3) for t in _hub(rng, rng.randint(2, 12), rng.randint(0, 6), rng.randint(60, 200))]
+        assert _found(spark, texts) == _linked(texts), seed
