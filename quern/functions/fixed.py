@@ -144,3 +144,17 @@ INFOGRAPHIC_CHARS = {
     "title": 80, "lede": 240, "keyTakeaway": 240, "label": 80, "detail": 240, "meta": 40, "name": 80, "value": 240, "concept": 60, "meaning": 160,
 }
 INFOGRAPHIC_ITEMS, CORE_PAIRS, COMPARISONS = {"basic": 6, "standard": 9, "detailed": 12}, 4, 6
+
+# Fixed values of web pages.
+NOISE_ELEMENTS = ("script", "style", "noscript", "nav", "header", "footer", "aside", "form", "svg", "iframe", "canvas", "template", "dialog", "button", "select", "textarea", "input", "video", "audio")
+NOISE_ROLES = ("navigation", "banner", "contentinfo", "complementary", "search", "dialog")
+NOISE_CLASSES = ("sidebar", "toc", "breadcrumb", "breadcrumbs", "cookie-banner", "advertisement")
+#: The article, most specific first: elements as they are, .classes, #ids and [roles].
+CONTENT = ("article", ".mw-parser-output", "[main]", "main", "#content", "#main", "#main-content", ".markdown-body", ".post-content", ".entry-content", ".article-body", ".content")
+CONTENT_CHARS = 400
+INLINE_ELEMENTS = (
+    "a", "abbr", "b", "bdi", "bdo", "br", "cite", "code", "data", "del", "dfn", "em", "i", "img", "ins", "kbd", "mark", "q", "s", "samp", "small", "span", "strong", "sub", "sup", "time", "u", "var", "wbr",
+)
+CALLOUT = r"(?i)^(note|notes|pitfall|caution|warning|tip|hint|deep dive|illustrated by|under the hood|remember|example|examples|try it out)$"
+LINK_SHARE = 0.9
+LOOSE_CHARS = 40
