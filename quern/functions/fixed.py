@@ -158,3 +158,11 @@ INLINE_ELEMENTS = (
 CALLOUT = r"(?i)^(note|notes|pitfall|caution|warning|tip|hint|deep dive|illustrated by|under the hood|remember|example|examples|try it out)$"
 LINK_SHARE = 0.9
 LOOSE_CHARS = 40
+
+# Fixed patterns of Markdown lines.
+ATX_HEADING = r"^ {0,3}(#{1,6})\s+(.*)$"
+LIST_ITEM = r"^(\s*)(?:[-*+]|\d{1,9}[.)])\s+(.*)$"
+THEMATIC_BREAK = r"^ {0,3}(?:-\s*(?:-\s*){2,}|\*\s*(?:\*\s*){2,}|_\s*(?:_\s*){2,})$"
+TABLE_DELIMITER = r"^\s*\|?\s*:?-+:?\s*(?:\|\s*:?-+:?\s*)+\|?\s*$"
+FENCE = r"^ {0,3}(`{3,}|~{3,})\s*(\S*)"
+LANGUAGE_CHARS = 20
