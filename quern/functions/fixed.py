@@ -166,3 +166,10 @@ THEMATIC_BREAK = r"^ {0,3}(?:-\s*(?:-\s*){2,}|\*\s*(?:\*\s*){2,}|_\s*(?:_\s*){2,
 TABLE_DELIMITER = r"^\s*\|?\s*:?-+:?\s*(?:\|\s*:?-+:?\s*)+\|?\s*$"
 FENCE = r"^ {0,3}(`{3,}|~{3,})\s*(\S*)"
 LANGUAGE_CHARS = 20
+
+# Fixed values of page layout: multiples of the font size, points, and the signs of lists.
+SAME_LINE_GAP, BASELINE, BLOCK_BREAK, SENTENCE_BREAK, WRAP, BULLET_WIDTH = 1.6, 0.4, 1.75, 1.4, 1.6, 1.2
+BULLET = r"^[•◦▪‣∙▶►·]\s*$"
+LEADING_BULLET = r"^\s*[•◦▪‣∙▶►·]+\s*"
+HEADER_CHARS, FILLED = 60, 0.85
+INLINE_LABEL = r"^[^.!?]{3,60}:$"
