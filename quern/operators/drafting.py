@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from quern.functions import fixed as X
 from quern.functions import phrasing as P
 from quern.functions import text as T
+from quern.operators.folds import signed
 from quern.operators.duplicates import deduped
 
 BLOCKS = (
@@ -158,29 +159,26 @@ def drafted(blocks: DataFrame, sections: DataFrame) -> DataFrame:
 def attached_outputs(blocks: DataFrame) -> DataFrame:
     """``doc_id, place, kind, text, output``: a block of code behind the label Output becomes the output of the program before the label, if that has none and only paragraphs and headings stand between, three blocks back at most.
 
-    A document's blocks are folded in order inside one expression: which block is taken depends on those taken before.
+    Which block is taken depends on those taken before: a fold carries the last four blocks as letters (p paragraph or heading, c code without an output, x another, - taken) and
+    gives each block its distance to its program, 0 if it has none. Windows put texts where they belong.
     """
-    item = "struct<place:bigint,kind:string,text:string,output:string,gone:boolean>"
-    rows = F.array_sort(F.collect_list(F.struct(F.col("place").cast("long"), "kind", "text", F.col("output").cast("string"), F.lit(False).alias("gone"))))
-
-    def step(done: Column, x: Column) -> Column:
-        n = F.size(done)
-        label = F.element_at(done, -1)
-        is_label = (n > 0) & label["kind"].isin("paragraph", "heading") & label["text"].rlike(X.OUTPUT_LABEL)
-        # From the label backwards: the first code decides, and only paragraphs and headings may stand before it.
-        back = F.transform(F.sequence(F.lit(1), F.lit(X.OUTPUT_LOOKBACK)), lambda k: F.when(n - k >= 1, F.struct((n - k).alias("i"), F.get(done, n - k - 1).alias("b"))))
-        seen = F.filter(F.array_compact(back), lambda y: ~y["b"]["gone"])
-        stop = F.get(F.filter(seen, lambda y: ~y["b"]["kind"].isin("paragraph", "heading")), 0)
-        hit = is_label & (x["kind"] == "code") & (stop["b"]["kind"] == "code") & (F.coalesce(stop["b"]["output"], F.lit("")) == "")
-        changed = F.transform(
-            done,
-            lambda y, i: F.struct(y["place"].alias("place"), y["kind"].alias("kind"), y["text"].alias("text"), F.when(i + 1 == stop["i"], x["text"]).otherwise(y["output"]).alias("output"), (y["gone"] | (i + 1 == n)).alias("gone")),
-        )
-        taken = F.struct(x["place"].alias("place"), x["kind"].alias("kind"), x["text"].alias("text"), x["output"].alias("output"), F.lit(True).alias("gone"))
-        return F.when(F.coalesce(hit, F.lit(False)), F.concat(changed, F.array(taken))).otherwise(F.concat(done, F.array(x))).cast(f"array<{item}>")
-
-    folded = blocks.groupBy("doc_id").agg(F.aggregate(rows.cast(f"array<{item}>"), F.array().cast(f"array<{item}>"), step).alias("b"))
-    return folded.select("doc_id", F.inline("b")).where("not gone").drop("gone")
+
+    def step(s: Column, x: Column) -> dict[str, Column]:
+        known, n = s["known"], F.length(s["known"])
+        between = F.regexp_extract(F.reverse(F.substring(known, F.lit(1), n - 1)), "^([p-]*)c", 1)
+        hit = s["label"] & (x["kind"] == "code") & F.reverse(F.substring(known, F.lit(1), n - 1)).rlike("^[p-]*c")
+        back = F.length(between) + 2
+        told = F.concat(F.substring(known, F.lit(1), n - back), F.lit("x"), F.substring(known, n - back + 2, back - 2), F.lit("--"))
+        own = F.when(x["kind"].isin("paragraph", "heading"), "p").when((x["kind"] == "code") & (F.coalesce(x["output"], F.lit("")) == ""), "c").otherwise("x")
+        new = F.when(hit, told).otherwise(F.concat(known, own))
+        return {"known": F.substring(new, -X.OUTPUT_LOOKBACK - 1, X.OUTPUT_LOOKBACK + 1), "label": x["kind"].isin("paragraph", "heading") & x["text"].rlike(X.OUTPUT_LABEL), "sign": F.when(hit, back.cast("string")).otherwise("0")}
+
+    rows = blocks.select("doc_id", F.col("place").cast("long").alias("place"), "kind", F.coalesce("text", F.lit("")).alias("text"), F.col("output").cast("string").alias("output"))
+    told = signed(rows, ["doc_id"], ["place"], {"known": F.lit(""), "label": F.lit(False)}, step)
+    order = Window.partitionBy("doc_id").orderBy("place")
+    given = F.coalesce(*(F.when(F.lead("sign", k).over(order) == str(k), F.lead("text", k).over(order)) for k in range(2, X.OUTPUT_LOOKBACK + 2)))
+    told = told.withColumn("given", given).withColumn("gone", (F.col("sign") != "0") | F.coalesce(F.lead("sign").over(order) != "0", F.lit(False)))
+    return told.where("not gone").select("doc_id", "place", "kind", "text", F.coalesce("given", "output").alias("output"))
 
 
 def runs(blocks: DataFrame, budget: int = X.SECTION_CHARS, deepest: int = X.SPLIT_LEVEL) -> DataFrame:

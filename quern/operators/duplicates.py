@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import fixed as X
 from quern.functions import text as T
-from quern.runtime import materialise
+from quern.runtime import discard, materialise
 
 
 def candidates(rows: DataFrame, by: str, item: str, words: str, share: float, least: int) -> DataFrame:
@@ -47,31 +47,54 @@ def near_cards(cards: DataFrame) -> DataFrame:
     return both.where(~T.conflicting(c("a_bn"), c("b_bn")) & ~T.conflicting(c("a_fn"), c("b_fn")) & ~carries & enough & alike).select("deck_id", "a", "b")
 
 
-def greedy(nodes: DataFrame, edges: DataFrame, by: str, max_rounds: int = 1000) -> DataFrame:
+def greedy(nodes: DataFrame, edges: DataFrame, by: str, rounds: int = 4) -> DataFrame:
     """Nodes that a walk in order keeps, which takes each node that has no edge to, and no ``key`` of, one taken before it.
 
-    ``nodes(by, item, place, key)``, ``edges(by, a, b)``. In each round all nodes are taken that no undecided node stands
-    before, and their neighbours go; a round is written to the shared folder. Rounds are as many as the longest chain
-    of neighbours in ascending order. A null ``key`` is shared with no other.
+    ``nodes(by, item, place, key)``, ``edges(by, a, b)``. Nodes without an edge whose key no other has are kept at once. Of the others each round takes all
+    that no undecided node stands before, and their neighbours go; a round is written to the shared folder. What is left after the rounds are long chains of neighbours in ascending order:
+    each group's are walked in one expression. A null ``key`` is shared with no other.
     """
+    nodes = nodes.select(by, "item", "place", "key")
     at = nodes.select(by, F.col("item").alias("a"), F.col("place").alias("pa"))
     to = nodes.select(by, F.col("item").alias("b"), F.col("place").alias("pb"))
     both = edges.select(by, "a", "b").union(edges.select(by, F.col("b").alias("a"), F.col("a").alias("b")))
-    before = materialise(both.join(at, [by, "a"]).join(to, [by, "b"]).where("pa < pb").select(by, "a", "b"), "edges")
-    open_, kept = materialise(nodes.select(by, "item", "place", "key"), "open"), None
-    for _ in range(max_rounds):
+    before = materialise(both.join(at, [by, "a"]).join(to, [by, "b"]).where("pa < pb").select(by, "a", "b").distinct(), "edges")
+    linked = before.select(by, F.col("a").alias("item")).union(before.select(by, "b")).distinct()
+    shared = nodes.where("key is not null").groupBy(by, "key").agg(F.count("*").alias("n")).where("n > 1").select(by, "key")
+    kept = nodes.join(linked, [by, "item"], "left_anti").join(shared, [by, "key"], "left_anti").select(by, "item", "place", "key")
+    open_ = materialise(nodes.join(linked, [by, "item"], "left_semi").union(nodes.join(linked, [by, "item"], "left_anti").join(shared, [by, "key"], "left_semi").select(by, "item", "place", "key")), "open")
+    for _ in range(rounds):
+        if open_.isEmpty():
+            return kept
         waits = before.join(open_.select(by, F.col("item").alias("a")), [by, "a"], "left_semi").select(by, F.col("b").alias("item")).distinct()
         first = F.row_number().over(Window.partitionBy(by, "key").orderBy("place"))
         taken = open_.withColumn("first", F.when(F.col("key").isNull(), 1).otherwise(first)).where("first = 1").join(waits, [by, "item"], "left_anti").drop("first")
         taken = materialise(taken, "taken")
-        kept = taken if kept is None else kept.union(taken)
+        kept = kept.unionByName(taken)
         gone = before.join(taken.select(by, F.col("item").alias("a")), [by, "a"], "left_semi").select(by, F.col("b").alias("item")).distinct()
         left = open_.join(taken.select(by, "item"), [by, "item"], "left_anti").join(gone, [by, "item"], "left_anti")
         left = left.join(taken.where("key is not null").select(by, "key"), [by, "key"], "left_anti")
-        open_ = materialise(left.select(by, "item", "place", "key"), "open")
-        if open_.isEmpty():
-            return kept
-    raise RuntimeError("the walk did not end")
+        was, open_ = open_, materialise(left.select(by, "item", "place", "key"), "open")
+        discard(was)
+    return kept.unionByName(_walked(open_, before, by))
+
+
+def _walked(nodes: DataFrame, before: DataFrame, by: str) -> DataFrame:
+    """The nodes that the walk keeps, by a fold over each group."""
+    earlier = before.groupBy(by, F.col("b").alias("item")).agg(F.collect_list("a").alias("earlier"))
+    rows = nodes.join(earlier, [by, "item"], "left")
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    none = lambda kind: F.array().cast(f"array<{kind}>")
+    ordered = F.array_sort(F.collect_list(F.struct("place", "item", "key", F.coalesce("earlier", none(kinds["item"])).alias("earlier"))))
+    start = F.struct(none(kinds["item"]).alias("items"), none(kinds["key"]).alias("keys"), none("int").alias("at"), F.lit(0).alias("i"))
+
+    def step(s: Column, x: Column) -> Column:
+        bad = F.coalesce(F.arrays_overlap(s["items"], x["earlier"]), F.lit(False)) | F.coalesce(F.array_contains(s["keys"], x["key"]), F.lit(False))
+        add = lambda name, value: F.when(bad, s[name]).otherwise(F.concat(s[name], value)).alias(name)
+        return F.struct(add("items", F.array(x["item"])), add("keys", F.array_compact(F.array(x["key"]))), add("at", F.array(s["i"])), (s["i"] + 1).alias("i"))
+
+    folded = rows.groupBy(by).agg(ordered.alias("rows")).withColumn("at", F.aggregate("rows", start, step)["at"])
+    return folded.select(by, F.inline(F.transform("at", lambda i: F.get("rows", i)))).select(by, "item", "place", "key")
 
 
 def deduped(cards: DataFrame) -> DataFrame:

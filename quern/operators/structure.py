@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import fixed as X
 from quern.functions import text as T
+from quern.operators.folds import signed
 
 
 def signature(text: Column) -> Column:
@@ -139,21 +140,14 @@ def card_estimate(blocks: DataFrame) -> DataFrame:
 def section_batches(sections: DataFrame, most_sections: int = X.BATCH_SECTIONS, most_cards: int = X.BATCH_CARDS) -> DataFrame:
     """``doc_id, place, batch``: sections packed in order. A batch has one source, so many sections and, unless it is one section, so many cards at most.
 
-    ``sections(doc_id, place, source, cards)``. A document's sections are folded in order inside one expression.
+    ``sections(doc_id, place, source, cards)``. Whether a section begins a batch depends on the batch so far: a fold over a document's sections gives each one sign, and batches are counted.
     """
-    empty = "named_struct('source', cast(null as string), 'n', 0, 'cards', cast(0 as bigint), 'batch', cast(-1 as bigint), 'out', cast(array() as array<struct<place:bigint,batch:bigint>>))"
-
-    def step(s: Column, x: Column) -> Column:
-        joins = (s["batch"] >= 0) & s["source"].eqNullSafe(x["source"]) & (s["n"] < most_sections) & (s["cards"] + x["cards"] <= most_cards)
-        batch = s["batch"] + F.when(joins, 0).otherwise(1)
-        return F.struct(
-            x["source"].alias("source"),
-            F.when(joins, s["n"] + 1).otherwise(1).alias("n"),
-            F.when(joins, s["cards"] + x["cards"]).otherwise(x["cards"]).alias("cards"),
-            batch.cast("long").alias("batch"),
-            F.concat(s["out"], F.array(F.struct(x["place"].cast("long").alias("place"), batch.cast("long").alias("batch")))).alias("out"),
-        )
-
-    ordered = F.array_sort(F.collect_list(F.struct("place", "source", "cards")))
-    folded = sections.groupBy("doc_id").agg(F.aggregate(ordered, F.expr(empty), step).alias("s"))
-    return folded.select("doc_id", F.inline("s.out"))
+
+    def step(s: Column, x: Column) -> dict[str, Column]:
+        joins = (s["n"] > 0) & s["source"].eqNullSafe(x["source"]) & (s["n"] < most_sections) & (s["cards"] + x["cards"] <= most_cards)
+        return {"source": x["source"], "n": F.when(joins, s["n"] + 1).otherwise(1), "cards": F.when(joins, s["cards"] + x["cards"]).otherwise(x["cards"]), "sign": F.when(joins, "0").otherwise("1")}
+
+    rows = sections.select("doc_id", F.col("place").cast("long").alias("place"), F.col("source").cast("string").alias("source"), F.col("cards").cast("long").alias("cards"))
+    told = signed(rows, ["doc_id"], ["place"], {"source": F.lit(None).cast("string"), "n": F.lit(0), "cards": F.lit(0).cast("long")}, step)
+    batch = F.sum((F.col("sign") == "1").cast("long")).over(Window.partitionBy("doc_id").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)) - 1
+    return told.select("doc_id", "place", batch.alias("batch"))

@@ -105,9 +105,32 @@ PROGRAMS = Fixture(
 ATTACHED = Fixture("doc_id long, place long, output string", [(1, 0, "1"), (1, 1, None), (1, 4, None), (1, 5, None), (2, 0, None), (2, 1, None), (2, 2, None), (2, 3, None), (3, 0, "b")])
 
 
-@query("str_31_outputs", f"select * from {ATTACHED.sql}")
+_TURN = "(line_no + doc_id % 5) % 6"
+_PROGRAM_BLOCKS = f"""programs as (select doc_id, line_no as place, case {_TURN} when 0 then 'code' when 1 then 'paragraph' when 2 then case when doc_id % 2 = 0 then 'heading' else 'paragraph' end when 3 then 'code' when 4 then case when line_no % 4 = 0 then 'paragraph' else 'list' end else 'code' end as kind,
+ case when {_TURN} = 2 then 'Output:' when {_TURN} = 4 and line_no % 4 = 0 then 'OUTPUT' else line end as text, case when {_TURN} = 5 and line_no % 3 = 0 then 'own' end as output from lines where doc_id >= 0 union all select -doc_id, place, kind, text, output from {PROGRAMS.sql})"""
+_BEFORE = "reverse(left(s.known, length(s.known) - 1))"
+_HIT = f"(s.label and x.kind = 'code' and {D.like(_BEFORE, '^[p-]*c')})"
+_BACK = f"(length({D.part(_BEFORE, '^([p-]*)c', 1)}) + 2)"
+_OWN = "case when x.kind in ('paragraph', 'heading') then 'p' when x.kind = 'code' and coalesce(x.output, '') = '' then 'c' else 'x' end"
+_KNOWN = f"right(case when {_HIT} then left(s.known, length(s.known) - {_BACK}) || 'x' || substring(s.known, length(s.known) - {_BACK} + 2, {_BACK} - 2) || '--' else s.known || {_OWN} end, {X.OUTPUT_LOOKBACK + 1})"
+_LABEL = f"x.kind in ('paragraph', 'heading') and {D.like('x.text', X.OUTPUT_LABEL)}"
+
+
+@query(
+    "str_31_outputs",
+    f"""with {D.LINES}, {_PROGRAM_BLOCKS}, folded as (select doc_id, list(place order by place) as places, list_reduce(list_prepend({{'kind': '', 'text': '', 'output': null::varchar, 'known': '', 'label': false, 'signs': ''}},
+ list({{'kind': kind, 'text': text, 'output': output, 'known': '', 'label': false, 'signs': ''}} order by place)), lambda s, x: {{'kind': x.kind, 'text': x.text, 'output': x.output, 'known': {_KNOWN}, 'label': {_LABEL}, 'signs': s.signs || case when {_HIT} then {_BACK}::varchar else '0' end}}).signs as signs from programs group by doc_id),
+signs as (select doc_id, unnest(places) as place, unnest(string_split(signs, '')) as sign from folded),
+given as (select p.*, sign, coalesce({', '.join(f"case when lead(sign, {k}) over w = '{k}' then lead(text, {k}) over w end" for k in range(2, X.OUTPUT_LOOKBACK + 2))}) as given, lead(sign) over w as behind from programs p join signs using (doc_id, place) window w as (partition by doc_id order by place))
+select doc_id, place, coalesce(given, output) as output from given where sign = '0' and coalesce(behind, '0') = '0'""",
+)
 def str_31(spark, sf):
-    return G.attached_outputs(PROGRAMS.frame(spark)).select("doc_id", "place", "output")
+    """Lines of all documents as programs, labels and prose in turn, and the fixture."""
+    turn, line = F.expr(_TURN), F.col("line")
+    kind = F.when(turn == 1, "paragraph").when(turn == 2, F.when(F.col("doc_id") % 2 == 0, "heading").otherwise("paragraph")).when(turn == 4, F.when(F.col("line_no") % 4 == 0, "paragraph").otherwise("list")).otherwise("code")
+    text = F.when(turn == 2, "Output:").when((turn == 4) & (F.col("line_no") % 4 == 0), "OUTPUT").otherwise(line)
+    blocks = A.lines(spark, sf).where("doc_id >= 0").select("doc_id", F.col("line_no").alias("place"), kind.alias("kind"), text.alias("text"), F.when((turn == 5) & (F.col("line_no") % 3 == 0), "own").alias("output"))
+    return G.attached_outputs(blocks.union(PROGRAMS.frame(spark).withColumn("doc_id", -F.col("doc_id")))).select("doc_id", "place", "output")
 
 
 DIVIDED = Fixture(
@@ -119,9 +142,31 @@ DIVIDED = Fixture(
 )
 
 
-@query("str_14_sections", f"select doc_id, place, titles from {DIVIDED.sql} where titles is not null")
+def _divided_sql() -> str:
+    """The division, level by level."""
+    made, before = [f"d0 as (select *, []::bigint[] as run, []::varchar[] as titles, 1 as from_, true as open_ from sized)"], "d0"
+    for i in range(1, X.SPLIT_LEVEL + 1):
+        made += [
+            f"c{i} as (select *, case when open_ then min(case when kind = 'heading' and level between from_ and {X.SPLIT_LEVEL} then level end) over (partition by doc_id, run) end as cut from {before})",
+            f"h{i} as (select *, kind = 'heading' and coalesce(level = cut, false) as head from c{i})", f"g{i} as (select *, sum(case when head then 1 else 0 end) over (partition by doc_id, run order by place)::bigint as grp from h{i})",
+            f"t{i} as (select *, max(case when head then text end) over p as title, sum(case when not head then size + 1 else 0 end) over p > {X.SECTION_CHARS} as long_, min(grp) over r = max(grp) over r as lone from g{i} window p as (partition by doc_id, run, grp), r as (partition by doc_id, run))",
+            f"d{i} as (select doc_id, place, kind, level, text, size, case when cut is not null then list_append(run, grp) else run end as run, case when cut is not null and title is not null then list_append(titles, title) else titles end as titles, cut + 1 as from_, open_ and cut is not null and (long_ or (lone and title is not null)) as open_ from t{i} where not head)",
+        ]
+        before = f"d{i}"
+    return ", ".join(made) + f" select doc_id, place, array_to_string(titles, ' > ') as titles from {before}"
+
+
+_SIZED = f"sized as (select doc_id, line_no as place, case when line_no > 0 and {D.label('line')} or line_no % 6 = 1 then 'heading' else 'paragraph' end as kind, case when line_no > 0 and {D.label('line')} or line_no % 6 = 1 then 1 + length(line) % 5 end as level, line as text, length(line) as size from lines where doc_id >= 0 union all select -doc_id, place, kind, level, text, size from (select * exclude (titles) from {DIVIDED.sql}))"
+
+
+@query("str_14_sections", f"with {D.LINES}, {_SIZED}, {_divided_sql()}")
 def str_14(spark, sf):
-    return G.runs(DIVIDED.frame(spark).drop("titles")).select("doc_id", "place", F.array_join("titles", " > ").alias("titles"))
+    """Lines of all documents, some of them headings of five levels, and the fixture."""
+    heading = ((F.col("line_no") > 0) & T.meaningful_label(F.col("line"))) | (F.col("line_no") % 6 == 1)
+    size = F.length("line")
+    blocks = A.lines(spark, sf).where("doc_id >= 0").select("doc_id", F.col("line_no").alias("place"), F.when(heading, "heading").otherwise("paragraph").alias("kind"), F.when(heading, 1 + size % 5).alias("level"), F.col("line").alias("text"), size.alias("size"))
+    blocks = blocks.union(DIVIDED.frame(spark).drop("titles").withColumn("doc_id", -F.col("doc_id")))
+    return G.runs(blocks).select("doc_id", "place", F.array_join("titles", " > ").alias("titles"))
 
 
 PARTS = Fixture("batch_id long, place long, kind string, text string, language string, alt string", [(1, 0, "code", "x = 1", "python", None), (1, 1, "image", "http://secret", None, "a cell"), (1, 2, "paragraph", "Text.", None, None), (1, 3, "code", "y", None, None), (2, 0, "image", "z", None, None)])
@@ -130,9 +175,22 @@ SAID = Fixture("batch_id long, payload string", [
 ])
 
 
-@query("bat_04_payload", f"select * from {SAID.sql}")
+_SERIAL = f"""parts as (select doc_id as batch_id, line_no as place, ['code', 'paragraph', 'image'][line_no % 3 + 1] as kind, line as text, case when doc_id % 2 = 0 then 'sql' end as language, case when line_no % 2 = 0 then source end as alt from lines where doc_id >= 0 union all select -batch_id, place, kind, text, language, alt from {PARTS.sql})"""
+_FIELD = lambda name, value: f"case when {value} is not null then ',\"{name}\":' || to_json({value})::varchar else '' end"
+
+
+@query(
+    "bat_04_payload",
+    f"""with {D.LINES}, {_SERIAL}, n as (select *, row_number() over (partition by batch_id, kind order by place) as i from parts), o as (select batch_id, place,
+ '{{"type":' || to_json(kind)::varchar || case kind when 'code' then ',"id":"c' || i || '"' when 'image' then ',"id":"i' || i || '"' else '' end || {_FIELD('text', "case when kind <> 'image' then text end")} || {_FIELD('language', "case when kind = 'code' then language end")} || {_FIELD('alt', "case when kind = 'image' then alt end")} || '}}' as o from n)
+select batch_id, md5('[' || string_agg(o, ',' order by place) || ']') as payload_md5 from o group by batch_id""",
+)
 def bat_04(spark, sf):
-    return G.payload(PARTS.frame(spark))
+    """A document's lines as snippets, paragraphs and pictures in turn, and the fixture."""
+    lines = A.lines(spark, sf).where("doc_id >= 0")
+    kind = F.element_at(F.array(*map(F.lit, ("code", "paragraph", "image"))), (F.col("line_no") % 3 + 1).cast("int"))
+    parts = lines.select(F.col("doc_id").alias("batch_id"), F.col("line_no").alias("place"), kind.alias("kind"), F.col("line").alias("text"), F.when(F.col("doc_id") % 2 == 0, "sql").alias("language"), F.when(F.col("line_no") % 2 == 0, F.col("source")).alias("alt"))
+    return G.payload(parts.union(PARTS.frame(spark).withColumn("batch_id", -F.col("batch_id")))).select("batch_id", F.md5("payload").alias("payload_md5"))
 
 
 @query("bat_02_batches", f"with {D.CARDS}, b as (select deck_id, ord, (row_number() over (partition by deck_id order by ord) - 1) // 8 as batch, length(front) * 40 + length(back) * 200 as size from cards), h as (select *, count(*) over w as n, sum(size) over w as total, row_number() over (partition by deck_id, batch order by ord) as turn from b window w as (partition by deck_id, batch)) select deck_id, batch, ord, case when total > {X.PAYLOAD_CHARS} and n > 1 and turn > ceil(n / 2) then 1 else 0 end as half from h")

@@ -40,14 +40,16 @@ def dup_06(spark, sf):
     return N.deduped(A.cards(spark, sf))
 
 
-_ASKED = f"{D.ANSWERS}, tally as (select question_id, count(*) as asked, arg_max(correct, seq) as last_correct from answers group by question_id), pool as (select p_brand as deck_id, p_partkey as question_id, p_name as stem, p_type as answer, coalesce(asked, 0) as asked, last_correct from part left join tally on p_partkey = question_id)"
+_ASKED = f"{D.ANSWERS}, tally as (select question_id, count(*) as asked, arg_max(correct, seq) as last_correct from answers group by question_id), pool as (select p_brand as deck_id, p_partkey as question_id, 'Which kind is the ' || p_name || ' in size ' || p_size % 3 || '?' as stem, p_type || ' ' || p_name as answer, coalesce(asked, 0) as asked, last_correct from part left join tally on p_partkey = question_id)"
 _SAME = f"""q as (select *, {D.content_words('stem')} as sw, {D.content_words('answer')} as aw, {D.numbers('stem')} as sn, {D.numbers('answer')} as an from pool),
 same as (select a.deck_id, a.question_id as a, b.question_id as b from q a join q b on a.deck_id = b.deck_id and a.question_id < b.question_id where least(len(a.aw), len(b.aw)) >= {X.MIN_ANSWER_WORDS} and not {D.conflicting('a.an', 'b.an')} and not {D.conflicting('a.sn', 'b.sn')}
  and {D.overlap('a.sw', 'b.sw')} >= {X.SAME_STEM}::double and {D.overlap('a.aw', 'b.aw')} >= {X.SAME_ANSWER}::double)"""
 
 
 def _pool(spark, sf):
-    pool = table(spark, sf, "part").select(F.col("p_brand").alias("deck_id"), F.col("p_partkey").alias("question_id"), F.col("p_name").alias("stem"), F.col("p_type").alias("answer"))
+    """Parts as questions; parts of one name and type and a like size ask the same."""
+    stem = F.concat(F.lit("Which kind is the "), "p_name", F.lit(" in size "), (F.col("p_size") % 3).cast("string"), F.lit("?"))
+    pool = table(spark, sf, "part").select(F.col("p_brand").alias("deck_id"), F.col("p_partkey").alias("question_id"), stem.alias("stem"), F.concat("p_type", F.lit(" "), "p_name").alias("answer"))
     pool = pool.join(L.answer_tally(A.answers(spark, sf)), "question_id", "left").withColumn("asked", F.coalesce("asked", F.lit(0)).cast("long"))
     return pool.select("deck_id", "question_id", "stem", "answer", "asked", "last_correct")
 
@@ -243,9 +245,18 @@ def src_09(spark, sf):
     return names.select("file_id", U.reader_of(F.col("name")).alias("reader"))
 
 
-@query("src_10_markdown", f"select file_id, regexp_matches(content_type, '(?i)text/markdown') or (regexp_matches(content_type, '(?i)text/plain') and regexp_matches(name, '(?i)\\.(md|markdown|mdown|mkd)(\\?|#|$)')) as markdown from {FILES.sql}")
+_MIME = ("text/markdown", "text/plain; charset=utf-8", "TEXT/PLAIN", "text/html", None)
+_ENDINGS = (".md", ".markdown#top", "/readme.mkd?raw=1", ".mdown", ".txt", "/notes.md/raw")
+_SERVED = f"served as (select page_id as file_id, regexp_replace(url, '[?#].*$', '') || [{', '.join(map(literal, _ENDINGS))}][page_id % {len(_ENDINGS)} + 1] as name, [{', '.join(map(literal, _MIME))}][page_id % {len(_MIME)} + 1] as content_type from pages union all select -1 - file_id, name, content_type from {FILES.sql})"
+
+
+@query("src_10_markdown", f"with {_SERVED} select file_id, coalesce(regexp_matches(content_type, '(?i)text/markdown') or (regexp_matches(content_type, '(?i)text/plain') and regexp_matches(name, '(?i)\\.(md|markdown|mdown|mkd)(\\?|#|$)')), false) as markdown from served")
 def src_10(spark, sf):
-    return FILES.frame(spark).select("file_id", U.serves_markdown(F.col("name"), F.col("content_type")).alias("markdown"))
+    """Addresses of pages with endings and content types in turn, and the fixture's."""
+    pick = lambda values: F.element_at(F.array(*(F.lit(v).cast("string") for v in values)), (F.col("page_id") % len(values) + 1).cast("int"))
+    pages = table(spark, sf, "pages").select(F.col("page_id").alias("file_id"), F.concat(F.regexp_replace("url", "[?#].*$", ""), pick(_ENDINGS)).alias("name"), pick(_MIME).alias("content_type"))
+    rows = pages.union(FILES.frame(spark).select(-1 - F.col("file_id"), "name", "content_type"))
+    return rows.select("file_id", F.coalesce(U.serves_markdown(F.col("name"), F.col("content_type")), F.lit(False)).alias("markdown"))
 
 
 @query("str_37_file_titles", f"select file_id, trim(regexp_replace(regexp_replace(regexp_replace(name, '(?i)\\.(md|markdown|mdown|mkd)$', ''), '[_-]+', ' ', 'g'), '\\s+', ' ', 'g'), ' ') as title from (select c_custkey as file_id, replace(c_name, '#', '_-') || '.md' as name from customer union all select -1 - file_id, name from {FILES.sql})")
@@ -409,20 +420,27 @@ def jsn_07_audited(spark, sf):
 
 
 SCANS = Fixture("reply_id long, text string", [
-    (1, '[{"page": "Page 2", "title": " Memory ", "blocks": [{"type": "paragraph", "text": " Kept. "}, {"type": "list", "items": ["a", " ", "b"]}, {"type": "heading", "text": "Sub"}, {"type": "table", "text": "x"}, {"type": "paragraph", "text": ""}]}, {"page": "Page 9", "blocks": []}, {"page": 3}]'),
-    (2, '[{"page": "Page 1", "blocks": [{"type": "paragraph", "text": "one"}]}, {"page": "Page 1", "title": "T"}'),
+    (-1, '[{"page": "Page 2", "title": " Memory ", "blocks": [{"type": "paragraph", "text": " Kept. "}, {"type": "list", "items": ["a", " ", "b"]}, {"type": "heading", "text": "Sub"}, {"type": "table", "text": "x"}, {"type": "paragraph", "text": ""}]}, {"page": "Page 9", "blocks": []}, {"page": 3}]'),
+    (-2, '[{"page": "Page 1", "blocks": [{"type": "paragraph", "text": "one"}]}, {"page": "Page 1", "title": "T"}'),
 ])
 
 
-@query("str_38_scanned_pages", f"""with replies as (select * from {SCANS.sql}), pages_ as (select r.reply_id, 'Page ' || n as label, n as page from replies r, range(1, 5) t(n)), entries as (select reply_id, unnest(range(len(l))) as entry, unnest(l) as o from (select reply_id, [json_extract(text || case when reply_id = 2 then ']' else '' end, '$[' || i || ']') for i in range(3)] as l from replies)),
+@query("str_38_scanned_pages", f"""with replies as (select * from {SCANS.sql} union all select p_partkey, to_json([{{'page': 'Page ' || (p_size % 5 + 1), 'title': p_name, 'blocks': [{{'type': 'paragraph', 'text': p_type || ' ' || p_brand, 'items': []}}, {{'type': 'list', 'text': '', 'items': [p_brand, ' ', p_name]}}, {{'type': case when p_size % 2 = 0 then 'heading' else 'image' end, 'text': p_name, 'items': []}}]}}, {{'page': 'Page 2', 'title': ' ', 'blocks': [{{'type': 'paragraph', 'text': p_type, 'items': []}}]}}])::varchar from part), pages_ as (select r.reply_id, 'Page ' || n as label, n as page from replies r, range(1, 5) t(n)), entries as (select reply_id, unnest(range(len(l))) as entry, unnest(l) as o from (select reply_id, [json_extract(text || case when reply_id = -2 then ']' else '' end, '$[' || i || ']') for i in range(3)] as l from replies)),
 e as (select e.reply_id, page, entry, o, nullif({_string('title')}, '') as title from entries e join pages_ p on p.reply_id = e.reply_id and p.label = json_extract_string(o, '$.page')),
 b as (select reply_id, page, entry, title, unnest(range(1, 6)) as place, unnest([json_extract(o, '$.blocks[' || i || ']') for i in range(5)]) as b from e),
 t as (select reply_id, page, entry, title, place, {_string('type', 'b')} as kind, case when {_string('type', 'b')} = 'list' then array_to_string(list_filter(json_extract_string(b, '$.items[*]'), lambda x: trim(x, ' ') <> ''), chr(10)) else {_string('text', 'b')} end as text from b where b is not null)
 select reply_id, page, entry, place, kind, case when kind = 'heading' then 2 end as level, text, case when kind <> 'heading' then title end as context from t where kind in ('heading', 'paragraph', 'list') and text <> '' union all select reply_id, page, entry, 0, 'heading', 1, title, null from e where title is not null""")
 def str_38(spark, sf):
-    scans = SCANS.frame(spark)
-    pages = spark.range(1, 5).select(F.explode(F.array(*(F.lit(i).cast("long") for i in (1, 2)))).alias("reply_id"), F.concat(F.lit("Page "), F.col("id").cast("string")).alias("label"), F.col("id").alias("page"))
-    return J.pages_read(scans, pages)
+    block = lambda kind, text, items=None: F.struct(kind.alias("type"), text.alias("text"), (items if items is not None else F.array().cast("array<string>")).alias("items"))
+    name, lit = F.col("p_name"), F.lit
+    first = F.struct(
+        F.concat(lit("Page "), (F.col("p_size") % 5 + 1).cast("string")).alias("page"), name.alias("title"),
+        F.array(block(lit("paragraph"), F.concat("p_type", lit(" "), "p_brand")), block(lit("list"), lit(""), F.array(F.col("p_brand"), lit(" "), name)), block(F.when(F.col("p_size") % 2 == 0, "heading").otherwise("image"), name)).alias("blocks"),
+    )
+    second = F.struct(lit("Page 2").alias("page"), lit(" ").alias("title"), F.array(block(lit("paragraph"), F.col("p_type"))).alias("blocks"))
+    scans = SCANS.frame(spark).union(table(spark, sf, "part").select("p_partkey", F.to_json(F.array(first, second))))
+    labels = F.array(*(F.struct(F.lit(f"Page {i}").alias("label"), F.lit(i).cast("long").alias("page")) for i in range(1, 5)))
+    return J.pages_read(scans, scans.select("reply_id", F.inline(labels)))
 
 
 @query("jsn_01_fence", f"select reply_id, md5(trim(regexp_replace(regexp_replace(text, '^\\s*```\\w*', ''), '```\\s*$', ''), ' ')) as text from (select reply_id, replace(text, chr(10), ' ') as text from {REPLIES.sql} union all select p_partkey, case when p_size % 2 = 0 then '```json ' || p_name || ' ```  ' else p_name end from part)")

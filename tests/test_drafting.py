@@ -110,3 +110,35 @@ def test_days_of_a_zone(spark):
     # 8 March 2026: clocks in New York go from 2 to 3; the day has 23 hours.
     row = spark.range(1).select(S.next_day(ms("2026-03-08T05:30:00Z"), "America/New_York").alias("a"), S.next_day(ms("2026-03-09T04:30:00Z"), "America/New_York").alias("b"), S.next_day(ms("2026-03-08T05:30:00Z")).alias("c")).first()
     assert (row.b - row.a) == 24 * 3_600_000 and row.a == 1_773_028_800_000 and row.c == 1_773_014_400_000
+
+
+def test_written_out_fixtures(spark):
+    """The fixtures beside the queries' tables give what was worked out by hand."""
+    from quern.plans import cards as P
+
+    rows = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    assert rows(G.attached_outputs(P.PROGRAMS.frame(spark)).select("doc_id", "place", "output")) == sorted(P.ATTACHED.rows, key=repr)
+    assert rows(G.payload(P.PARTS.frame(spark))) == sorted(P.SAID.rows, key=repr)
+    divided = G.runs(P.DIVIDED.frame(spark).drop("titles")).select("doc_id", "place", F.array_join("titles", " > "))
+    assert rows(divided) == sorted(((d, p, t) for d, p, _, _, _, _, t in P.DIVIDED.rows if t is not None), key=repr)
+
+
+def test_long_chains_of_neighbours(spark):
+    """A walk over chains longer than there are rounds, with keys beside them, against one in Python."""
+    import random
+
+    from quern.operators import duplicates as N
+
+    rng = random.Random(3)
+    nodes, edges = [], []
+    for deck in range(4):
+        n = (300, 40, 40, 5)[deck]
+        nodes += [(deck, i, i, None if rng.random() < 0.7 else f"k{rng.randrange(n // 3 + 1)}") for i in range(n)]
+        edges += [(deck, i, i + 1) for i in range(n - 1)] if deck != 2 else [(deck, *rng.sample(range(n), 2)) for _ in range(60)]
+    kept = []
+    for deck, item, _, key in nodes:
+        near = {b if a == item else a for d, a, b in edges if d == deck and item in (a, b)}
+        if not any(d == deck and (i in near or (key is not None and k == key)) for d, i, k in kept):
+            kept.append((deck, item, key))
+    found = N.greedy(spark.createDataFrame(nodes, "deck long, item long, place long, key string"), spark.createDataFrame(edges, "deck long, a long, b long"), "deck").select("deck", "item", "key")
+    assert sorted(map(tuple, found.collect()), key=repr) == sorted(kept, key=repr)
