@@ -10,7 +10,7 @@ There is no tree in memory. A page's tokens are numbered; an element begins at i
 
 What an element holds is then a difference of running sums at its two ends, what holds a text is the last element begun
 at that depth, and what lies in none of some elements is found by the running maximum of their ends. All windows are by page, so a page's rows are shuffled
-once, and a page is one group. ``pages(page_id, html)``; a null page has no rows.
+once, and a page is one group. ``pages(page_id, html)``: an id names one page; a null page has no rows.
 """
 
 from __future__ import annotations
@@ -54,7 +54,8 @@ def _inline() -> Column:
 
 def tokens(pages: DataFrame) -> DataFrame:
     """``page_id, n, token, kind, name``: begin tags (``open``, ``void``), end tags (``close``) and texts. Comments and elements of raw text are left out."""
-    found = pages.select("page_id", F.posexplode(M.tokens(F.col("html"))).alias("n", "token"))
+    # Pages are dealt out before they are cut: no window over a part of a page needs another shuffle.
+    found = pages.select("page_id", "html").repartition("page_id").select("page_id", F.posexplode(M.tokens(F.col("html"))).alias("n", "token"))
     name = F.lower(F.regexp_extract("token", M.NAME, 1))
     found = found.select("page_id", F.col("n").cast("long").alias("n"), "token", name.alias("name"))
     void = F.col("name").isin(*M.VOID)
