@@ -14,7 +14,8 @@ the Jaccard likeness of the shingles themselves.
 Nulls: a null text is an empty one. A text without words has a fingerprint of its own, equal
 to that of any other such text; one with fewer words than a shingle is one shingle. Null ids
 come last in descending order; rows with equal ids are ordered by text, null first. A table
-with one row is its own next document. An empty table gives no rows. Other columns are not read.
+with one row is its own next document. An empty table gives no rows. A very long text is one row; it is hashed
+in steps of ``_STEP`` shingles, and its tables of powers go with it. Other columns are not read.
 """
 
 from __future__ import annotations

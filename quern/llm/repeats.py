@@ -24,7 +24,7 @@ follow have two shuffled sides that Spark can split.
 
 Nulls: a null text is an empty one. A null id comes before all others. Rows with the same id
 follow each other by text, repeated rows in any order. Documents of fewer than 100 bytes
-lose nothing. An empty table gives no rows. Other columns are not read.
+lose nothing; very long ones are worked on whole, each as one row. An empty table gives no rows. Other columns are not read.
 """
 
 from __future__ import annotations
