@@ -11,7 +11,8 @@ runs over them as an aggregate of an array.
 Nulls: a null role or text is empty; a null turn comes first; a null ``conv_id`` is a
 conversation of its own. Turns that tie are ordered by role and text; repeated rows are
 repeated turns. Roles that the machine does not know, and turns that it does not expect, are
-formatted all the same and make the conversation invalid. An empty table gives no rows. Other columns are not read.
+formatted all the same and make the conversation invalid. An empty table gives no rows.
+Texts of any length are formatted whole; a conversation is one value. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -119,7 +120,8 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     own = spark.sql("select * from values (-1L, 0L, 'user'), (-1L, 1L, 'assistant') as t(conv_id, turn, role)").withColumn("text", F.lit(HOSTILE))
     made = format_chats(rows.unionByName(own)).withColumn("turns", read_chats(F.col("formatted")))
-    loss = F.array_join(F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: unescape(s["text"])), "")
+    # All of it is read back from the formatted text: which turns count is told by their roles.
+    loss = F.array_join(F.transform(F.filter("turns", lambda t: t["role"].isin(*CHATML.loss_roles)), lambda t: t["text"]), "")
     read = made.select("conv_id", "valid", "formatted", "turns", loss.alias("loss"))
     told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return read.select(
