@@ -40,7 +40,7 @@ def dup_06(spark, sf):
     return N.deduped(A.cards(spark, sf))
 
 
-_ASKED = f"{D.ANSWERS}, tally as (select question_id, count(*) as asked, arg_max(correct, seq) as last_correct from answers group by question_id), pool as (select p_brand as deck_id, p_partkey as question_id, 'Which kind is the ' || p_name || ' in size ' || p_size % 3 || '?' as stem, p_type || ' ' || p_name as answer, coalesce(asked, 0) as asked, last_correct from part left join tally on p_partkey = question_id)"
+_ASKED = f"{D.ANSWERS}, tally as (select question_id, count(*) as asked, arg_max(correct, seq) as last_correct from answers group by question_id), pool as (select p_brand as deck_id, p_partkey as question_id, 'Which kind is the ' || p_name || ' in size ' || p_size % 25 || '?' as stem, p_type || ' ' || p_name || ' of size ' || p_size % 25 as answer, coalesce(asked, 0) as asked, last_correct from part left join tally on p_partkey = question_id)"
 _SAME = f"""q as (select *, {D.content_words('stem')} as sw, {D.content_words('answer')} as aw, {D.numbers('stem')} as sn, {D.numbers('answer')} as an from pool),
 same as (select a.deck_id, a.question_id as a, b.question_id as b from q a join q b on a.deck_id = b.deck_id and a.question_id < b.question_id where least(len(a.aw), len(b.aw)) >= {X.MIN_ANSWER_WORDS} and not {D.conflicting('a.an', 'b.an')} and not {D.conflicting('a.sn', 'b.sn')}
  and {D.overlap('a.sw', 'b.sw')} >= {X.SAME_STEM}::double and {D.overlap('a.aw', 'b.aw')} >= {X.SAME_ANSWER}::double)"""
@@ -48,8 +48,9 @@ same as (select a.deck_id, a.question_id as a, b.question_id as b from q a join
 
 def _pool(spark, sf):
     """Parts as questions; parts of one name and type and a like size ask the same."""
-    stem = F.concat(F.lit("Which kind is the "), "p_name", F.lit(" in size "), (F.col("p_size") % 3).cast("string"), F.lit("?"))
-    pool = table(spark, sf, "part").select(F.col("p_brand").alias("deck_id"), F.col("p_partkey").alias("question_id"), stem.alias("stem"), F.concat("p_type", F.lit(" "), "p_name").alias("answer"))
+    size = (F.col("p_size") % 25).cast("string")
+    stem = F.concat(F.lit("Which kind is the "), "p_name", F.lit(" in size "), size, F.lit("?"))
+    pool = table(spark, sf, "part").select(F.col("p_brand").alias("deck_id"), F.col("p_partkey").alias("question_id"), stem.alias("stem"), F.concat("p_type", F.lit(" "), "p_name", F.lit(" of size "), size).alias("answer"))
     pool = pool.join(L.answer_tally(A.answers(spark, sf)), "question_id", "left").withColumn("asked", F.coalesce("asked", F.lit(0)).cast("long"))
     return pool.select("deck_id", "question_id", "stem", "answer", "asked", "last_correct")
 
