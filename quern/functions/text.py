@@ -50,7 +50,8 @@ def conflicting(a: Column, b: Column) -> Column:
 
 def sentences(text: Column) -> Column:
     """Sentences: a stop, white space, then a capital or an opening mark."""
-    return F.filter(F.transform(F.split(F.regexp_replace(text, r"\s+", " "), r"(?<=[.!?])\s+(?=[A-Z“\"'(])"), F.trim), lambda s: s != "")
+    # Not `F.trim` itself: it takes a second argument, and `transform` would give it the sentence's number as the characters to trim.
+    return F.filter(F.transform(F.split(F.regexp_replace(text, r"\s+", " "), r"(?<=[.!?])\s+(?=[A-Z“\"'(])"), lambda s: F.trim(s)), lambda s: s != "")
 
 
 def meaningful_label(text: Column) -> Column:

@@ -146,3 +146,16 @@ def test_addresses_in_any_spelling(spark):
     allowed = ["http://8.8.8.8/", "http://[2001:db8::1]/", "https://example.org:8443/x", "http://172.32.0.1/"]
     rows = spark.createDataFrame([(u,) for u in refused + allowed], "u string")
     assert {r.u for r in rows.where(T.fetchable(F.col("u"))).collect()} == set(allowed)
+
+
+def test_sentences_keep_digits_at_their_ends(spark):
+    text = "0 one 0. Two 1 is 11"
+    found = spark.range(1).select(T.sentences(F.lit(text)).alias("s")).first()["s"]
+    assert found == ["0 one 0.", "Two 1 is 11"]
+
+
+def test_clusters_hold_equal_values_together_in_any_order(spark):
+    values = [5.0, 15.0, 23.0, 25.0, 27.0, 45.0, 45.0]
+    for rows in (values, values[::-1], values[3:] + values[:3]):
+        found = R.clusters(spark.createDataFrame([(1, v) for v in rows], "page int, x double").repartition(3), ["page"], "x", 12).collect()
+        assert sorted((r["anchor"], r["n"]) for r in found) == [(19.0, 5), (45.0, 2)]
