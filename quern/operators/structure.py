@@ -42,7 +42,8 @@ def clusters(values: DataFrame, by: list[str], value: str, tolerance: float) ->
     """Means of one-dimensional clusters: a gap above the tolerance begins a new one."""
     order = Window.partitionBy(*by).orderBy(value)
     opened = F.coalesce((F.col(value) - F.lag(value).over(order) > tolerance).cast("int"), F.lit(0))
-    numbered = values.withColumn("opened", opened).withColumn("cluster", F.sum("opened").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    # A frame by value, not by row: equal values are of one cluster in whichever order they come.
+    numbered = values.withColumn("opened", opened).withColumn("cluster", F.sum("opened").over(order.rangeBetween(Window.unboundedPreceding, Window.currentRow)))
     return numbered.groupBy(*by, "cluster").agg(F.avg(value).alias("anchor"), F.count("*").alias("n"))
 
 
