@@ -145,8 +145,11 @@ def dangling_reference(front: Column, has_code: Column | None = None) -> Column:
 
 def card_hash(front: Column, back: Column) -> Column:
     """FNV-1a of 32 bits over the UTF-16 units of front, NUL and back, as lower-case hex without padding."""
-    raw = F.hex(F.encode(F.concat(front, F.lit("\x00"), back), "UTF-16BE"))
-    units = F.transform(F.sequence(F.lit(0), (F.length(raw) / 4).cast("int") - 1), lambda i: F.conv(F.substring(raw, i * 4 + 1, F.lit(4)), 16, 10).cast("long"))
+    # Each unit is cut from the bytes, where a place is found at once; in a string it is counted from the beginning.
+    raw = F.concat(front, F.lit("\x00"), back)
+    cut = lambda x: F.transform(F.sequence(F.lit(0), (F.length(x) / 2).cast("int") - 1), lambda i: F.conv(F.hex(F.substring(x, i * 2 + 1, F.lit(2))), 16, 10).cast("long"))
+    # Bound to a name by an array of one, so that a text is encoded once and not for each of its units.
+    units = F.flatten(F.transform(F.array(F.encode(raw, "UTF-16BE")), cut))
     mask = F.lit(0xFFFFFFFF)
     return F.lower(F.hex(F.aggregate(units, F.lit(2166136261).cast("long"), lambda h, u: (h.bitwiseXOR(u) * F.lit(16777619)).bitwiseAND(mask))))
 

@@ -159,3 +159,17 @@ def test_clusters_hold_equal_values_together_in_any_order(spark):
     for rows in (values, values[::-1], values[3:] + values[:3]):
         found = R.clusters(spark.createDataFrame([(1, v) for v in rows], "page int, x double").repartition(3), ["page"], "x", 12).collect()
         assert sorted((r["anchor"], r["n"]) for r in found) == [(19.0, 5), (45.0, 2)]
+
+
+def test_card_hash_of_long_texts_is_linear(spark):
+    import time
+
+    front, back = "größer 😀 " * 20_000, "b"
+    h = 2166136261
+    raw = f"{front}\x00{back}".encode("utf-16-be")
+    for i in range(0, len(raw), 2):
+        h = (h ^ int.from_bytes(raw[i : i + 2], "big")) * 16777619 & 0xFFFFFFFF
+    began = time.time()
+    found = spark.createDataFrame([(front, back)], "f string, b string").select(T.card_hash(F.col("f"), F.col("b")).alias("h")).first()["h"]
+    assert found == f"{h:x}"
+    assert time.time() - began < 20
