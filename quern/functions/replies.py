@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from quern.functions import fixed as X
 from quern.functions import text as T
 from quern.operators.duplicates import kept_options
+from quern.runtime import spread
 
 #: Possessive, so that Java's engine neither backtracks nor nests.
 _STRING = r'"(?:[^"\\]++|\\.)*+"'
@@ -45,7 +46,8 @@ def strings(value: Column, path: str) -> Column:
 
 def _exploded(replies: DataFrame) -> DataFrame:
     """``reply_id, place, o`` of ``replies(reply_id, text)``."""
-    found = replies.select("reply_id", F.posexplode(objects(F.col("text"))).alias("place", "o"))
+    # Replies are dealt out before they are read, which is the work: a table of them may be one part, and one core would read it all.
+    found = spread(replies.select("reply_id", "text"), "reply_id").select("reply_id", F.posexplode(objects(F.col("text"))).alias("place", "o"))
     return found.select("reply_id", F.col("place").cast("long").alias("place"), F.try_parse_json("o").alias("o"))
 
 
@@ -130,7 +132,7 @@ def extraction(replies: DataFrame, detail: str = "standard") -> DataFrame:
     """
     n = X.INFOGRAPHIC_CHARS
     o = F.col("o")
-    whole = replies.select("reply_id", "deck", F.try_parse_json(F.regexp_extract(fence_stripped(F.col("text")), r"(?s)\{.*\}", 0)).alias("o")).where("o is not null")
+    whole = spread(replies.select("reply_id", "text", "deck"), "reply_id").select("reply_id", "deck", F.try_parse_json(F.regexp_extract(fence_stripped(F.col("text")), r"(?s)\{.*\}", 0)).alias("o")).where("o is not null")
     clamp = lambda v, name, most: F.when(is_string(v, f"$.{name}"), T.clamped(F.try_variant_get(v, f"$.{name}", "string"), most))
 
     def parts(name: str, fields: tuple[str, ...], need: tuple[str, ...], most: int) -> Column:

@@ -13,7 +13,7 @@ from quern.operators import library as L
 from quern.operators import structure as R
 from quern.plans import duck as D
 from quern.plans.queries import _PAIRS, query
-from quern.runtime import table
+from quern.runtime import spread, table
 from quern.sources import adapters as A
 from quern.sources.fixtures import Fixture, literal
 
@@ -377,7 +377,7 @@ _PART_REPLIES = f"""replies as (select p_partkey as reply_id, '[' || to_json({{'
 def _part_replies(spark, sf):
     d = F.array("p_brand", "p_name", F.concat("p_brand", F.lit("!")), F.when(F.col("p_size") % 5 == 0, "none of the above").otherwise(F.concat("p_name", F.lit(" x"))), F.lit("y"))
     o = F.struct(F.concat(F.lit("q"), F.col("p_size").cast("string")).alias("id"), F.col("p_name").alias("stem"), F.col("p_type").alias("correct"), F.col("p_brand").alias("explanation"), F.when(F.col("p_size") % 3 == 0, F.col("p_name")).otherwise("").alias("scenario"), F.lit("").alias("vignette"), d.alias("distractors"))
-    return table(spark, sf, "part").select(F.col("p_partkey").alias("reply_id"), F.concat(F.lit("["), F.to_json(o)).alias("text")).union(ASKED.frame(spark))
+    return spread(table(spark, sf, "part"), "p_partkey").select(F.col("p_partkey").alias("reply_id"), F.concat(F.lit("["), F.to_json(o)).alias("text")).union(ASKED.frame(spark))
 
 
 _FIELDS = f"{_string('id')} as id, {_string('stem')} as stem, {_string('correct')} as correct, {_string('explanation')} as explanation, {_strings('distractors')} as given"
@@ -439,7 +439,7 @@ def str_38(spark, sf):
         F.array(block(lit("paragraph"), F.concat("p_type", lit(" "), "p_brand")), block(lit("list"), lit(""), F.array(F.col("p_brand"), lit(" "), name)), block(F.when(F.col("p_size") % 2 == 0, "heading").otherwise("image"), name)).alias("blocks"),
     )
     second = F.struct(lit("Page 2").alias("page"), lit(" ").alias("title"), F.array(block(lit("paragraph"), F.col("p_type"))).alias("blocks"))
-    scans = SCANS.frame(spark).union(table(spark, sf, "part").select("p_partkey", F.to_json(F.array(first, second))))
+    scans = SCANS.frame(spark).union(spread(table(spark, sf, "part"), "p_partkey").select("p_partkey", F.to_json(F.array(first, second))))
     labels = F.array(*(F.struct(F.lit(f"Page {i}").alias("label"), F.lit(i).cast("long").alias("page")) for i in range(1, 5)))
     return J.pages_read(scans, scans.select("reply_id", F.inline(labels)))
 
@@ -481,7 +481,7 @@ f as (select reply_id, coalesce({_text_of('o', 'title')}, deck) as title, coales
 select reply_id, title, lede, items, coalesce(comparisons, '') as comparisons, key_takeaway, core_concept from f where items <> ''""")
 def jsn_08_extraction(spark, sf):
     made = F.to_json(F.struct(F.repeat(F.concat("p_type", F.lit(" ")), F.col("p_size")).alias("title"), F.array(F.struct(F.col("p_brand").alias("label"), F.repeat(F.concat("p_name", F.lit(" ")), F.col("p_size")).alias("detail"))).alias("items")))
-    replies = EXTRACTIONS.frame(spark).select("reply_id", "deck", "text").union(table(spark, sf, "part").select("p_partkey", "p_name", made))
+    replies = EXTRACTIONS.frame(spark).select("reply_id", "deck", "text").union(spread(table(spark, sf, "part"), "p_partkey").select("p_partkey", "p_name", made))
     joined = lambda c, fields: F.coalesce(F.array_join(F.transform(c, lambda x: F.concat_ws("|", *(F.coalesce(x[f], F.lit("-")) for f in fields))), ";"), F.lit(""))
     got = J.extraction(replies)
     return got.select("reply_id", "title", "lede", joined("items", ("label", "detail", "meta")).alias("items"), joined("comparisons", ("name", "value")).alias("comparisons"), "key_takeaway", joined("core_concept", ("key", "value")).alias("core_concept"))
