@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from quern.functions import addresses as U
 from quern.functions import fixed as X
 from quern.functions import markup as M
-from quern.runtime import discard, materialise
+from quern.runtime import dealt, discard, materialise
 
 _GROUPS = {"li": ("li",), "dx": ("dt", "dd"), "row": ("tr", *M.SECTIONS), "cell": ("td", "th", "tr", *M.SECTIONS)}
 _HEADINGS = tuple(f"h{i}" for i in range(1, 7))
@@ -55,7 +55,8 @@ def _inline() -> Column:
 def tokens(pages: DataFrame) -> DataFrame:
     """``page_id, n, token, kind, name``: begin tags (``open``, ``void``), end tags (``close``) and texts. Comments and elements of raw text are left out."""
     # Pages are dealt out before they are cut: no window over a part of a page needs another shuffle.
-    found = pages.select("page_id", "html").repartition("page_id").select("page_id", F.posexplode(M.tokens(F.col("html"))).alias("n", "token"))
+    # Parts have so many characters however many pages there are, so a task's sorts do not grow with the table.
+    found = dealt(pages.select("page_id", "html"), "page_id", "html").select("page_id", F.posexplode(M.tokens(F.col("html"))).alias("n", "token"))
     name = F.lower(F.regexp_extract("token", M.NAME, 1))
     found = found.select("page_id", F.col("n").cast("long").alias("n"), "token", name.alias("name"))
     void = F.col("name").isin(*M.VOID)
