@@ -22,7 +22,7 @@ WIDTH, HEADS, HIDDEN = 24, 2, 32
 #: Classes of frequent ids, ids in each, and classes for the rest.
 CLASSES, SIZE, TAIL = 64, 64, 16
 SYMBOLS = CLASSES * SIZE + TAIL
-BATCH, RATE = 64, 0.04
+BATCH, RATE = 128, 0.04
 _SEEN = np.tril(np.ones((WINDOW, WINDOW), np.float32))
 _LIMIT = np.float32(40)
 #: Windows whose contexts, and whose probabilities, are computed together.
@@ -63,10 +63,11 @@ def _by_class(classes: np.ndarray, members: np.ndarray) -> tuple[np.ndarray, lis
     return order, [(c, edges[c], edges[c + 1]) for c in np.flatnonzero(np.diff(edges)).tolist()]
 
 
-def _softmax(x: np.ndarray) -> np.ndarray:
-    x -= x.max(axis=1, keepdims=True)
+def _softmax(x: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """Probabilities of rows of logits times the row's scale."""
+    np.clip(x, -_LIMIT, _LIMIT, out=x)  # the exponential cannot overflow
     np.exp(x, out=x)
-    x /= x.sum(axis=1, keepdims=True)
+    x *= (scale / (x @ np.ones(x.shape[1], x.dtype)))[:, None]
     return x
 
 
@@ -172,16 +173,17 @@ class Model:
         known = np.flatnonzero(flat >= 0)
         classes, members = np.where(flat >= 0, self.vocabulary.classes[flat], 0), np.where(flat >= 0, self.vocabulary.members[flat], -1)
         scale = np.float32(1 / max(1, len(known)))
-        p = _softmax(top @ w["out"] + w["bias"])
-        p[np.arange(len(flat)), classes] -= 1
-        p *= (flat >= 0).astype(np.float32)[:, None] * scale
+        logits = top @ w["out"]
+        logits += w["bias"]
+        weight = (flat >= 0).astype(np.float32) * scale
+        p = _softmax(logits, weight)
+        p[np.arange(len(flat)), classes] -= weight
         dtop = p @ w["out"].T
         inner, inner_bias = np.zeros_like(w["inner"]), np.zeros_like(w["inner_bias"])
         rows, groups = _by_class(classes, members)
         own = top[rows]
-        p_in = _softmax(self._inside(own, groups))
-        p_in[np.arange(len(rows)), members[rows]] -= 1
-        p_in *= scale
+        p_in = _softmax(self._inside(own, groups), np.full(len(rows), scale))
+        p_in[np.arange(len(rows)), members[rows]] -= scale
         back = np.empty_like(own)
         for c, i, j in groups:
             np.matmul(own[i:j].T, p_in[i:j], out=inner[c])

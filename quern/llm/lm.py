@@ -5,8 +5,8 @@ training documents, are summed over all blocks and joined back to the block: no
 words is ever sent to a task, and a frequent word has one row for each block.
 
 The attention model (see `attention`) predicts subword ids. Its classes are counts over all training
-documents, and its weights are learned from all of them: of every document one run of ``RUN`` words in
-``ONE_IN``, and one at least, is cut into windows, whole; a digest draws the first, whatever the table's size. In each of ``ROUNDS`` rounds
+documents, and its weights are learned from the same: every text is cut into windows, whole, so that each of its ids and its end are
+predicted once. In each of ``ROUNDS`` rounds
 tasks train once on ``TASK_WINDOWS`` windows or less each, and their changes are averaged in a tree; only the average comes to the
 driver, and no text does.
 
@@ -34,8 +34,8 @@ from quern.runtime import bounded_batches, discard, drop_finished_shuffles, mate
 
 FOLDS, HELD_OUT = 7, 2
 BLOCK_CHARS = 8_000_000
-#: Words of a run, and how many runs there are to each that is learned from.
-RUN, ONE_IN = 64, 4
+#: A text is one run of words, however long, and every run is learned from: nothing is drawn.
+RUN, ONE_IN = 1 << 62, 1
 #: Rounds of training, and windows of a task in one.
 ROUNDS, TASK_WINDOWS = 4, 32768
 
@@ -117,33 +117,38 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 
 
 def training_windows(rows: DataFrame, tokenizer: str) -> DataFrame:
-    """``(round, spread, ids)``: windows of ids from one run of words in ``ONE_IN``, and one at least, of every document of ``rows(doc_id, text)``.
+    """``(round, spread, ids)``: windows of ids of every document of ``rows(doc_id, text)``, whole.
 
-    A window begins at the last id of the one before, so that every id of a run is predicted once.
+    A window begins at the last id of the one before, so that every id and the end are predicted once. A batch's distinct words are encoded once.
     """
     encoder = shared_word_encoder(tokenizer)
-    dtype, end = encoder.dtype, np.array([encoder.end], encoder.dtype)
+    dtype, end = encoder.dtype, encoder.end
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words, sizes = words_of(batch.column(1))
+            named = words.dictionary_encode()
+            ids, times = shared_word_encoder(tokenizer).encode(named.dictionary.to_pylist())
+            at = named.indices.to_numpy()
+            n = times[at]
+            own = np.concatenate([[0], np.cumsum(n)])[np.cumsum(sizes)]
+            own = np.diff(own, prepend=0)
+            # Texts one after the other, an end before and behind each.
+            begins = np.cumsum(own + 2) - (own + 2)
+            stream = np.full(int((own + 2).sum()), end, dtype)
+            stream[np.repeat(begins + 1 - (np.cumsum(own) - own), own) + np.arange(own.sum())] = ids[np.repeat((np.cumsum(times) - times)[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+            windows = -(-(own + 1) // attention.WINDOW)
+            place = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
+            start = np.repeat(begins, windows) + place * attention.WINDOW
+            long = np.minimum(attention.WINDOW + 1, np.repeat(begins + own + 2, windows) - start)
+            stops = np.cumsum(long)
+            packed = stream[np.repeat(start - (stops - long), long) + np.arange(long.sum())]
+            offsets = (np.concatenate([[0], stops]) * dtype.itemsize).astype(np.int32)
+            out = pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(packed)])
             text_seeds = np.array([zlib.crc32((t or "").encode()) for t in batch.column(1).to_pylist()], np.uint64)
             seeds = text_seeds ^ _mixed(pc.fill_null(batch.column(0), 0).to_numpy().astype(np.uint64))
-            draws, runs = _mixed(seeds), np.maximum(1, -(-sizes // RUN))
-            first = (draws % np.minimum(runs, ONE_IN).astype(np.uint64)).astype(np.int64)
-            drawn = -(-(runs - first) // ONE_IN)
-            text = np.repeat(np.arange(len(sizes)), drawn)
-            turn = first[text] + ONE_IN * (np.arange(len(text)) - np.repeat(np.cumsum(drawn) - drawn, drawn))
-            begin = (np.cumsum(sizes) - sizes)[text] + turn * RUN
-            n = np.minimum(RUN, np.cumsum(sizes)[text] - begin)
-            take = np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            ids, times = shared_word_encoder(tokenizer).encode(words.take(pa.array(take)).to_pylist())
-            said = [np.concatenate([end if a else end[:0], x, end if b else end[:0]]) for x, a, b in zip(_by_text(ids, times, n), turn == 0, turn == runs[text] - 1)]
-            out = [x[k : k + attention.WINDOW + 1].tobytes() for x in said for k in range(0, len(x) - 1, attention.WINDOW)]
-            windows = np.array([-(-(len(x) - 1) // attention.WINDOW) for x in said], np.int64)
-            place = np.arange(len(out)) - np.repeat(np.cumsum(windows) - windows, windows)
-            spread = _mixed(_mixed(draws[text] + turn.astype(np.uint64)).repeat(windows) + place.astype(np.uint64))
-            columns = [pa.array((spread % np.uint64(ROUNDS)).astype(np.int32)), pa.array((spread >> np.uint64(8)).astype(np.int64)), pa.array(out, pa.binary())]
+            spread = _mixed(_mixed(seeds).repeat(windows) + place.astype(np.uint64))
+            columns = [pa.array((spread % np.uint64(ROUNDS)).astype(np.int32)), pa.array((spread >> np.uint64(8)).astype(np.int64)), out]
             yield pa.RecordBatch.from_arrays(columns, names=["round", "spread", "ids"])
 
     return rows.select("doc_id", "text").mapInArrow(run, "round int, spread long, ids binary")

@@ -152,6 +152,20 @@ def test_windows_come_from_all_documents(spark):
     assert not any(left.values())
 
 
+def test_every_id_of_every_text_is_predicted_once(spark):
+    """Nothing is drawn: windows of a text follow each other from the end before it to the end behind it."""
+    texts = [None, "", "a", *(" ".join(f"v{i}x{k}" for k in range(n)) for i, n in enumerate((1, 31, 32, 64, 65, 300, 5000)))]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    encoder = lm.shared_word_encoder(lm.default_ranks())
+    left = Counter(np.frombuffer(r.ids, encoder.dtype).tobytes() for r in lm.training_windows(docs, lm.default_ranks()).collect())
+    for text in texts:
+        ids = np.concatenate([[encoder.end], encoder.encode((text or "").split())[0], [encoder.end]]).astype(encoder.dtype)
+        cut = [ids[k : k + attention.WINDOW + 1] for k in range(0, len(ids) - 1, attention.WINDOW)]
+        assert sum(len(x) - 1 for x in cut) == len(ids) - 1
+        left.subtract(x.tobytes() for x in cut)
+    assert not any(left.values())
+
+
 def test_model_beats_an_interpolated_bigram(spark):
     """On held-out documents, per subword, by a tenth and more, though the bigram's weight is the best for them."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
