@@ -69,9 +69,12 @@ def term_pair(line: Column) -> Column:
 
 def without_marks(text: Column) -> Column:
     """Text without Markdown's inline marks: images, links, footnotes, tags, code, emphasis and escapes, in that order."""
+    bare = text
     for pattern, by in X.INLINE_MARKS:
-        text = F.regexp_replace(text, pattern, by.replace("\\", "$"))
-    return F.trim(F.regexp_replace(text, r"\s+", " "))
+        bare = F.regexp_replace(bare, pattern, by.replace("\\", "$"))
+    # A cheap test first: every pattern has one of these signs.
+    bare = F.when(text.rlike(r"[\[<`*_~\\]"), bare).otherwise(text)
+    return F.trim(F.regexp_replace(bare, r"\s+", " "))
 
 
 def chrome(text: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quern.runtime import table
+from quern.runtime import spread, table
 from quern.sources import fixtures
 
 #: Event types as grades; others are no reviews.
@@ -34,8 +34,8 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``doc_id, source, line_no, line`` of each document."""
-    split = documents(spark, sf_dir).select("doc_id", "source", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    """``doc_id, source, line_no, line`` of each document. Texts are dealt out over all cores before they are cut: a file of few row groups would be read, and its lines be looked at, by few tasks."""
+    split = spread(documents(spark, sf_dir), "doc_id").select("doc_id", "source", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     return split.withColumn("line_no", F.col("line_no").cast("long"))
 
 

@@ -2,8 +2,10 @@
 
 from pyspark.sql import functions as F
 
+from quern.functions import addresses as U
 from quern.operators import markup as K
 from quern.runtime import dealt
+from quern.sources import adapters as A
 
 
 def test_parts_grow_with_the_texts(spark):
@@ -16,3 +18,17 @@ def test_parts_grow_with_the_texts(spark):
 def test_tokens_of_many_pages_come_in_more_parts_than_the_session_has(spark):
     pages = spark.range(40).select(F.col("id").alias("page_id"), F.concat(F.lit("<p>"), F.repeat(F.lit("ab "), 400_000)).alias("html"))
     assert K.tokens(pages).rdd.getNumPartitions() >= 12
+
+
+def test_lines_of_a_small_file_are_dealt_out_over_all_cores(spark):
+    found = A.lines(spark, "/root/testdata/sf0.001")
+    assert found.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert sum(bool(p) for p in found.rdd.glom().collect()) > 2
+
+
+def test_text_without_a_mark_is_looked_at_once(spark):
+    """Text with any of the signs goes through all patterns; other text loses its white space only."""
+    texts = ["a  b\tc", "!x (y) - + # | >", *(f"{a}q w{b} e" for a, b in (("**", "**"), ("*", "*"), ("__", "__"), ("_", "_"), ("`", "`"), ("~~", "~~"), ("[", "](u)"), ("![", "](u)"), ("<b>", "</b>"), ("\\#", "\\|"), ("[^", "]"), ("<https://", ">")))]
+    found = spark.createDataFrame([(t,) for t in texts], "t string").select("t", U.without_marks(F.col("t")).alias("bare")).collect()
+    assert {r.t: r.bare for r in found if r.t in texts[:2]} == {texts[0]: "a b c", texts[1]: texts[1]}
+    assert [r.bare for r in found[2:]] == ["q w e", "q w e", "q w e", "q w e", "q w e", "q w e", "q w e", "e", "q w e", "#q w| e", "e", "e"]
