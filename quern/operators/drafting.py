@@ -16,6 +16,7 @@ from quern.functions import phrasing as P
 from quern.functions import text as T
 from quern.operators.folds import signed
 from quern.operators.duplicates import deduped
+from quern.runtime import materialise
 
 BLOCKS = (
     "section_id long, place long, kind string, level int, text string, heading string, items array<string>, headers array<string>, rows array<array<string>>, "
@@ -102,6 +103,7 @@ def section_cards(blocks: DataFrame, sections: DataFrame, most: int = X.SECTION_
     A heading waits for the block that it asks about; a level-one heading, a table, a snippet, a picture, a list with items and any paragraph but a
     chip end the wait. A chip, a short paragraph that begins with a number, is an age that waits for the next heading's text or list. The last short
     paragraph is the answer to a snippet or a picture. A section without lists, tables, snippets and pictures begins with its summary.
+    Blocks with their sections' titles are a working table: cards and summaries both begin there.
     """
     order = Window.partitionBy("section_id").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
     c = F.col
@@ -109,6 +111,8 @@ def section_cards(blocks: DataFrame, sections: DataFrame, most: int = X.SECTION_
     text = T.tidy(c("text"))
     b = b.withColumns({"clean": text, "said": F.filter(F.transform("items", lambda i: T.tidy(i)), lambda i: i != "")})
     paragraph, heading = c("kind") == "paragraph", c("kind") == "heading"
+    built = F.max(c("kind").isin("table", "list", "code", "image")).over(Window.partitionBy("section_id"))
+    b = materialise(b.withColumn("built", built).where("title is not null or built"), "blocks")
     b = b.withColumn("chip_text", F.when(paragraph & c("clean").rlike(r"^\s*\d") & (F.length("clean") <= 24) & ~c("clean").rlike("[.!?]$"), c("clean")))
     filled = (c("kind") == "list") & (F.size("said") > 0)
     # Events that set or end the wait, as structs: a null inside ends it, no struct leaves it.
@@ -133,8 +137,6 @@ def section_cards(blocks: DataFrame, sections: DataFrame, most: int = X.SECTION_
         .when(c("kind") == "image", image_cards(c("src"), c("caption"), about, c("prose")))
         .when(c("kind") == "list", list_cards(c("said"), topic, c("chip")))
     )
-    built = F.max(c("kind").isin("table", "list", "code", "image")).over(Window.partitionBy("section_id"))
-    b = b.withColumn("built", built).where("title is not null or built")
     drawn = b.select("section_id", "place", "title", F.posexplode(cards).alias("turn", "card"))
     # The summary of a section's paragraphs comes first, before place 0.
     plain = b.where(~c("built") & paragraph).groupBy("section_id", "title").agg(F.array_sort(F.collect_list(F.struct("place", "text"))).alias("p"))

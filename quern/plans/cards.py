@@ -73,14 +73,15 @@ CARDS = Fixture(
 def _lines_as_blocks(spark, sf):
     """Lines of all documents as blocks, a document as a section under its first line."""
     line, n = F.col("line"), F.col("line_no")
-    kind = F.when(n == 0, "title").when(T.meaningful_label(line), "heading").when(n % 7 == 5, "code").when(n % 11 == 9, "image").when(F.col("line").contains(": "), "list").otherwise("paragraph")
-    lines = A.lines(spark, sf).where("line <> ''").withColumn("kind", kind)
+    kind = F.when(T.meaningful_label(line), "heading").when(n % 7 == 5, "code").when(n % 11 == 9, "image").when(F.col("line").contains(": "), "list").otherwise("paragraph")
+    lines = A.lines(spark, sf).where("line <> '' and line_no > 0").withColumn("kind", kind)
+    firsts = A.documents(spark, sf).withColumn("line", F.substring_index("text", "\n", 1)).where("line <> ''")
     none = F.lit(None).cast("string")
-    blocks = lines.where("kind <> 'title'").select(
+    blocks = lines.select(
         F.col("doc_id").alias("section_id"), n.alias("place"), "kind", F.lit(2).alias("level"), line.alias("text"), none.alias("heading"), F.when(F.col("kind") == "list", F.array(line)).alias("items"),
         F.lit(None).cast("array<string>").alias("headers"), F.lit(None).cast("array<array<string>>").alias("rows"), F.lit("python").alias("language"), none.alias("output"), F.lit("x.png").alias("src"), none.alias("alt"), none.alias("caption"),
     )
-    sections = lines.where("line_no = 0").select(F.col("doc_id").alias("section_id"), F.coalesce("source", F.lit("")).alias("doc_id"), F.col("doc_id").alias("place"), F.lit("Page").alias("label"), line.alias("title"))
+    sections = firsts.select(F.col("doc_id").alias("section_id"), F.coalesce("source", F.lit("")).alias("doc_id"), F.col("doc_id").alias("place"), F.lit("Page").alias("label"), line.alias("title"))
     return blocks, sections
 
 

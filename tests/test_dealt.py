@@ -3,7 +3,9 @@
 from pyspark.sql import functions as F
 
 from quern.functions import addresses as U
+from quern.operators import drafting as G
 from quern.operators import markup as K
+from quern.plans import cards as C
 from quern.runtime import dealt
 from quern.sources import adapters as A
 
@@ -32,3 +34,12 @@ def test_text_without_a_mark_is_looked_at_once(spark):
     found = spark.createDataFrame([(t,) for t in texts], "t string").select("t", U.without_marks(F.col("t")).alias("bare")).collect()
     assert {r.t: r.bare for r in found if r.t in texts[:2]} == {texts[0]: "a b c", texts[1]: texts[1]}
     assert [r.bare for r in found[2:]] == ["q w e", "q w e", "q w e", "q w e", "q w e", "q w e", "q w e", "e", "q w e", "#q w| e", "e", "e"]
+
+
+def test_blocks_and_cards_are_worked_out_once(spark, tmp_path):
+    """What comes after reads working tables: neither blocks nor sections are evaluated again for summaries, or for cards that stay."""
+    for name, fixture in (("blocks", C.BLOCKS), ("sections", C.SECTIONS)):
+        fixture.frame(spark).write.parquet(f"{tmp_path}/{name}")
+    blocks, sections = (spark.read.parquet(f"{tmp_path}/{x}") for x in ("blocks", "sections"))
+    for found in (G.section_cards(blocks, sections),):
+        assert found.count() > 0 and not any(str(tmp_path) in x for x in found.inputFiles())
