@@ -150,7 +150,8 @@ def drafted(blocks: DataFrame, sections: DataFrame) -> DataFrame:
     """All cards of documents by rule: usable ones, without those that repeat an earlier one of their document, and ``include`` false where a front points at what is not there."""
     cards = section_cards(blocks, sections).join(sections.select("section_id", "doc_id", F.col("place").alias("at")), "section_id").where(T.usable_card(F.col("front"), F.col("back")))
     place = F.row_number().over(Window.partitionBy("doc_id").orderBy("at", "card")) - 1
-    cards = cards.withColumn("ord", place.cast("long"))
+    # They are looked at twice: to tell which repeat, and to take those that stay.
+    cards = materialise(cards.withColumn("ord", place.cast("long")), "drafted")
     code = F.col("front_code").isNotNull() | F.col("back_code").isNotNull()
     kept = deduped(cards.select(F.col("doc_id").alias("deck_id"), "ord", "front", "back", code.alias("has_code"), F.col("image").isNotNull().alias("has_image")))
     found = cards.join(kept.withColumnRenamed("deck_id", "doc_id"), ["doc_id", "ord"])

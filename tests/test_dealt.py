@@ -41,5 +41,5 @@ def test_blocks_and_cards_are_worked_out_once(spark, tmp_path):
     for name, fixture in (("blocks", C.BLOCKS), ("sections", C.SECTIONS)):
         fixture.frame(spark).write.parquet(f"{tmp_path}/{name}")
     blocks, sections = (spark.read.parquet(f"{tmp_path}/{x}") for x in ("blocks", "sections"))
-    for found in (G.section_cards(blocks, sections),):
+    for found in (G.section_cards(blocks, sections), G.drafted(blocks, sections)):
         assert found.count() > 0 and not any(str(tmp_path) in x for x in found.inputFiles())
