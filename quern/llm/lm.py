@@ -1,7 +1,7 @@
 """Scores of texts under a unigram model and a causal self-attention model.
 
-Documents are dealt into blocks by a digest. A block's distinct words, with their subword ids and their numbers in
-training documents, are summed over all blocks and joined back to the block: no table of all
+Documents are dealt out by a digest and read once, in blocks: texts become numbers of the block's distinct words, which are encoded to subword ids
+once, and windows to learn from. Words' numbers in training documents are summed over all blocks and go back to the block: no table of all
 words is ever sent to a task, and a frequent word has one row for each block.
 
 The attention model (see `attention`) predicts subword ids. Its classes are counts over all training
@@ -25,12 +25,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_schema
 
 from quern.llm import attention
-from quern.llm.bpe import shared_word_encoder
-from quern.runtime import bounded_batches, discard, drop_finished_shuffles, materialise
+from quern.llm.bpe import WordEncoder, shared_word_encoder
+from quern.runtime import bounded_batches, drop_finished_shuffles, materialise, work_path
 
 FOLDS, HELD_OUT = 7, 2
 BLOCK_CHARS = 8_000_000
@@ -62,50 +64,104 @@ def default_ranks() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
-def _block_words(tokenizer: str):
-    """Function for `applyInArrow`: a block's distinct words, how often its training documents have them, and their subword ids."""
+#: What is read of the documents, one kind of rows beside the other.
+WORDS, SUBWORDS, DOCUMENTS, WINDOWS = range(4)
+CODED = pa.schema(
+    [("kind", pa.int32()), ("block", pa.int64()), ("word", pa.string()), ("place", pa.int32()), ("n", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()),
+     ("places", pa.binary()), ("times", pa.binary()), ("ids", pa.binary()), ("round", pa.int32()), ("spread", pa.int64())]
+)
 
-    def run(table: pa.Table) -> pa.Table:
-        words, sizes = words_of(table.column("text"))
-        learn = np.repeat(~table.column("held_out").to_numpy(), sizes).astype(np.int64)
-        found = pa.table({"word": words, "n": learn}).group_by("word", use_threads=False).aggregate([("n", "sum")])
-        names = found.column("word").combine_chunks()
-        ids, times = shared_word_encoder(tokenizer).encode(names.to_pylist())
-        ends = np.concatenate([[0], np.cumsum(times * ids.itemsize)]).astype(np.int32)
-        packed = pa.Array.from_buffers(pa.binary(), len(names), [None, pa.py_buffer(ends), pa.py_buffer(ids)])
-        block = np.full(len(names), table.column("block")[0].as_py(), np.int64)
-        return pa.table({"block": block, "word": names, "ids": packed, "n": found.column("n_sum")})
 
-    return run
+def _rows(kind: int, size: int, /, **columns: pa.Array) -> pa.RecordBatch:
+    """Rows of one kind; all other columns are null."""
+    columns["kind"] = pa.array(np.full(size, kind, np.int32))
+    return pa.RecordBatch.from_arrays([columns[x.name] if x.name in columns else pa.nulls(size, x.type) for x in CODED], schema=CODED)
 
 
-def word_counts(rows: DataFrame, tokenizer: str) -> tuple[DataFrame, DataFrame]:
-    """``(block, word, ids, c)`` for each block's distinct words with their numbers in all training documents, and ``(ids, c)`` of each word."""
-    by_block = materialise(rows.groupBy("block").applyInArrow(_block_words(tokenizer), "block long, word string, ids binary, n long"), "block_words")
-    words = materialise(by_block.groupBy("word").agg(F.sum("n").alias("c"), F.first("ids").alias("ids")), "words")
-    counts = materialise(by_block.join(words.select("word", "c"), "word").select("block", "word", "ids", "c"), "word_counts")
-    discard(by_block)
-    return counts, words.where("c > 0").select("ids", "c")
+def _binary(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """A binary of so many values for each row."""
+    ends = np.concatenate([[0], np.cumsum(sizes * values.itemsize)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(values))])
 
 
-def subword_counts(counts: DataFrame, tokenizer: str) -> np.ndarray:
-    """Numbers of subword ids in all training documents, from ``counts(ids, c)``; a row for each id goes through the driver."""
-    encoder = shared_word_encoder(tokenizer)
-    size, dtype = encoder.vocab_size, encoder.dtype
+def _coder(tokenizer: str, block_chars: int):
+    """Function for `mapInArrow` of ``doc_id, text, held_out``: rows as in ``CODED``, block by block.
+
+    A block's distinct words stand with their places in it and their numbers in its training documents; its documents are lists of places, and one row beside them has
+    all words' subword ids. Subword ids stand with their numbers in training documents.
+    """
+
+    def coded(table: pa.Table, block: int) -> Iterator[pa.RecordBatch]:
+        encoder = shared_word_encoder(tokenizer)
+        words, sizes = words_of(table.column("text"))
+        named = words.dictionary_encode()
+        names, at = named.dictionary, named.indices.to_numpy()
+        ids, times = encoder.encode(names.to_pylist())
+        held = table.column("held_out").to_numpy()
+        learn = np.repeat(~held, sizes)
+        counts = np.bincount(at[learn], minlength=len(names))
+        own = pa.array(np.full(len(names), block))
+        yield _rows(WORDS, len(names), block=own, word=names, place=pa.array(np.arange(len(names), dtype=np.int32)), n=pa.array(counts))
+        subwords = np.bincount(ids, weights=np.repeat(counts, times), minlength=1).astype(np.int64)
+        some = np.flatnonzero(subwords)
+        yield _rows(SUBWORDS, len(some), place=pa.array(some.astype(np.int32)), n=pa.array(subwords[some]))
+        yield _rows(DOCUMENTS, 1, block=pa.array([block]), ids=pa.array([ids.tobytes()], pa.binary()), times=pa.array([times.astype("<i4").tobytes()], pa.binary()))
+        doc_ids, texts = table.column("doc_id").combine_chunks(), table.column("text")
+        yield _rows(DOCUMENTS, len(sizes), block=pa.array(np.full(len(sizes), block)), doc_id=doc_ids, held_out=pa.array(held), places=_binary(at.astype("<i4"), sizes))
+        if not held.all():
+            free = pa.array(~held)
+            windows = _windows(doc_ids.filter(free), texts.filter(free), sizes[~held], at[learn], ids, times, encoder)
+            yield _rows(WINDOWS, len(windows[0]), **dict(zip(("round", "spread", "ids"), windows)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size)
+        block, held, size = TaskContext.get().partitionId() << 32, [], 0
         for batch in batches:
-            packed = batch.column(0).to_pylist()
-            ids = np.frombuffer(b"".join(packed), dtype)
-            times = np.fromiter(map(len, packed), np.int64, len(packed)) // dtype.itemsize
-            total += np.bincount(ids, weights=np.repeat(batch.column(1).to_numpy(zero_copy_only=False), times), minlength=size)
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(total[some].astype(np.int64))], names=["id", "n"])
-
-    found = counts.select("ids", "c").mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+            held.append(batch)
+            size += batch.nbytes
+            if size >= block_chars:
+                yield from coded(pa.Table.from_batches(held), block)
+                block, held, size = block + 1, [], 0
+        if held:
+            yield from coded(pa.Table.from_batches(held), block)
+
+    return run
+
+
+def read_once(rows: DataFrame, parts: int, tokenizer: str) -> DataFrame:
+    """What is learned from and scored, as in ``CODED``, of ``rows(doc_id, text, held_out)``; tasks hold a block of ``BLOCK_CHARS``, and one text at least.
+
+    Each kind is a folder of its own, written without a sort, and can go by itself (`_discard`).
+    """
+    spark, key = rows.sparkSession, "spark.sql.maxConcurrentOutputFileWriters"
+    before, path = spark.conf.get(key), work_path(spark, "coded")
+    spark.conf.set(key, "8")
+    try:
+        rows.select("doc_id", "text", "held_out").repartition(parts, "doc_id", "text").mapInArrow(_coder(tokenizer, BLOCK_CHARS), from_arrow_schema(CODED)).write.partitionBy("kind").parquet(path)
+    finally:
+        spark.conf.set(key, before)
+    found = spark.read.schema(from_arrow_schema(CODED)).parquet(path)
+    found._work_path = path
+    return found
+
+
+def _discard(coded: DataFrame, kind: int) -> None:
+    """Delete the rows of one kind, once nothing reads them any more."""
+    spark = coded.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{coded._work_path}/kind={kind}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def word_counts(coded: DataFrame) -> DataFrame:
+    """``(block, place, c, first)``: each block's words with their numbers in all training documents; one row of a word is its first."""
+    same = Window.partitionBy("word")
+    words = coded.where(F.col("kind") == WORDS).select("block", "word", "place", F.sum("n").over(same).alias("c"), (F.min("block").over(same) == F.col("block")).alias("first"))
+    return materialise(words.select("block", "place", "c", "first"), "word_counts")
+
+
+def subword_counts(coded: DataFrame, size: int) -> np.ndarray:
+    """Numbers of subword ids in all training documents; a row for each id goes through the driver."""
     out = np.zeros(size)
-    for i, n in found:
+    for i, n in coded.where(F.col("kind") == SUBWORDS).groupBy("place").agg(F.sum("n")).collect():
         out[i] = n
     return out
 
@@ -116,40 +172,38 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def training_windows(rows: DataFrame, tokenizer: str) -> DataFrame:
-    """``(round, spread, ids)``: windows of ids of every document of ``rows(doc_id, text)``, whole.
+def _windows(doc_ids: pa.Array, texts: pa.Array | pa.ChunkedArray, sizes: np.ndarray, at: np.ndarray, ids: np.ndarray, times: np.ndarray, encoder: WordEncoder) -> list[pa.Array]:
+    """``round, spread, ids`` of texts whose words are given by their places in a list of ids and numbers of ids.
 
-    A window begins at the last id of the one before, so that every id and the end are predicted once. A batch's distinct words are encoded once.
+    A window begins at the last id of the one before, so that every id and the end are predicted once.
     """
-    encoder = shared_word_encoder(tokenizer)
-    dtype, end = encoder.dtype, encoder.end
+    n = times[at]
+    own = np.diff(np.concatenate([[0], np.cumsum(n)])[np.cumsum(sizes)], prepend=0)
+    # Texts one after the other, an end before and behind each.
+    begins = np.cumsum(own + 2) - (own + 2)
+    stream = np.full(int((own + 2).sum()), encoder.end, encoder.dtype)
+    stream[np.repeat(begins + 1 - (np.cumsum(own) - own), own) + np.arange(own.sum())] = ids[np.repeat((np.cumsum(times) - times)[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+    windows = -(-(own + 1) // attention.WINDOW)
+    place = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
+    start = np.repeat(begins, windows) + place * attention.WINDOW
+    long = np.minimum(attention.WINDOW + 1, np.repeat(begins + own + 2, windows) - start)
+    packed = stream[np.repeat(start - (np.cumsum(long) - long), long) + np.arange(long.sum())]
+    text_seeds = np.array([zlib.crc32((t or "").encode()) for t in texts.to_pylist()], np.uint64)
+    seeds = text_seeds ^ _mixed(pc.fill_null(doc_ids, 0).to_numpy().astype(np.uint64))
+    spread = _mixed(_mixed(seeds).repeat(windows) + place.astype(np.uint64))
+    return [pa.array((spread % np.uint64(ROUNDS)).astype(np.int32)), pa.array((spread >> np.uint64(8)).astype(np.int64)), _binary(packed, long)]
+
+
+def training_windows(rows: DataFrame, tokenizer: str) -> DataFrame:
+    """``(round, spread, ids)``: windows of ids of every document of ``rows(doc_id, text)``, whole. A batch's distinct words are encoded once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            encoder = shared_word_encoder(tokenizer)
             words, sizes = words_of(batch.column(1))
             named = words.dictionary_encode()
-            ids, times = shared_word_encoder(tokenizer).encode(named.dictionary.to_pylist())
-            at = named.indices.to_numpy()
-            n = times[at]
-            own = np.concatenate([[0], np.cumsum(n)])[np.cumsum(sizes)]
-            own = np.diff(own, prepend=0)
-            # Texts one after the other, an end before and behind each.
-            begins = np.cumsum(own + 2) - (own + 2)
-            stream = np.full(int((own + 2).sum()), end, dtype)
-            stream[np.repeat(begins + 1 - (np.cumsum(own) - own), own) + np.arange(own.sum())] = ids[np.repeat((np.cumsum(times) - times)[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-            windows = -(-(own + 1) // attention.WINDOW)
-            place = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
-            start = np.repeat(begins, windows) + place * attention.WINDOW
-            long = np.minimum(attention.WINDOW + 1, np.repeat(begins + own + 2, windows) - start)
-            stops = np.cumsum(long)
-            packed = stream[np.repeat(start - (stops - long), long) + np.arange(long.sum())]
-            offsets = (np.concatenate([[0], stops]) * dtype.itemsize).astype(np.int32)
-            out = pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(packed)])
-            text_seeds = np.array([zlib.crc32((t or "").encode()) for t in batch.column(1).to_pylist()], np.uint64)
-            seeds = text_seeds ^ _mixed(pc.fill_null(batch.column(0), 0).to_numpy().astype(np.uint64))
-            spread = _mixed(_mixed(seeds).repeat(windows) + place.astype(np.uint64))
-            columns = [pa.array((spread % np.uint64(ROUNDS)).astype(np.int32)), pa.array((spread >> np.uint64(8)).astype(np.int64)), out]
-            yield pa.RecordBatch.from_arrays(columns, names=["round", "spread", "ids"])
+            ids, times = encoder.encode(named.dictionary.to_pylist())
+            yield pa.RecordBatch.from_arrays(_windows(batch.column(0), batch.column(1), sizes, named.indices.to_numpy(), ids, times, encoder), names=["round", "spread", "ids"])
 
     return rows.select("doc_id", "text").mapInArrow(run, "round int, spread long, ids binary")
 
@@ -174,13 +228,13 @@ def _averaged(changes: DataFrame, tasks: int) -> np.ndarray | None:
     return np.frombuffer(row.change, np.float32) if row else None
 
 
-def fit(rows: DataFrame, words: DataFrame, n_documents: int, tokenizer: str) -> attention.Model:
-    """The attention model from training ``rows(doc_id, text)`` and counts of words."""
+def fit(coded: DataFrame, n_documents: int, tokenizer: str) -> attention.Model:
+    """The attention model from the windows and the counts of ``coded``."""
     encoder = shared_word_encoder(tokenizer)
-    subwords = subword_counts(words, tokenizer)
+    subwords = subword_counts(coded, encoder.vocab_size)
     subwords[encoder.end] = n_documents
     model = attention.Model.new(attention.Vocabulary.of(subwords), subwords, encoder.end)
-    windows = materialise(training_windows(rows, tokenizer), "training_windows")
+    windows = coded.where(F.col("kind") == WINDOWS).select("round", "spread", "ids")
     numbers = {r["round"]: r.n for r in windows.groupBy("round").agg(F.count("*").alias("n")).collect()}
     dtype = encoder.dtype
     for turn in sorted(numbers):
@@ -199,7 +253,6 @@ def fit(rows: DataFrame, words: DataFrame, n_documents: int, tokenizer: str) ->
         dealt = windows.where(F.col("round") == turn).repartition(tasks, "spread").sortWithinPartitions("spread", "ids").select("ids")
         change = _averaged(dealt.mapInArrow(train, "n long, change binary"), tasks)
         model = model if change is None else model.moved(change)
-    discard(windows)
     return model
 
 
@@ -223,14 +276,17 @@ def _scorer(model: attention.Model, dtype: np.dtype):
     """Function of a block's documents and words for `applyInArrow`."""
 
     def run(docs: pa.Table, table: pa.Table) -> pa.Table:
-        words, sizes = words_of(docs.column("text"))
-        at = pc.index_in(words, value_set=table.column("word").combine_chunks()).to_numpy()
-        count = table.column("c").to_numpy()
+        of_block = pc.is_valid(docs.column("ids"))
+        block, docs = docs.filter(of_block), docs.filter(pc.invert(of_block))
+        ids, times = _packed(block.column("ids"), dtype)[0], _packed(block.column("times"), np.dtype("<i4"))[0].astype(np.int64)
+        begins = np.concatenate([[0], np.cumsum(times)])
+        at, ends = _packed(docs.column("places"), np.dtype("<i4"))
+        sizes = np.diff(ends)
+        count = np.zeros(len(times), np.int64)
+        count[table.column("place").to_numpy()] = table.column("c").to_numpy()
         text = np.repeat(np.arange(len(sizes)), sizes)
-        sums = np.bincount(text, weights=np.log10(count + 1.0)[at], minlength=len(sizes))
+        sums = np.bincount(text, weights=np.log10(count + 1.0)[at], minlength=len(sizes)).astype(np.float64)  # whole numbers where there are no words
         known = np.bincount(text, weights=count[at] > 0, minlength=len(sizes)).astype(np.int64)
-        ids, begins = _packed(table.column("ids"), dtype)
-        times = np.diff(begins)
         scores: list[np.ndarray] = []
         ends = np.cumsum(sizes)
         # Whole texts at a time, about half a million words.
@@ -253,14 +309,19 @@ def score(docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id",
     tokenizer = tokenizer or default_ranks()
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), held_out(F.col(id_col).cast("long")).alias("held_out"))
     chars, n_documents = rows.agg(F.sum(F.length("text")), F.count_if(~F.col("held_out"))).first()
-    blocks = 1 + (chars or 0) // BLOCK_CHARS
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)))
+    parts = max(spark.sparkContext.defaultParallelism, 1 + (chars or 0) // BLOCK_CHARS)
     with drop_finished_shuffles(spark):
-        counts, words = word_counts(rows, tokenizer)
-        n, v = words.agg(F.sum("c"), F.count("*")).first()
+        coded = read_once(rows, parts, tokenizer)
+        counts = word_counts(coded)
+        _discard(coded, WORDS)
+        n, v = counts.where("first and c > 0").agg(F.sum("c"), F.count("*")).first()
         n, v = (n or 0) + n_documents, v + (n_documents > 0)
-        model = fit(rows.where(~F.col("held_out")), words, n_documents, tokenizer)
-    found = rows.groupBy("block").cogroup(counts.groupBy("block")).applyInArrow(_scorer(model, shared_word_encoder(tokenizer).dtype), "doc_id long, held_out boolean, n_tokens long, n_known long, sums double, score double")
+        model = fit(coded, n_documents, tokenizer)
+        _discard(coded, WINDOWS)
+    docs = coded.where(F.col("kind") == DOCUMENTS).select("block", "doc_id", "held_out", "places", "times", "ids")
+    # Scoring takes long for each block: the number of parts is fixed, so that adaptive execution does not put blocks together.
+    docs, counts = docs.repartition(2 * parts, "block"), counts.select("block", "place", "c").repartition(2 * parts, "block")
+    found = docs.groupBy("block").cogroup(counts.groupBy("block")).applyInArrow(_scorer(model, shared_word_encoder(tokenizer).dtype), "doc_id long, held_out boolean, n_tokens long, n_known long, sums double, score double")
     end, total = F.lit(float(np.log10(n_documents + 1))), F.lit(float(np.log10(n + v + 1)))
     return found.select(
         "doc_id",

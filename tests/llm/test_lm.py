@@ -200,3 +200,50 @@ def test_words_are_encoded_by_themselves():
         assert [x.tolist() for x in np.split(ids, np.cumsum(times)[:-1])] == alone
         assert [encoder.tok.decode_bytes(x).decode() for x in alone] == [" " + w for w in some]
     assert [len(x) for x in encoder.encode([])] == [0, 0]
+
+
+def test_documents_are_read_once_in_bounded_blocks(spark, monkeypatch):
+    """One pass gives words, documents and windows; copies of one row make more blocks and no larger ones."""
+    monkeypatch.setattr(lm, "BLOCK_CHARS", 4000)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")
+    try:
+        texts = [(1, "the same text again")] * 600 + [(i, f"w{i} and The rest w{i % 7}") for i in range(2, 90)] + [(None, None), (91, ""), (92, " \n")]
+        docs = spark.createDataFrame(texts, "doc_id long, text string").withColumn("held_out", lm.held_out(lm.F.col("doc_id")))
+        coded = lm.read_once(docs, 3, lm.default_ranks()).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    encoder = lm.shared_word_encoder(lm.default_ranks())
+    words, ids, found, chars = {}, {}, [], Counter()
+    for r in coded:
+        if r.kind == lm.WORDS:
+            words[r.block, r.place] = r.word
+        elif r.kind == lm.DOCUMENTS and r.ids is not None:
+            times = np.frombuffer(r.times, "<i4")
+            ids |= {(r.block, k): x.tolist() for k, x in enumerate(np.split(np.frombuffer(r.ids, encoder.dtype), np.cumsum(times)[:-1]))}
+    for r in coded:
+        if r.kind == lm.DOCUMENTS and r.ids is None:
+            said = [words[r.block, k] for k in np.frombuffer(r.places, "<i4").tolist()]
+            assert [ids[r.block, k] for k in np.frombuffer(r.places, "<i4").tolist()] == [encoder.encode([w])[0].tolist() for w in said]
+            found.append((r.doc_id, said))
+            chars[r.block] += sum(map(len, said))
+    assert sorted(found, key=str) == sorted(((d, (t or "").lower().split()) for d, t in texts), key=str)
+    assert len(chars) > 4 and max(chars.values()) <= 4000
+    windows = Counter(r.ids for r in coded if r.kind == lm.WINDOWS)
+    assert windows == Counter(r.ids for r in lm.training_windows(docs.where("not held_out"), lm.default_ranks()).collect())
+    learned = Counter(k for x, n in windows.items() for k in np.frombuffer(x, encoder.dtype)[1:].tolist() * n if k != encoder.end)
+    numbers = Counter()
+    for r in coded:
+        if r.kind == lm.SUBWORDS:
+            numbers[r.place] += r.n
+    assert numbers == learned
+
+
+def test_powers_are_near_and_sum_up():
+    """Linear between whole exponents: at most 6.2 % above the power of two, exact at whole ones, and never negative or infinite."""
+    x = np.concatenate([np.linspace(-90, 55, 5001), [-1e6, 1e6]]).astype(np.float32)
+    _, unit, one = attention._bits(x.dtype)
+    got = attention._powers(x * np.float32(unit) + np.float32(one))
+    assert np.isfinite(got).all() and (got > 0).all()
+    ratio = got[:-2] / np.exp2(x[:-2].astype(np.float64))
+    assert 0.999 < ratio.min() and ratio.max() < 1.0625
+    assert np.array_equal(attention._slopes(got), np.exp2(np.floor(np.log2(got.astype(np.float64)))).astype(np.float32))
